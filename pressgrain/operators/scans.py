@@ -18,6 +18,8 @@ HEADER_ALIASES = {
     "url": ("url", "원문url", "링크"),
     "excluded": ("분석제외여부", "analysis_excluded"),
 }
+# fixed values: cells that exclude a row from analysis
+EXCLUSION_MARKERS = ("1", "true", "y", "yes", "예", "예외", "제외", "exclude")
 REQUIRED_HEADERS = ("published_at", "source", "title", "url")
 
 
@@ -71,7 +73,7 @@ def import_export_rows(export: DataFrame, day: str | None = None, text_scope: st
 
 
 def excluded_flag(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value)).isin("y", "yes", "true", "1", "예외", "제외", "분석제외"), F.lit(False))
+    return F.coalesce(F.lower(F.trim(value)).isin(*EXCLUSION_MARKERS), F.lit(False))
 
 
 def import_stats(export: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NOW = "2024-01-20 00:00:00"
 
-VIEWS: dict[str, str] = {}
+VIEWS: dict[str, str] = {
+    "fx_active": f"SELECT * FROM fx_contents WHERE status = 'active' AND analysis_allowed AND expires_at > TIMESTAMP '{NOW}'",
+    "fx_signals": "SELECT doc_id AS article_id FROM labels WHERE toxic = 0",
+}
 
 
 def _view(name: str, sql: str):
@@ -111,6 +114,16 @@ class Tables:
             F.expr("concat('src', o_custkey % 20)").alias("source_id"),
         )
 
+    @_view("fx_lines", """
+        SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity,
+               max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax,
+               max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus, max(l_shipdate) AS l_shipdate
+        FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+    def lines(self) -> DataFrame:
+        """One row per (order, line): the given table repeats some of these keys."""
+        names = ("partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")
+        return self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(f"l_{n}").alias(f"l_{n}") for n in names])
+
     @_view("fx_issues", """
         SELECT l_orderkey * 10 + l_linenumber AS issue_id, l_orderkey AS run_id,
                CASE l_returnflag WHEN 'A' THEN 'economy' WHEN 'N' THEN 'politics' ELSE 'sports' END AS category,
@@ -119,9 +132,9 @@ class Tables:
                floor(l_discount * 1000) / 10 AS cohesion_score,
                'Issue ' || l_partkey AS title,
                CASE WHEN l_tax < 0.03 THEN 'cohesive' WHEN l_tax < 0.06 THEN 'review_required' ELSE 'insufficient_evidence' END AS cluster_quality
-        FROM lineitem""")
+        FROM fx_lines""")
     def issues(self) -> DataFrame:
-        li = self.raw("lineitem")
+        li = self.lines
         return li.select(
             F.expr("l_orderkey * 10 + l_linenumber").alias("issue_id"),
             F.col("l_orderkey").alias("run_id"),
@@ -250,9 +263,9 @@ class Tables:
         SELECT l_orderkey * 10 + l_linenumber AS event_id, 'dest' || l_returnflag AS destination,
                l_partkey || ':' || l_suppkey || ':' || l_orderkey AS idempotency_key,
                CASE WHEN l_linestatus = 'F' THEN 'delivered' ELSE 'pending' END AS status,
-               CAST(l_quantity AS BIGINT) AS payload_version, l_shipdate AS delivered_at FROM lineitem""")
+               CAST(l_quantity AS BIGINT) AS payload_version, l_shipdate AS delivered_at FROM fx_lines""")
     def outbox(self) -> DataFrame:
-        return self.raw("lineitem").select(
+        return self.lines.select(
             F.expr("l_orderkey * 10 + l_linenumber").alias("event_id"),
             F.expr("concat('dest', l_returnflag)").alias("destination"),
             F.expr("concat(l_partkey, ':', l_suppkey, ':', l_orderkey)").alias("idempotency_key"),
@@ -267,9 +280,9 @@ class Tables:
                'dest' || CASE WHEN l_linenumber = 3 THEN 'X' ELSE l_returnflag END AS destination,
                l_partkey || ':' || l_suppkey || ':' || l_orderkey AS idempotency_key,
                CAST(l_quantity AS BIGINT) + CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END AS payload_version
-        FROM lineitem WHERE l_quantity > 20""")
+        FROM fx_lines WHERE l_quantity > 20""")
     def receipts(self) -> DataFrame:
-        return self.raw("lineitem").filter("l_quantity > 20").select(
+        return self.lines.filter("l_quantity > 20").select(
             F.expr("l_orderkey * 10 + l_linenumber + 5000000000").alias("receipt_id"),
             F.expr("l_orderkey * 10 + l_linenumber + case when l_linenumber % 2 = 0 then 7000000000 else 0 end").alias("event_id"),
             F.expr("concat('dest', case when l_linenumber = 3 then 'X' else l_returnflag end)").alias("destination"),

@@ -11,6 +11,7 @@ from pressgrain.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_RAW_SQL: dict[str, str] = {}
 
 
 def query(key: str, sql: str | None = None):
@@ -27,7 +28,7 @@ def query(key: str, sql: str | None = None):
         run.__wrapped_module__ = fn.__module__
         QUERIES[key] = run
         if sql is not None:
-            ORACLES[key] = with_views(sql)
+            _RAW_SQL[key] = sql
         return fn
 
     return register
@@ -35,16 +36,26 @@ def query(key: str, sql: str | None = None):
 
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the common table expressions of every ``fx_*`` view it mentions."""
-    needed: set[str] = set()
-    todo = [sql]
-    while todo:
-        for name in set(re.findall(r"\bfx_\w+", todo.pop())) - needed:
-            needed.add(name)
-            todo.append(fixtures.VIEWS[name])
-    ctes = [f"{name} AS ({text})" for name, text in fixtures.VIEWS.items() if name in needed]
+    ordered: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in sorted(set(re.findall(r"\bfx_\w+", text))):
+            if name not in ordered:
+                visit(fixtures.VIEWS[name])
+                if name not in ordered:
+                    ordered.append(name)
+
+    visit(sql)
     body = sql.strip()
-    if not ctes:
+    if not ordered:
         return body
+    ctes = ",\n".join(f"{name} AS ({fixtures.VIEWS[name]})" for name in ordered)
     if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
+
+
+def resolve() -> None:
+    """Build the oracle texts once every view is registered."""
+    for key, sql in _RAW_SQL.items():
+        ORACLES[key] = with_views(sql)
