@@ -31,13 +31,14 @@ def lag_by_bucket(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     back inside their own range; the first row of a range takes the last value of the nearest earlier
     range, found on one summary row per (key, range).
     """
-    b = df.withColumn("_b", bucket)
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
-    rows = b.withColumn("_prev", F.lag(value).over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
-    last = b.groupBy(*keys, "_b").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
-    carry = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
-    joined = rows.join(carry, [*keys, "_b"], "left")
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))).drop("_b", "_prev", "_first", "_carry")
+    b = df.withColumn("_lag_b", bucket)
+    inner = Window.partitionBy(*keys, "_lag_b").orderBy(*order)
+    rows = b.withColumn("_lag_in", F.lag(value).over(inner)).withColumn("_lag_first", F.row_number().over(inner) == 1)
+    last = b.groupBy(*keys, "_lag_b").agg(F.max_by(F.col(value), F.struct(*order)).alias("_lag_last"))
+    carry = last.select(*keys, "_lag_b", F.lag("_lag_last").over(Window.partitionBy(*keys).orderBy("_lag_b")).alias("_lag_carry"))
+    joined = rows.join(carry, [*keys, "_lag_b"], "left")
+    return joined.withColumn(out, F.when(F.col("_lag_first"), F.col("_lag_carry")).otherwise(F.col("_lag_in"))).drop(
+        "_lag_b", "_lag_in", "_lag_first", "_lag_carry")
 
 
 def scalar(df: DataFrame, expr: Column) -> Column:

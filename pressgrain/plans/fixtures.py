@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressgrain.sources.readers import read_table
+
+# text tables whose files may hold fewer splits than the session has cores
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
 NOW = "2024-01-20 00:00:00"
 
 VIEWS: dict[str, str] = {
@@ -36,7 +40,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", SPREAD_KEYS.get(name))
 
     @_view("fx_articles", r"""
         SELECT doc_id AS article_id, source AS source_id,
