@@ -132,6 +132,13 @@ def json_digest(fields: dict[str, Column]) -> Column:
     return F.sha2(canonical_json(fields), 256)
 
 
+def analysis_fingerprint(article_id: Column, body_sha: Column, model: str, prompt: str, schema: int, approval: Column | None = None) -> Column:
+    """Body-free identity of one analysis request: digest of a key-sorted compact JSON object."""
+    quoted = {"approval": approval if approval is not None else F.lit(""), "article_id": article_id, "body_hash": F.coalesce(body_sha, F.lit("")),
+              "model": F.lit(model), "prompt": F.lit(prompt)}
+    return F.sha2(F.concat(F.regexp_replace(canonical_json(quoted), "}$", ","), F.lit(f'"schema":{schema}}}')), 256)
+
+
 def evidence_fingerprint(article_id: Column, sentence: Column, prefix: str = "evidence:v1") -> Column:
     return F.sha2(F.concat_ws(":", F.lit(prefix), article_id.cast("string"), sentence), 256)
 
