@@ -164,7 +164,7 @@ def _(t):
 
 
 @query("decode_entities", r"""
-    SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS decoded_sha FROM pages""")
+    SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(html, '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS decoded_sha FROM pages""")
 def _(t):
     return t.raw("pages").select("page_id", F.sha2(X.decode_entities(F.col("html")), 256).alias("decoded_sha"))
 
