@@ -1,8 +1,409 @@
-"""Event clustering."""
+"""Event clustering: articles of one run (a business day) into issues.
 
-from pyspark.sql import DataFrame, functions as F
+The unit of clustering is a headline: articles of a run whose normalized titles are equal always belong
+together, so any number of copies is one weighted unit. Units meet on shared tokens, an ordered rule
+list decides whether two units may be the same event, and complete-link clusters are grown in id order.
+"""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pressgrain.functions import columns as C, text as X
 from pressgrain.lexicons import korean as K
+from pressgrain.operators.common import top_per_key
+from pressgrain.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Word lists and rules of the clustering; the defaults are Korean."""
+
+    stopwords: Sequence[str] = K.STOPWORDS
+    body_stopwords: Sequence[str] = K.BODY_STOPWORDS
+    generic: Sequence[str] = K.GENERIC_EVENT_TOKENS
+    roles: Sequence[str] = K.ROLE_SUFFIXES
+    distinctive: Sequence[str] = K.DISTINCTIVE_EVENT_TOKENS
+    actor_pattern: str = K.ACTOR_PATTERN
+    actions: Sequence = K.ACTIONS
+    concepts: Sequence = K.CONCEPTS
+    hard_negatives: Sequence = K.HARD_NEGATIVES
+    section_categories: Sequence = K.SECTION_CATEGORIES
+    title_categories: Sequence = K.TITLE_CATEGORIES
+
+
+def _article_base(articles: DataFrame, lex: Lexicon) -> DataFrame:
+    """Title-side features of every article that has a category (the others are not agenda articles)."""
+    title = X.nfkc(F.col("title"))
+    first, second = X.hard_negative_sides(F.col("title"), lex.hard_negatives)
+    df = articles.withColumn("category", X.category_classify(F.col("section"), F.col("title"), lex.section_categories, lex.title_categories))
+    return df.filter(F.col("category").isNotNull()).select(
+        "run", "article_id", "category",
+        F.length("title").alias("title_chars"),
+        X.title_key(F.col("title")).alias("title_key"),
+        X.title_tokens(F.col("title"), lex.stopwords, lex.roles).alias("t"),
+        X.actors(title, lex.actor_pattern).alias("actors"),
+        X.concepts(title, lex.concepts).alias("concepts"),
+        X.classes_containing(F.concat_ws(" ", title, "body_text"), lex.actions).alias("actions"),
+        first.alias("hn1"), second.alias("hn2"),
+    )
+
+
+def body_token_sets(articles: DataFrame, base: DataFrame, lex: Lexicon, top: int = 160) -> DataFrame:
+    """Body tokens of each agenda article: the most frequent ones, without tokens too common in the run.
+
+    ``anchor`` marks the rare ones. The caps follow the number of articles of the run.
+    """
+    agenda = articles.select("run", "article_id", "body_text").join(base.select("run", "article_id"), ["run", "article_id"], "left_semi")
+    words = agenda.select("run", "article_id", F.explode(X.body_words(F.col("body_text"), lex.body_stopwords)).alias("token"))
+    counts = words.groupBy("run", "article_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut_lineage(top_per_key(counts, ["run", "article_id"], [F.col("n").desc(), F.length("token").desc(), F.col("token")], top).drop("n"))
+    sizes = base.groupBy("run").agg(F.count(F.lit(1)).alias("_articles"))
+    df = kept.groupBy("run", "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, "run")
+    df = df.filter(F.col("df") <= F.greatest(F.lit(5), F.ceil(F.col("_articles") * F.lit(0.08)))).select(
+        "run", "token", (F.col("df") <= F.greatest(F.lit(3), F.ceil(F.col("_articles") * F.lit(0.02)))).alias("anchor"))
+    return kept.join(df, ["run", "token"])
+
+
+def headline_units(articles: DataFrame, lex: Lexicon = Lexicon()) -> tuple[DataFrame, DataFrame]:
+    """(units, membership): one unit per (run, normalized title), carried by its first article.
+
+    The texts are read twice, once for the features and once for the body tokens; what both passes keep
+    is bounded per article and written out, so later steps never go back to the texts.
+    """
+    base = cut_lineage(_article_base(articles, lex))
+    heads = base.groupBy("run", "title_key").agg(F.min("article_id").alias("unit_id"), F.count(F.lit(1)).alias("weight"))
+    membership = base.select("run", "title_key", "article_id").join(heads.drop("weight"), ["run", "title_key"]).select("run", "unit_id", "article_id")
+    carriers = base.join(heads.select("run", F.col("unit_id").alias("article_id"), "weight"), ["run", "article_id"])
+    tokens = body_token_sets(articles, base, lex).join(heads.select("run", F.col("unit_id").alias("article_id")), ["run", "article_id"], "left_semi")
+    body = tokens.groupBy("run", "article_id").agg(
+        F.array_sort(F.collect_list("token")).alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("anchor"), F.col("token")))).alias("k"))
+    empty = F.array().cast("array<string>")
+    units = carriers.join(body, ["run", "article_id"], "left").withColumnRenamed("article_id", "unit_id")
+    units = units.withColumns({"b": F.coalesce("b", empty), "k": F.coalesce("k", empty)})
+    units = units.withColumn("c", F.array_union("t", "b"))
+    units = units.withColumn("d", F.filter("c", lambda x: ~x.isin(*lex.generic)))
+    units = units.withColumn("topic", F.filter("d", lambda x: ~x.isin(*lex.roles)))
+    units = units.withColumns({
+        "idx": F.when(F.size("d") > 0, F.col("d")).otherwise(F.col("t")),
+        "distinctive": F.filter("topic", lambda x: x.isin(*lex.distinctive))})
+    return cut_lineage(units), membership
+
+
+def token_pairs(units: DataFrame, chunk: int = 2000) -> DataFrame:
+    """Unit pairs (src after dst in id order) sharing a token or concept, with the counts they share.
+
+    A token carried by more than ``chunk`` units is cut into chunks; each pair of chunks is its own join
+    key, so no key meets more than chunk x chunk rows. Pairs are counted map-side before the shuffle.
+    """
+    tok = units.select(
+        "run", "unit_id", F.explode("c").alias("token"), "t", "b", "k", "d").select(
+        "run", "unit_id", "token",
+        F.array_contains("t", F.col("token")).cast("int").alias("it"), F.array_contains("b", F.col("token")).cast("int").alias("ib"),
+        F.array_contains("k", F.col("token")).cast("int").alias("ik"), F.array_contains("d", F.col("token")).cast("int").alias("id"),
+        F.lit(0).alias("ic"))
+    con = units.select("run", "unit_id", F.explode("concepts").alias("token")).select(
+        "run", "unit_id", F.concat(F.lit("#"), "token").alias("token"),
+        *[F.lit(0).alias(x) for x in ("it", "ib", "ik", "id")], F.lit(1).alias("ic"))
+    rows = tok.unionByName(con)
+    sizes = rows.groupBy("run", "token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    # the number of chunks is a property of the token; the chunk of a unit is a hash of its id
+    rows = rows.join(sizes, ["run", "token"]).withColumn("_m", F.ceil(F.col("_n") / F.lit(chunk)).cast("int"))
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64("unit_id"), F.col("_m")).cast("int"))
+    slot = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda j: F.struct(F.least(j, F.col("_c")).alias("lo"), F.greatest(j, F.col("_c")).alias("hi")))
+    spread = rows.withColumn("_s", F.explode(slot)).select("run", "token", "_s.lo", "_s.hi", "_c", "unit_id", "it", "ib", "ik", "id", "ic")
+    a, b = spread.alias("a"), spread.alias("b")
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("run", "token", "lo", "hi")]
+    # in a slot of two different chunks only cross-chunk pairs count, in a slot of one chunk all do
+    fresh = (F.col("a.lo") == F.col("a.hi")) | (F.col("a._c") != F.col("b._c"))
+    met = a.join(b, [*keys, F.col("a.unit_id") > F.col("b.unit_id"), fresh])
+    both = lambda x: F.sum(F.col(f"a.{x}") * F.col(f"b.{x}"))
+    return met.groupBy(F.col("a.run").alias("run"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")).agg(
+        both("it").alias("shared_title"), both("ib").alias("shared_body"), both("ik").alias("shared_anchors"),
+        both("id").alias("shared_discriminators"), both("ic").alias("shared_concepts"),
+        F.count_if(F.col("a.ic") == 0).alias("shared_all"))
+
+
+def pair_features(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Similarities and shared event features of each pair that can pass any rule.
+
+    A pair sharing no concept needs a title similarity of .15 or a content similarity of .10 in every
+    rule, so the rest is dropped before the feature join.
+    """
+    size = units.select("run", "unit_id", F.size("t").alias("nt"), F.size("b").alias("nb"), F.size("c").alias("nc"))
+    p = pairs.join(size.select("run", F.col("unit_id").alias("src"), F.col("nt").alias("nt1"), F.col("nb").alias("nb1"), F.col("nc").alias("nc1")), ["run", "src"])
+    p = p.join(size.select("run", F.col("unit_id").alias("dst"), F.col("nt").alias("nt2"), F.col("nb").alias("nb2"), F.col("nc").alias("nc2")), ["run", "dst"])
+    bodies = (F.col("nb1") > 0) & (F.col("nb2") > 0)
+    tj = F.coalesce(C.ratio(F.col("shared_title"), F.col("nt1") + F.col("nt2") - F.col("shared_title")), F.lit(0.0))
+    cj = F.when(bodies, F.coalesce(C.ratio(F.col("shared_all"), F.col("nc1") + F.col("nc2") - F.col("shared_all")), F.lit(0.0)))
+    p = p.withColumns({"title_jaccard": tj, "content_jaccard": cj})
+    p = p.withColumns({
+        "similarity": C.blended_similarity(F.col("title_jaccard"), F.coalesce("content_jaccard", F.lit(0.0)), bodies),
+        "overlap": F.col("shared_title") + F.when(bodies, F.col("shared_all")).otherwise(0)})
+    possible = (F.col("shared_concepts") > 0) | (F.col("title_jaccard") >= 0.15) | (F.coalesce("content_jaccard", F.lit(0.0)) >= 0.10)
+    p = p.filter(possible).drop("nt1", "nt2", "nb1", "nb2", "nc1", "nc2")
+    cols = ("category", "actors", "actions", "topic", "distinctive", "hn1", "hn2")
+    left = units.select("run", F.col("unit_id").alias("src"), *[F.col(c).alias(f"l_{c}") for c in cols])
+    right = units.select("run", F.col("unit_id").alias("dst"), *[F.col(c).alias(f"r_{c}") for c in cols])
+    p = p.join(left, ["run", "src"]).join(right, ["run", "dst"])
+    both = lambda c: F.size(F.array_intersect(f"l_{c}", f"r_{c}"))
+    p = p.withColumns({
+        "shared_topic": related_count(F.col("l_topic"), F.col("r_topic")),
+        "shared_distinctive": prefix_count(F.col("l_distinctive"), F.col("r_distinctive"), 0),
+        "shared_actors": both("actors"), "shared_actions": both("actions"),
+        "actors_left": F.size("l_actors"), "actors_right": F.size("r_actors"),
+        "actions_left": F.size("l_actions"), "actions_right": F.size("r_actions"),
+        "distinctive_left": F.size("l_distinctive"), "distinctive_right": F.size("r_distinctive"),
+        "same_category": F.col("l_category") == F.col("r_category"),
+        "hard_negative": F.arrays_overlap("l_hn1", "r_hn2") | F.arrays_overlap("l_hn2", "r_hn1"),
+    })
+    return p.drop(*[f"{s}_{c}" for s in "lr" for c in cols])
+
+
+def _prefixes(tokens: Column, min_extra: int) -> Column:
+    """All prefixes of at least two characters that leave ``min_extra`` more characters."""
+    long = F.filter(tokens, lambda t: F.length(t) >= 2 + min_extra)
+    cut = F.flatten(F.transform(long, lambda t: F.transform(F.sequence(F.lit(2), F.length(t) - min_extra), lambda i: F.left(t, i))))
+    return F.array_distinct(cut)
+
+
+def prefix_count(left: Column, right: Column, min_extra: int) -> Column:
+    """Left tokens equal to, a prefix of, or extending a right token. Set operations on prefix sets
+    replace the comparison of every left token with every right token."""
+    shorter = F.array_intersect(left, F.array_union(right, _prefixes(right, min_extra)))
+    stems = F.array_intersect(_prefixes(left, min_extra), right)
+    longer = F.filter(left, lambda t: F.exists(stems, lambda s: F.startswith(t, s) & (F.length(t) >= F.length(s) + min_extra)))
+    return F.size(F.array_union(shorter, longer))
+
+
+def related_count(left: Column, right: Column) -> Column:
+    """max(exact, related) shared topic tokens; two exact ones settle every rule, so the prefix sets are
+    only built for pairs with fewer."""
+    exact = F.size(F.array_intersect(left, right))
+    return F.when(exact >= 2, exact).otherwise(F.greatest(exact, prefix_count(left, right, 2)))
+
+
+def compatible_event(features: DataFrame) -> DataFrame:
+    """Which rule of the ordered list decides each pair, and how."""
+    c = F.col
+    cj, tj, j = F.coalesce("content_jaccard", F.lit(-1.0)), c("title_jaccard"), c("similarity")
+    identity = F.greatest("shared_discriminators", "shared_topic")
+    staged = (
+        ((c("shared_topic") >= 1) & (identity >= 2) & (tj >= 0.15) & (c("shared_title") >= 3) & ((c("shared_actors") >= 1) | (c("shared_topic") >= 2)))
+        | ((c("shared_anchors") >= 2) & (c("shared_title") >= 1)))
+    one_sided = lambda n, s: (c(f"{n}_left") > 0) & (c(f"{n}_right") > 0) & (c(s) == 0)
+    df = features.withColumn("_staged", staged)
+    s = c("_staged")
+    rule = (
+        F.when(c("hard_negative"), -2)
+        .when(~c("same_category"), -3)
+        .when(c("shared_concepts") > 0, 4)
+        .when(one_sided("actors", "shared_actors"), -5)
+        .when(one_sided("distinctive", "shared_distinctive"), -6)
+        .when(one_sided("actions", "shared_actions") & ~s, -7)
+        .when(s & (c("shared_title") >= 3) & (tj >= 0.18), 8)
+        .when((c("actors_left") >= 2) & (c("actors_right") >= 2) & (c("shared_discriminators") < 1), -9)
+        .when((c("shared_anchors") >= 3) & (cj >= 0.18) & (c("shared_actions") > 0), 10)
+        .when((c("shared_anchors") >= 2) & (c("shared_title") >= 1) & (cj >= 0.10), 11)
+        .when((c("shared_anchors") >= 1) & (c("shared_body") >= 4) & (c("shared_title") >= 2) & (tj >= 0.15) & (cj >= 0.14), 12)
+        .when((c("actors_left") != c("actors_right")) & (j < 0.35), -13)
+        .when((c("overlap") >= 2) & (c("shared_topic") >= 1) & (j >= 0.25), 14)
+        .otherwise(-14))
+    return df.withColumn("rule", F.abs(rule)).withColumn("compatible", rule > 0).drop("_staged")
+
+
+def compatible_edges(units: DataFrame, chunk: int = 2000) -> DataFrame:
+    """Compatible unit pairs: (run, src, dst, similarity, indexed) - ``indexed`` when they share an index token."""
+    decided = compatible_event(pair_features(units, token_pairs(units, chunk))).filter("compatible")
+    # a unit made of generic tokens only is indexed by its title tokens
+    plain = units.filter(F.size("d") == 0).select("run", "unit_id", F.lit(True).alias("_p"))
+    marked = decided.join(plain.toDF("run", "src", "_p1"), ["run", "src"], "left").join(plain.toDF("run", "dst", "_p2"), ["run", "dst"], "left")
+    indexed = (F.col("shared_discriminators") > 0) | (F.col("_p1").isNotNull() & F.col("_p2").isNotNull() & (F.col("shared_title") > 0))
+    return marked.select("run", "src", "dst", "similarity", indexed.alias("indexed"))
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(run, node, component): component is the smallest node id. Minimum labels spread along edges and
+    each round also jumps to the label's own label, so long chains shorten quickly. Every round is a
+    reliable checkpoint."""
+    both = edges.select("run", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("run", F.col("dst").alias("a"), F.col("src").alias("b")))
+    both = cut_lineage(both.distinct())
+    labels = cut_lineage(both.groupBy("run", F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    for _ in range(max_rounds):
+        seen = both.join(labels.select("run", F.col("node").alias("b"), F.col("component").alias("cb")), ["run", "b"])
+        near = seen.groupBy("run", F.col("a").alias("node")).agg(F.min("cb").alias("_near"))
+        step = labels.join(near, ["run", "node"]).select("run", "node", "component", F.least("component", "_near").alias("_next"))
+        jump = step.join(step.select("run", F.col("node").alias("_next"), F.col("_next").alias("_jump")), ["run", "_next"])
+        moved = cut_lineage(jump.select("run", "node", F.col("component").alias("_old"), F.least("_next", "_jump").alias("component")))
+        labels = moved.drop("_old")
+        if moved.filter(F.col("_old") != F.col("component")).limit(1).count() == 0:
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+NODE_COLS = "run string, unit_id {t}, cluster_id {t}"
+
+
+def grow_clusters(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
+    """Complete-link growth in id order over one small component; returns {unit: cluster}."""
+    near: dict = {}
+    for s, d, sim, idx in zip(edges["src"], edges["dst"], edges["similarity"], edges["indexed"], strict=True):
+        near.setdefault(s, {})[d] = (sim, idx)
+        near.setdefault(d, {})[s] = (sim, idx)
+    info = {u: (w, n, frozenset(d)) for u, w, n, d in zip(nodes["unit_id"], nodes["weight"], nodes["title_chars"], nodes["idx"], strict=True)}
+    members: dict = {}
+    tokens: dict = {}
+    home: dict = {}
+
+    def representative(c):
+        total = sum(info[m][0] for m in members[c])
+        best, best_score = None, -1.0
+        for m in members[c]:
+            w = info[m][0]
+            s = (w - 1) + sum(info[o][0] * near[m][o][0] for o in members[c] if o != m)
+            score = s / max(1, total - 1) - max(0, info[m][1] - 70) / 500 if total > 1 else 0.0
+            if score > best_score:
+                best, best_score = m, score
+        return best
+
+    for u in sorted(info):
+        mine = near.get(u, {})
+        options = []
+        for c in {home[v] for v in mine if v in home}:
+            if all(m in mine for m in members[c]) and any(mine[m][1] for m in members[c]):
+                options.append((mine[representative(c)][0], len(info[u][2] & tokens[c]), c))
+        if options:
+            c = min(options, key=lambda o: (-o[0], -o[1], o[2]))[2]
+        else:
+            c = u
+            members[c], tokens[c] = [], set()
+        members[c].append(u)
+        tokens[c] |= info[u][2]
+        home[u] = c
+    return home
+
+
+def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 5000) -> DataFrame:
+    """(run, unit_id, cluster_id); a cluster is named by its first unit.
+
+    A unit joins a cluster only if it is compatible with every member, so clusters never cross
+    components. Components up to ``task_limit`` units are grown inside one task each; larger ones go
+    through ``grow_in_rounds``, which reaches the same result with joins only.
+    """
+    edges = cut_lineage(edges)
+    kind = dict(units.dtypes)["unit_id"]
+    parts = connected_components(edges)
+    sizes = parts.groupBy("run", "component").agg(F.count(F.lit(1)).alias("_size"))
+    placed = cut_lineage(parts.join(sizes, ["run", "component"]))
+    small, large = placed.filter(F.col("_size") <= task_limit), placed.filter(F.col("_size") > task_limit)
+    alone = units.select("run", "unit_id").join(placed.select("run", F.col("node").alias("unit_id")), ["run", "unit_id"], "left_anti").withColumn("cluster_id", F.col("unit_id"))
+
+    def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        home = grow_clusters(nodes, links)
+        return pd.DataFrame({"run": key[0], "unit_id": list(home), "cluster_id": list(home.values())})
+
+    n = units.select("run", F.col("unit_id").alias("node"), "weight", "title_chars", "idx").join(small.drop("_size"), ["run", "node"]).withColumnRenamed("node", "unit_id")
+    e = edges.join(small.select("run", F.col("node").alias("src"), F.col("component").alias("part")), ["run", "src"]).withColumnRenamed("run", "part_run")
+    grown = n.groupBy("run", "component").cogroup(e.groupBy("part_run", "part")).applyInPandas(run, NODE_COLS.format(t=kind))
+    out = alone.select("run", "unit_id", "cluster_id").unionByName(grown)
+    if large.limit(1).count():
+        ids = large.select("run", F.col("node").alias("unit_id"))
+        big_edges = edges.join(ids.withColumnRenamed("unit_id", "src"), ["run", "src"], "left_semi")
+        out = out.unionByName(grow_in_rounds(units.join(ids, ["run", "unit_id"], "left_semi"), big_edges))
+    return out
+
+
+def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same growth for components of any size, as rounds of joins.
+
+    In a round every unit decides that no earlier undecided unit can still influence: none it is
+    compatible with, and none that could enter a cluster it could enter itself. Such units cannot
+    influence each other either, so they all decide at once. The first undecided unit always qualifies.
+    """
+    nodes = cut_lineage(units.select("run", "unit_id", "weight", "title_chars", "idx"))
+    links = edges.select("run", "src", "dst", "similarity", "indexed").union(edges.select("run", "dst", "src", "similarity", "indexed"))
+    links = cut_lineage(links.toDF("run", "u", "v", "sim", "indexed"))
+    done = nodes.select("run", "unit_id", F.col("unit_id").alias("cluster_id")).limit(0)
+    total, decided = nodes.count(), 0
+    while decided < total:
+        open_units = nodes.join(done.select("run", "unit_id"), ["run", "unit_id"], "left_anti").select("run", F.col("unit_id").alias("u"))
+        size = done.groupBy("run", "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+        to_done = links.join(done.select("run", F.col("unit_id").alias("v"), "cluster_id"), ["run", "v"])
+        met = to_done.join(open_units, ["run", "u"], "left_semi").groupBy("run", "u", "cluster_id").agg(
+            F.count(F.lit(1)).alias("_n"), F.bool_or("indexed").alias("_i"))
+        eligible = met.join(size, ["run", "cluster_id"]).filter((F.col("_n") == F.col("size")) & F.col("_i")).select("run", "u", "cluster_id")
+        eligible = cut_lineage(eligible)
+        first = eligible.groupBy("run", "cluster_id").agg(F.min("u").alias("_first"))
+        behind = eligible.join(first, ["run", "cluster_id"]).filter(F.col("u") > F.col("_first")).select("run", "u")
+        earlier = links.filter(F.col("v") < F.col("u")).join(open_units.withColumnRenamed("u", "v"), ["run", "v"], "left_semi").select("run", "u")
+        ready = open_units.join(behind.union(earlier).distinct(), ["run", "u"], "left_anti")
+        inside = to_done.join(done.select("run", F.col("unit_id").alias("u"), F.col("cluster_id").alias("_mine")), ["run", "u"]).filter(F.col("_mine") == F.col("cluster_id"))
+        weight = nodes.select("run", F.col("unit_id").alias("v"), F.col("weight").alias("vw"))
+        sums = inside.join(weight, ["run", "v"]).groupBy("run", "cluster_id", "u").agg(F.sum(F.col("sim") * F.col("vw")).alias("_s"))
+        of_cluster = done.join(nodes, ["run", "unit_id"])
+        totals = of_cluster.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
+        scored = of_cluster.join(sums.withColumnRenamed("u", "unit_id"), ["run", "cluster_id", "unit_id"], "left").join(totals, ["run", "cluster_id"])
+        score = (F.coalesce("_s", F.lit(0.0)) + F.col("weight") - 1) / F.greatest(F.col("_w") - 1, F.lit(1)) - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500
+        reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-score, F.col("unit_id"))).alias("v"))
+        union = of_cluster.select("run", "cluster_id", F.explode("idx").alias("token")).distinct()
+        choice = eligible.join(ready, ["run", "u"], "left_semi")
+        shared = choice.join(nodes.select("run", F.col("unit_id").alias("u"), F.explode("idx").alias("token")), ["run", "u"]).join(
+            union, ["run", "cluster_id", "token"]).groupBy("run", "u", "cluster_id").agg(F.count(F.lit(1)).alias("_shared"))
+        ranked = choice.join(reps, ["run", "cluster_id"]).join(links.select("run", "u", "v", "sim"), ["run", "u", "v"]).join(shared, ["run", "u", "cluster_id"], "left")
+        best = ranked.groupBy("run", "u").agg(F.min_by("cluster_id", F.struct(-F.col("sim"), -F.coalesce("_shared", F.lit(0)), F.col("cluster_id"))).alias("cluster_id"))
+        new = ready.join(best, ["run", "u"], "left").select("run", F.col("u").alias("unit_id"), F.coalesce("cluster_id", "u").alias("cluster_id"))
+        done = cut_lineage(done.unionByName(new))
+        decided = done.count()
+    return done
+
+
+def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 5000,
+                     grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(run, issue_id, article_id, unit_id) of every agenda article. ``grouping`` replaces the default
+    complete-link step and must return (run, unit_id, cluster_id)."""
+    units, membership = headline_units(articles, lex)
+    edges = compatible_edges(units)
+    clusters = grouping(units, edges) if grouping else complete_link_clusters(units, edges, task_limit)
+    return membership.join(clusters, ["run", "unit_id"]).select("run", F.col("cluster_id").alias("issue_id"), "article_id", "unit_id")
+
+
+def cluster_members(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 5000,
+                    grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Membership with each article's similarity to its issue's representative:
+    (run, issue_id, article_id, unit_id, similarity, is_representative)."""
+    units, membership = headline_units(articles, lex)
+    edges = cut_lineage(compatible_edges(units))
+    clusters = cut_lineage(grouping(units, edges) if grouping else complete_link_clusters(units, edges, task_limit))
+    placed = representative_units(units, clusters, edges)
+    return membership.join(placed, ["run", "unit_id"]).select(
+        "run", F.col("cluster_id").alias("issue_id"), "article_id", "unit_id", "similarity",
+        (F.col("is_representative") & (F.col("article_id") == F.col("unit_id"))).alias("is_representative"))
+
+
+def representative_units(units: DataFrame, clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per cluster the unit with the best mean similarity to the others, less a long-title penalty;
+    the earliest wins ties. Adds every unit's similarity to it."""
+    c = clusters.join(units.select("run", "unit_id", "weight", "title_chars"), ["run", "unit_id"])
+    home = clusters.select("run", "unit_id", "cluster_id")
+    inside = edges.join(home.toDF("run", "src", "cluster_id"), ["run", "src"]).join(home.toDF("run", "dst", "cluster_id"), ["run", "dst", "cluster_id"])
+    both = inside.select("run", "cluster_id", F.col("src").alias("u"), F.col("dst").alias("v"), "similarity").union(
+        inside.select("run", "cluster_id", F.col("dst").alias("u"), F.col("src").alias("v"), "similarity"))
+    weights = units.select("run", F.col("unit_id").alias("v"), F.col("weight").alias("_vw"))
+    sums = both.join(weights, ["run", "v"]).groupBy("run", F.col("u").alias("unit_id")).agg(F.sum(F.col("similarity") * F.col("_vw")).alias("_s"))
+    totals = c.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
+    scored = c.join(sums, ["run", "unit_id"], "left").join(totals, ["run", "cluster_id"])
+    mean = (F.coalesce("_s", F.lit(0.0)) + F.col("weight") - 1) / F.greatest(F.col("_w") - 1, F.lit(1))
+    penalty = F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500
+    reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-(mean - penalty), F.col("unit_id"))).alias("rep"))
+    to_rep = both.join(reps.withColumnRenamed("rep", "v"), ["run", "cluster_id", "v"]).select("run", F.col("u").alias("unit_id"), F.col("similarity").alias("_sim"))
+    out = home.join(reps, ["run", "cluster_id"]).join(to_rep, ["run", "unit_id"], "left")
+    own = F.col("unit_id") == F.col("rep")
+    return out.select("run", "unit_id", "cluster_id", own.alias("is_representative"), F.when(own, F.lit(1.0)).otherwise(F.col("_sim")).alias("similarity"))
 
 
 def issue_suffixes(titled: DataFrame, rules=K.ISSUE_SUFFIXES) -> DataFrame:

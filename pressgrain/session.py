@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,24 @@ def build_session(app: str = "pressgrain", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names; fall back to a scratch folder only when none is set (tests)."""
+def stage_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the one the cluster names, else the one already set, else
+    a scratch folder (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir()
+    current = named or spark.sparkContext.getCheckpointDir()
+    if current is None:
+        current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, and keeps iterative plans short."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage as a Parquet table in the shared folder and continue from it.
+
+    It survives the loss of executors, keeps iterative plans short, is computed once however often it is
+    read, and gives the planner real sizes to choose joins by.
+    """
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
