@@ -152,17 +152,17 @@ class Tables:
         )
 
     @_view("fx_members", """
-        SELECT doc_id // 7 AS issue_id, doc_id AS article_id, source AS source_id,
+        SELECT doc_id // 25 AS issue_id, doc_id AS article_id, source AS source_id,
                'group' || CAST(CAST(substr(source, 4) AS BIGINT) // 2 AS VARCHAR) AS media_group_id,
-               doc_id % 7 = 3 AS is_representative, (n_chars % 100) / 100 AS similarity FROM documents""")
+               doc_id % 25 = 3 AS is_representative, (n_chars % 100) / 100 AS similarity FROM documents""")
     def members(self) -> DataFrame:
         d = self.raw("documents")
         return d.select(
-            F.expr("doc_id div 7").alias("issue_id"),
+            F.expr("doc_id div 25").alias("issue_id"),
             F.col("doc_id").alias("article_id"),
             F.col("source").alias("source_id"),
             F.expr("concat('group', cast(substr(source, 4) as bigint) div 2)").alias("media_group_id"),
-            F.expr("doc_id % 7 = 3").alias("is_representative"),
+            F.expr("doc_id % 25 = 3").alias("is_representative"),
             F.expr("(n_chars % 100) / 100").alias("similarity"),
         )
 
@@ -333,14 +333,14 @@ class Tables:
             F.col("user_id").alias("post_id"), F.expr("event_id % 5").alias("reporter_id"))
 
     @_view("fx_reviews", """
-        SELECT doc_id AS review_id, doc_id // 7 AS issue_id, doc_id AS article_id,
+        SELECT doc_id AS review_id, doc_id // 25 AS issue_id, doc_id AS article_id,
                CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' ELSE 'incorrect' END AS verdict,
                doc_id % 9 + 1 AS articles, doc_id % 13 % 4 AS misplaced, doc_id % 3 AS missing,
                CASE WHEN toxic = 1 THEN 'in_review' ELSE 'done' END AS review_status FROM labels""")
     def reviews(self) -> DataFrame:
         return self.raw("labels").select(
             F.col("doc_id").alias("review_id"),
-            F.expr("doc_id div 7").alias("issue_id"),
+            F.expr("doc_id div 25").alias("issue_id"),
             F.col("doc_id").alias("article_id"),
             F.expr("case when quality = 1 and toxic = 0 then 'correct' when quality = 1 then 'partial' else 'incorrect' end").alias("verdict"),
             F.expr("doc_id % 9 + 1").alias("articles"),
