@@ -245,10 +245,10 @@ def _(t):
     return A.comment_feed(t.posts, t.replies, t.reactions, F.lit(7), 40).select("post_id", "author_kind", "reaction_count", "reacted_by_me", "reply_count")
 
 
-@query("nested_replies", "SELECT post_id, reply_id, row_number() OVER (PARTITION BY post_id ORDER BY created_at, reply_id) AS position FROM fx_replies WHERE post_id IN (SELECT post_id FROM fx_posts ORDER BY created_at DESC, post_id DESC LIMIT 40)")
+@query("nested_replies", "SELECT post_id, reply_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM fx_replies WHERE post_id IN (SELECT post_id FROM fx_posts ORDER BY created_at DESC, post_id DESC LIMIT 40)")
 def _(t):
     page = A.comment_feed(t.posts, t.replies, t.reactions, F.lit(7), 40)
-    return Q.BIG(A.nested_replies(page, t.replies).select("post_id", "reply_id", "position"), "position")
+    return A.nested_replies(page, t.replies).select("post_id", "reply_id", C.stamp(F.col("created_at")).alias("created_at"))
 
 
 @query("moderation_state", r"""
