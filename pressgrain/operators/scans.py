@@ -117,10 +117,12 @@ def merge_articles_import(current: DataFrame, incoming: DataFrame) -> DataFrame:
 def merge_articles_discovery(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by URL in one aggregate: longest title (old wins ties), newest section, oldest dates."""
     rows = current.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    have = lambda c: F.when(F.col(c).isNotNull(), F.struct("_new", c))
+    # the value itself ends every ordering, so rows of one batch that tie give the same result on a replay
     return rows.groupBy("canonical_url").agg(
-        F.max_by("title", F.struct(F.length("title"), -F.col("_new"))).alias("title"),
-        F.max_by("section", F.when(F.col("section").isNotNull(), F.col("_new"))).alias("section"),
-        F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("_new"))).alias("published_at"),
+        F.max_by("title", F.struct(F.length("title"), -F.col("_new"), F.col("title"))).alias("title"),
+        F.max(have("section"))["section"].alias("section"),
+        F.min(have("published_at"))["published_at"].alias("published_at"),
         F.min("collected_at").alias("collected_at"),
     )
 

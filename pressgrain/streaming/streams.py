@@ -59,20 +59,20 @@ def upsert_articles(stream: DataFrame, table: VersionedTable, checkpoint: str) -
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def track_states(stream: DataFrame, allowed: dict[str, Sequence[str]] = TRANSITIONS, start: str = "none", timeout_ms: int = 86_400_000) -> DataFrame:
+def track_states(stream: DataFrame, allowed: dict[str, Sequence[str]] = TRANSITIONS, start: str = "none", late: str = "1 hour", silent_ms: int = 86_400_000) -> DataFrame:
     """Current state of each item from a stream of (item_id, seq, updated_at, state).
 
     Events of a micro-batch are applied in time order; a transition the table does not allow is counted
-    and not applied. An item that stays silent past the timeout is dead-lettered.
+    and not applied. An unfinished item that stays silent for ``silent_ms`` of event time is
+    dead-lettered. Only the state name and a counter are kept per item.
     """
     terminal = {s for s, nxt in allowed.items() if not nxt}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current, illegal = state.get if state.exists else (start, 0)
         if state.hasTimedOut:
-            if current not in terminal:
-                current = "dead_letter"
-            state.remove()
+            current = "dead_letter"
+            state.update((current, illegal))
         else:
             pdf = pd.concat([b[["updated_at", "seq", "state"]] for b in batches]).sort_values(["updated_at", "seq"])
             for nxt in pdf["state"]:
@@ -81,10 +81,11 @@ def track_states(stream: DataFrame, allowed: dict[str, Sequence[str]] = TRANSITI
                 else:
                     illegal += 1
             state.update((current, illegal))
+            last = int(pdf["updated_at"].iloc[-1].timestamp() * 1000)
             if current not in terminal:
-                state.setTimeoutDuration(timeout_ms)
+                state.setTimeoutTimestamp(max(last + silent_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"item_id": [key[0]], "state": [current], "illegal": [illegal]})
 
     kind = dict(stream.dtypes)["item_id"]
-    return stream.groupBy("item_id").applyInPandasWithState(
-        step, f"item_id {kind}, state string, illegal bigint", "state string, illegal bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("updated_at", late).groupBy("item_id").applyInPandasWithState(
+        step, f"item_id {kind}, state string, illegal bigint", "state string, illegal bigint", "update", GroupStateTimeout.EventTimeTimeout)
