@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgrain.functions import columns as C, rules as R, text as X
 from pressgrain.operators.common import top_per_key
+from pressgrain.session import cut_lineage
 
 # fixed values: markup classes of the extractor
 BLOCK_TAGS = frozenset("address article aside blockquote div figcaption figure h1 h2 h3 h4 h5 h6 li main p section table td tr".split())
@@ -282,10 +283,12 @@ def access_restricted(pages: DataFrame, patterns=RESTRICTED_TEXTS) -> DataFrame:
 
 def extract_page_body(pages: DataFrame, source_pattern: str | None = None) -> DataFrame:
     """Best body text, strategy and quality of each open page."""
-    flags = access_restricted(pages)
+    # both stages are written out once: the filters on them would otherwise be pushed below the regular
+    # expressions they test and repeat them for every reference
+    flags = cut_lineage(access_restricted(pages))
     open_pages = pages.join(flags.filter(F.col("structured") | F.col("visible")).select("page_id"), "page_id", "left_anti")
     blocked = "|".join(f"(?:{p})" for p in RESTRICTED_TEXTS)
-    cleaned = clean_candidates(body_candidates(open_pages, source_pattern))
+    cleaned = cut_lineage(clean_candidates(body_candidates(open_pages, source_pattern)))
     # one restricted candidate withholds its page; same partitioning as the choice that follows
     walled = F.max(F.col("body_text").rlike(blocked)).over(Window.partitionBy("page_id"))
     scored = quality_score(text_statistics(cleaned.withColumn("_walled", walled).filter(~F.col("_walled")).drop("_walled")))
