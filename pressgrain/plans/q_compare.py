@@ -331,6 +331,17 @@ def _(t):
     return BIG(M.camps(M.article_view(items(t)), t.members), "position")
 
 
+@query("camp_key", """
+    WITH f AS (SELECT issue_id, article_id, max(family) FILTER (dimension = 'problem_definition') AS p, max(family) FILTER (dimension = 'treatment_recommendation') AS t FROM fx_view GROUP BY ALL)
+    SELECT issue_id, article_id, CASE WHEN p = 'p_that' AND article_id % 2 = 0 THEN 'legal_institutional' WHEN t IS NULL THEN 'no_treatment' WHEN t = 't_los' THEN 'institutional_check' ELSE t END AS camp FROM f""")
+def _(t):
+    v = M.article_view(items(t)).groupBy("issue_id", "article_id").agg(
+        F.max(F.when(F.col("dimension") == "problem_definition", F.col("family"))).alias("p"), F.max(F.when(F.col("dimension") == "treatment_recommendation", F.col("family"))).alias("t"))
+    problem = F.expr("case when p = 'p_that' and article_id % 2 = 0 then 'legal_institutional' else p end")
+    treatment = F.expr("case when t = 't_los' then 'institutional_check' else t end")
+    return v.select("issue_id", "article_id", M.camp_key(problem, treatment).alias("camp"))
+
+
 @query("agreement_lines", "SELECT issue_id, dimension, count(DISTINCT family) AS families, count(*) AS articles, CASE WHEN count(DISTINCT family) = 1 THEN 'fact' ELSE 'split' END AS line, CASE WHEN count(DISTINCT family) = 1 THEN min(family) END AS family FROM fx_view GROUP BY ALL")
 def _(t):
     return M.agreement_lines(M.article_view(items(t)))

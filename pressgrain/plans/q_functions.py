@@ -58,6 +58,11 @@ def _(t):
     return t.articles.select("article_id", h.alias("body_sha256"), C.analysis_key(F.col("canonical_url"), h, "v1").alias("analysis_key"))
 
 
+@query("analysis_key", "SELECT article_id, canonical_url || '|' || sha256(body_text) || '|rules-v2' AS analysis_key FROM fx_articles")
+def _(t):
+    return t.articles.select("article_id", C.analysis_key(F.col("canonical_url"), C.body_hash(F.col("body_text")), "rules-v2").alias("analysis_key"))
+
+
 @query("analysis_fingerprint", """
     SELECT article_id, sha256('{"approval":"","article_id":"' || article_id || '","body_hash":"' || sha256(body_text) || '","model":"rules","prompt":"p1","schema":2}') AS fingerprint FROM fx_articles""")
 def _(t):

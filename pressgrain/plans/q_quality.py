@@ -13,6 +13,7 @@ from pressgrain.plans.q_compare import items, mentions
 from pressgrain.plans.q_text import STOP
 from pressgrain.plans.q_windows import PAIRS, gold_and_predicted, reviewed
 from pressgrain.plans.registry import query
+from pressgrain.session import cut_lineage
 
 VIEWS["fx_gate_issues"] = "SELECT issue_id, any_value(title) AS title, count(DISTINCT m.source_id) AS outlet_count, CASE WHEN issue_id % 6 = 0 THEN 0.0 ELSE 10.5 END AS agenda_score FROM fx_members m JOIN fx_articles a ON a.article_id = m.article_id WHERE is_representative GROUP BY issue_id"
 
@@ -205,7 +206,8 @@ VIEWS["fx_ctok"] = f"SELECT DISTINCT cid, t FROM (SELECT article_id || ':' || pa
     SELECT item_id AS question_id, cid AS candidate_id, coalesce(n, 0) AS overlap, CASE WHEN cid IS NULL THEN 'withheld' ELSE 'answered' END AS status FROM benchmark LEFT JOIN b USING (item_id)""")
 def _(t):
     q = t.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    s = T.segment_sentences(t.articles).select(F.concat_ws(":", "article_id", "paragraph", "sentence").alias("candidate_id"), "text", "sentence")
+    # candidates and their evidence come from the same sentences, which are segmented once
+    s = cut_lineage(T.segment_sentences(t.articles).select(F.concat_ws(":", "article_id", "paragraph", "sentence").alias("candidate_id"), "text", "sentence"))
     return A.evidence_answer(q, s.drop("sentence"), s.filter("sentence % 2 = 1"), STOP)
 
 
