@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pressgrain.llm import packing, token_file, warc
+from pressgrain.llm import html_text, lang_id, packing, token_file, warc
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
+    "op4_language": lang_id.op4_language,
     "op6_pack_sequences": packing.op6_pack_sequences,
     "op8_token_files": token_file.op8_token_files,
     "op10_warc": warc.op10_warc,
