@@ -8,25 +8,30 @@ from pressgrain.llm.common import table
 from pressgrain.session import cut_lineage
 
 
-def lines_of(text: Column) -> Column:
-    """Lines of a text, each with its line feed, so that their concatenation is the text."""
-    return F.filter(F.split(text, "(?<=\n)"), lambda x: x != "")
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    A plain column would be pasted into every later expression that names it, and inside a lambda it would then be
+    computed anew for each element. A generator is a border that expressions don't cross.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunks_of(lines: Column, divisor: int) -> Column:
-    """Content-defined chunks: array of struct(part, n).
+def with_chunks(df: DataFrame, text: str, divisor: int) -> DataFrame:
+    """``df`` with _chunks, the content-defined chunks of its text: array of struct(part, n lines).
 
     A rolling hash over the hashes of a line and the line before it decides whether a chunk ends behind the line: its
-    remainder by ``divisor`` must be 0. White space around a line plays no role in it. The decision depends on two lines only, so
-    text put in or taken out elsewhere moves no boundary, and chunks have ``divisor`` lines on average.
+    remainder by ``divisor`` must be 0. White space around a line plays no role in it. The decision depends on two lines
+    only, so text put in or taken out elsewhere moves no boundary, and chunks have ``divisor`` lines on average. The
+    parts joined by line feeds are the text.
     """
-    hashes = F.transform(lines, lambda x: F.xxhash64(F.trim(x)))
-    rolled = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(F.when(i > 0, F.element_at(hashes, i)).otherwise(F.lit(0).cast("long")), h), F.lit(divisor)))
-    # positions behind which a chunk ends; the last line always ends one
-    ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (F.element_at(rolled, i) == 0) | (i == F.size(lines)))
-    return F.transform(ends, lambda end, k: F.struct(
-        F.array_join(F.slice(lines, F.when(k > 0, F.element_at(ends, k)).otherwise(0) + 1, end - F.when(k > 0, F.element_at(ends, k)).otherwise(0)), "").alias("part"),
-        (end - F.when(k > 0, F.element_at(ends, k)).otherwise(0)).alias("n")))
+    df = _once(df, "_lines", F.split(F.col(text), "\n", -1))
+    df = _once(df, "_hashes", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))))
+    ends_at = lambda i: F.pmod(F.xxhash64(F.when(i > 1, F.get("_hashes", i - 2)).otherwise(F.lit(0).cast("long")), F.get("_hashes", i - 1)), F.lit(divisor)) == 0
+    df = _once(df, "_ends", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: ends_at(i) | (i == F.size("_lines"))))
+    before = lambda k: F.when(k > 0, F.get("_ends", k - 1)).otherwise(0)
+    chunks = F.transform("_ends", lambda end, k: F.struct(F.array_join(F.slice("_lines", before(k) + 1, end - before(k)), "\n").alias("part"), (end - before(k)).alias("n")))
+    return _once(df, "_chunks", chunks).drop("_lines", "_hashes", "_ends")
 
 
 def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 3, min_lines: int = 2, min_words: int = 10) -> DataFrame:
@@ -44,7 +49,7 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
     bare = keyed.select(F.col(doc_id).alias("id"), "_key", F.col(text).alias("text"))
     exploded = (
-        bare.select("id", "_key", F.posexplode(chunks_of(lines_of(F.col("text")), divisor)).alias("pos", "chunk"))
+        with_chunks(bare, "text", divisor).select("id", "_key", F.posexplode("_chunks").alias("pos", "chunk"))
         .filter((F.col("chunk.n") >= min_lines) & (F.size(F.split(F.trim("chunk.part"), "\\s+")) >= min_words))
         .select("id", "_key", "pos", F.col("chunk.part").alias("part"), F.xxhash64("chunk.part").alias("hash")))
     # stage 1: which hashes occur twice
@@ -58,11 +63,12 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     places = suspects.select("id", "_key", "pos").distinct()
     same = (F.col("a.id").eqNullSafe(F.col("b.id"))) & (F.col("a._key") == F.col("b._key")) & (F.col("a.pos") == F.col("b.pos"))
     gone = places.alias("a").join(spared.alias("b"), same, "left_anti").groupBy("id", "_key").agg(F.collect_list("pos").alias("_gone"))
-    out = keyed.alias("a").join(gone.alias("b"), (F.col(f"a.{doc_id}").eqNullSafe(F.col("b.id"))) & (F.col("a._key") == F.col("b._key")), "left")
-    chunks = chunks_of(lines_of(F.col(f"a.{text}")), divisor)
-    left = F.array_join(F.transform(F.filter(chunks, lambda c, i: ~F.array_contains(F.col("_gone"), i)), lambda c: c["part"]), "")
-    clean = F.when(F.col("_gone").isNull(), F.col(f"a.{text}")).otherwise(left)
-    return out.select(*[clean.alias(c) if c == text else F.col(f"a.`{c}`").alias(c) for c in kept], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_chunks"))
+    same_document = (F.col(f"a.`{doc_id}`").eqNullSafe(F.col("b.id"))) & (F.col("a._key") == F.col("b._key"))
+    out = keyed.alias("a").join(gone.alias("b"), same_document, "left").select("a.*", "_gone")
+    cut = with_chunks(out.withColumn("_touched", F.when(F.col("_gone").isNotNull(), F.col(f"`{text}`"))), "_touched", divisor)
+    left = F.array_join(F.transform(F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i)), lambda c: c["part"]), "\n")
+    clean = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left)
+    return cut.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed_chunks"))
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
