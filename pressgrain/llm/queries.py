@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pressgrain.llm import html_text, lang_id, line_chunks, near_text, near_vectors, packing, token_file, warc
+from pressgrain.llm import decontaminate, html_text, lang_id, line_chunks, lm_score, near_text, near_vectors, packing, token_file, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_near_text": near_text.op3_near_text,
     "op4_language": lang_id.op4_language,
     "op5_line_chunks": line_chunks.op5_line_chunks,
     "op6_pack_sequences": packing.op6_pack_sequences,
+    "op7_contamination": decontaminate.op7_contamination,
     "op8_token_files": token_file.op8_token_files,
     "op9_near_vectors": near_vectors.op9_near_vectors,
     "op10_warc": warc.op10_warc,
