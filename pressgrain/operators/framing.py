@@ -18,7 +18,7 @@ def rule_matches(sentences: DataFrame, rules: Sequence = R.FRAME_RULES) -> DataF
     """Sentence x rule hits with the rule's order and the 0-based match position. Each pattern is tried once."""
     tried = F.array(*[
         F.struct(F.lit(i).alias("rule_no"), F.lit(d).alias("dimension"), F.lit(c).alias("code"), (F.regexp_instr("text", F.lit(p)) - 1).alias("match_at"))
-        for i, (d, c, p, _) in enumerate(rules)])
+        for i, (d, c, p) in enumerate(rules)])
     hits = sentences.withColumn("_m", F.filter(tried, lambda m: m["match_at"] >= 0))
     return hits.select(*sentences.columns, F.explode("_m").alias("_h")).select(*sentences.columns, "_h.*")
 

@@ -11,15 +11,15 @@ from pressgrain.plans.fixtures import VIEWS
 from pressgrain.plans.registry import query
 
 RULES = (
-    ("problem_definition", "p_the", "the and.{0,10}(?:in|on)", "The first reading."),
-    ("problem_definition", "p_that", "that .{0,24}(?:with|from)", "The second reading."),
-    ("causal_interpretation", "c_this", "this [a-z]{2,4} ", "A near cause."),
-    ("causal_interpretation", "c_que", "que .{0,20}(?:les|des)", "A far cause."),
-    ("responsibility_attribution", "r_ther", "th(?:er|or)[a-z]* ", "Someone answers."),
-    ("moral_evaluation", "m_ein", "(?:eine|einer) ", "Bad."),
-    ("moral_evaluation", "m_for", "for [a-z]+ing", "Good."),
-    ("treatment_recommendation", "t_los", "(?:los|las) ", "Change it."),
-    ("treatment_recommendation", "t_was", "was [a-z]+ed", "Keep it."),
+    ("problem_definition", "p_the", "the and.{0,10}(?:in|on)"),
+    ("problem_definition", "p_that", "that .{0,24}(?:with|from)"),
+    ("causal_interpretation", "c_this", "this [a-z]{2,4} "),
+    ("causal_interpretation", "c_que", "que .{0,20}(?:les|des)"),
+    ("responsibility_attribution", "r_ther", "th(?:er|or)[a-z]* "),
+    ("moral_evaluation", "m_ein", "(?:eine|einer) "),
+    ("moral_evaluation", "m_for", "for [a-z]+ing"),
+    ("treatment_recommendation", "t_los", "(?:los|las) "),
+    ("treatment_recommendation", "t_was", "was [a-z]+ed"),
 )
 SPEAKER = "([A-Z][a-z]{2,12}) (?:the|of|and|de|la|der) "
 REPORTING = "[a-z]tion |[a-z]ing "
@@ -37,7 +37,7 @@ NEGATIVE, POSITIVE = ("m_ein",), ("m_for",)
 VIEWS["fx_fsent"] = "SELECT article_id, paragraph, sentence, replace(text, ' the ', ' “the and” ') AS text FROM fx_sentences"
 VIEWS["fx_hits"] = " UNION ALL ".join(
     f"SELECT article_id, paragraph, sentence, text, {i} AS rule_no, '{d}' AS dimension, '{c}' AS code, instr(text, regexp_extract(text, '{p}')) - 1 AS match_at FROM fx_fsent WHERE regexp_matches(text, '{p}')"
-    for i, (d, c, p, _) in enumerate(RULES))
+    for i, (d, c, p) in enumerate(RULES))
 ROLE_SQL = "CASE WHEN {0} IS NULL THEN 'other' " + " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{c}'" for c, p in ROLES) + " ELSE 'other' END"
 VIEWS["fx_voiced"] = f"""
     WITH s AS (SELECT *, CASE WHEN regexp_matches(text, '{SPEAKER}') THEN regexp_extract(text, '{SPEAKER}', 1) END AS sp,
@@ -238,7 +238,10 @@ def _(t):
     return actor_paraphrase_join(who, P.frame_items(v).select("article_id", "paragraph", "sentence", "code")).distinct()
 
 
-@query("public_profile")
+@query("public_profile", """
+    WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS claim_id, doc_id AS article_id, 'problem_definition' AS dimension, 'family_' || lang AS frame_family, n_chars // 2 AS s, n_chars // 2 + doc_id % 30 AS e FROM documents)
+    SELECT claim_id, r.article_id, dimension, frame_family, paragraph, sentence, sha256('evidence:v2:' || r.article_id || ':' || paragraph || ':' || sentence || ':' || q.text) AS sentence_sha256
+    FROM r JOIN fx_qsent q ON q.article_id = r.article_id AND q.start <= r.s AND q."end" >= r.e AND q."end" > r.s""")
 def _(t):
     results = t.raw("documents").selectExpr("cast(doc_id as string) as claim_id", "doc_id as article_id", "'problem_definition' as dimension", "concat('family_', lang) as frame_family",
                                             "cast(n_chars div 2 as bigint) as start", "cast(n_chars div 2 + doc_id % 30 as bigint) as end")

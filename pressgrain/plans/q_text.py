@@ -93,12 +93,28 @@ def _(t):
     return W.lead_sentences(sentences(t)).select("article_id", "paragraph", "sentence")
 
 
-@query("segment_sentences_quoted")
+# character by character: depth of paired quotes (never below zero), parity of straight ones, cuts behind marks outside of both
+VIEWS["fx_qsent"] = r"""
+    WITH b AS (SELECT article_id, regexp_split_to_array(body_text, '\n\s*\n') AS blocks, list_transform(regexp_extract_all(body_text, '\n\s*\n'), lambda x: length(x)) AS gaps FROM fx_articles),
+      p AS (SELECT article_id, k AS paragraph, blocks[k] AS block, coalesce(list_sum(list_transform(blocks[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(gaps[1:k - 1]), 0) AS base FROM b, unnest(range(1, len(blocks) + 1)) AS u(k)),
+      c AS (SELECT article_id, paragraph, base, i, block[i] AS ch, block[i + 1] AS nxt, CASE WHEN contains('“‘「『《〈', block[i]) THEN 1 WHEN contains('”’」』》〉', block[i]) THEN -1 ELSE 0 END AS step FROM p, unnest(range(1, length(block) + 1)) AS u(i)),
+      s AS (SELECT *, sum(step) OVER w AS total, count(*) FILTER (ch = '"') OVER w AS straight FROM c WINDOW w AS (PARTITION BY article_id, paragraph ORDER BY i)),
+      d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY article_id, paragraph ORDER BY i)) AS depth FROM s),
+      e AS (SELECT *, (ch = chr(10) OR (contains('.!?。！？', ch) AND regexp_matches(nxt, '\s') AND depth = 0 AND straight % 2 = 0))::INT AS cut FROM d),
+      n AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY article_id, paragraph ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+      g AS (SELECT article_id, paragraph, part, string_agg(ch, '' ORDER BY i) AS whole, min(base + i - 1) AS first FROM n GROUP BY 1, 2, 3),
+      t AS (SELECT article_id, paragraph, part, regexp_replace(whole, '^\s+|\s+$', '', 'g') AS text, first + length(whole) - length(regexp_replace(whole, '^\s+', '')) AS start FROM g)
+    SELECT article_id, paragraph, row_number() OVER (PARTITION BY article_id, paragraph ORDER BY part) AS sentence, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS "end", text FROM t WHERE text <> ''"""
+
+
+@query("segment_sentences_quoted", 'SELECT article_id, paragraph, sentence, start, "end", sha256(text) AS text_sha FROM fx_qsent')
 def _(t):
     return T.segment_sentences_quoted(t.articles).select("article_id", "paragraph", "sentence", "start", "end", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("evidence_in_sentence")
+@query("evidence_in_sentence", """
+    WITH s AS (SELECT doc_id AS span_id, doc_id AS article_id, n_chars // 3 AS start, n_chars // 3 + doc_id % 40 AS "end" FROM documents)
+    SELECT span_id, article_id, start, "end", EXISTS (SELECT 1 FROM fx_qsent q WHERE q.article_id = s.article_id AND q.start <= s.start AND s.start < q."end" AND s."end" <= q."end") AS fits FROM s""")
 def _(t):
     spans = t.raw("documents").selectExpr("doc_id as span_id", "doc_id as article_id", "cast(n_chars div 3 as bigint) as start", "cast(n_chars div 3 + doc_id % 40 as bigint) as end")
     return T.evidence_in_sentence(spans, T.segment_sentences_quoted(t.articles))

@@ -31,6 +31,16 @@ def test_patterns_count_articles_not_spans(spark):
 
 
 def test_quote_aware_sentences(spark):
-    rows = T.quoted_spans('그는 "간다. 온다." 말했다. 끝이다.\n\n둘째 문단.')
-    assert [r[4] for r in rows] == ['그는 "간다. 온다." 말했다.', "끝이다.", "둘째 문단."]
-    assert rows[2][0] == 2
+    texts = [
+        (1, '그는 "간다. 온다." 말했다. 끝이다.\n\n둘째 문단.'), (2, "《가. 나. 다》 이다. 끝."), (3, "닫는” 것. 먼저. “열린 것. 끝.\n새 줄. 또.\n \n\n 문단. 끝."),
+        (4, "“가 ‘나. 다’ 라. 마” 바. 사."), (5, ""), (6, None), (7, "\n\n  가.  나. ")]
+    rows = T.segment_sentences_quoted(spark.createDataFrame(texts, "article_id int, body_text string")).orderBy("article_id", "start").collect()
+    got = {i: [(r["paragraph"], r["sentence"], r["text"]) for r in rows if r["article_id"] == i] for i, _ in texts}
+    assert got[1] == [(1, 1, '그는 "간다. 온다." 말했다.'), (1, 2, "끝이다."), (2, 1, "둘째 문단.")]
+    assert got[2] == [(1, 1, "《가. 나. 다》 이다."), (1, 2, "끝.")]
+    assert got[3] == [(1, 1, "닫는” 것."), (1, 2, "먼저."), (1, 3, "“열린 것. 끝."), (1, 4, "새 줄. 또."), (2, 1, "문단."), (2, 2, "끝.")]
+    assert got[4] == [(1, 1, "“가 ‘나. 다’ 라. 마” 바."), (1, 2, "사.")]
+    assert got[5] == got[6] == []
+    assert got[7] == [(2, 1, "가."), (2, 2, "나.")]
+    by_id = dict(texts)
+    assert all(by_id[r["article_id"]][r["start"]:r["end"]] == r["text"] for r in rows)
