@@ -20,7 +20,6 @@ HTTPS_ONLY_PROFILES = ("import", "crawler")
 ZONE_WEIGHTS = {"top": 100, "main": 82, "section": 58, "list": 35}
 
 # fixed values: agenda score weights, in percent
-SCORE_WEIGHTS = {"diversity": 55, "volume": 25, "placement": 15, "follow_up": 5}
 
 HEX64 = "^[0-9a-f]{64}$"
 

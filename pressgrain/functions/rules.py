@@ -98,9 +98,10 @@ def strip_evidence_tokens(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t]+([,.;])", "$1"))
 
 
-def clean_claim_text(text: Column, limit: int = 280) -> Column:
-    """No inline citations, single spaces, bounded length."""
-    return F.left(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), EVIDENCE_TOKENS, ""), r"\s+", " ")), F.lit(limit))
+def clean_claim_text(text: Column, limit: int | None = 280) -> Column:
+    """No inline citations, single spaces, at most ``limit`` characters."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), EVIDENCE_TOKENS, ""), r"\s+", " "))
+    return clean if limit is None else F.left(clean, F.lit(limit))
 
 
 def marker_block(text: Column, ideology: Sequence[str] = IDEOLOGY_MARKERS, internal: Sequence[str] = ()) -> Column:

@@ -180,10 +180,6 @@ def headline_cleanup(title: Column, cap: int = 58) -> Column:
     return F.when(F.length(text) <= cap, text).when(F.length(clause).between(10, cap), clause).otherwise(cut)
 
 
-def issue_suffix(joined_titles: Column, articles: Column, rules: Sequence[tuple[str, str]] = K.ISSUE_SUFFIXES) -> Column:
-    return most_matches(joined_titles, rules, F.greatest(F.lit(2), F.ceil(articles * F.lit(0.25))))
-
-
 # fixed values: named entities of the decoder
 ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&hellip;", "…"), ("&ldquo;", "“"),

@@ -44,7 +44,8 @@ def _article_base(articles: DataFrame, lex: Lexicon) -> DataFrame:
     return df.filter(F.col("category").isNotNull()).select(
         "run", "article_id", "category",
         F.length("title").alias("title_chars"),
-        X.title_key(F.col("title")).alias("title_key"),
+        # a title without any key character is like no other title
+        F.when(X.title_key(F.col("title")) != "", X.title_key(F.col("title"))).otherwise(F.concat(F.lit("#"), F.col("article_id").cast("string"))).alias("title_key"),
         X.title_tokens(F.col("title"), lex.stopwords, lex.roles).alias("t"),
         X.actors(title, lex.actor_pattern).alias("actors"),
         X.concepts(title, lex.concepts).alias("concepts"),

@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank_col: str | None = None) -> DataFrame:
-    """First ``n`` rows per key.
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None = 1, rank_col: str | None = None) -> DataFrame:
+    """First ``n`` rows per key, or all of them with their rank if ``n`` is None.
 
     Spark turns the rank filter into a partial group limit before the shuffle, so at most ``n`` rows
     per key leave each map task however large the group is.
     """
     name = rank_col or "_rn"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    out = ranked.filter(F.col(name) <= n)
+    out = ranked if n is None else ranked.filter(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 
 
-def newest(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """Global ordered limit (each partition keeps ``limit`` rows before the merge)."""
-    return df.orderBy(*order).limit(limit)
+def newest(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Ordered rows; with ``limit``, the first of them (each partition keeps ``limit`` rows before the merge)."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def lag_by_bucket(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, out: str) -> DataFrame:
@@ -46,25 +47,21 @@ def scalar(df: DataFrame, expr: Column) -> Column:
     return df.select(expr).scalar()
 
 
-def set_digest(df: DataFrame, keys: Sequence[str], value: str, plain_limit: int = 10_000) -> DataFrame:
+def set_digest(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Order-free digest of the distinct ``value`` set of each group, plus its size.
 
-    Groups up to ``plain_limit`` hash the sorted list itself. Larger groups hash 4,096 sorted slices
-    first and then the slice digests, so no task ever holds a whole hot group.
+    The set is cut into 4,096 slices by the hash of the value. A slice's digest is that of its sorted values, the set's
+    digest that of the slice digests in slice order, so no task ever holds a whole hot group and every size has the same formula.
     """
-    distinct = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
-    sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > plain_limit).select(*keys, F.lit(True).alias("_big"))
-    slot = F.when(F.col("_big"), F.substring(F.sha2(F.col(value).cast("string"), 256), 1, 3)).otherwise("")
-    slices = (
-        distinct.join(big, list(keys), "left")
-        .withColumn("_slot", slot)
-        .groupBy(*keys, "_slot")
-        .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), "\n"), 256).alias("_d"),
-             F.count(F.lit(1)).alias("_c"))
-    )
-    parts = slices.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_slot", "_d"))).alias("_p"), F.sum("_c").alias("set_size"))
-    digest = F.when(F.size("_p") == 1, F.col("_p")[0]["_d"]).otherwise(
-        F.sha2(F.array_join(F.transform("_p", lambda p: p["_d"]), "\n"), 256))
-    return parts.select(*keys, "set_size", digest.alias("set_digest"))
+    text = F.col(value).cast("string")
+    distinct = df.select(*keys, text.alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    slices = distinct.withColumn("_slot", F.substring(F.sha2("_v", 256), 1, 3)).groupBy(*keys, "_slot").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_v")), "\n"), 256).alias("_d"), F.count(F.lit(1)).alias("_c"))
+    parts = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slot", "_d"))).alias("_p"), F.sum("_c").alias("set_size"))
+    return parts.select(*keys, "set_size", F.sha2(F.array_join(F.transform("_p", lambda p: p["_d"]), "\n"), 256).alias("set_digest"))
+
+
+def last_per_key(df: DataFrame, key: str, arrival: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``arrival``, ties by the other columns, reduced before the shuffle."""
+    rest = [c for c in df.columns if c != key and c not in arrival]
+    return df.groupBy(key).agg(F.max(F.struct(*arrival, *rest)).alias("_last")).select(key, "_last.*").select(*df.columns)

@@ -485,16 +485,16 @@ def agreement_lines(views: DataFrame) -> DataFrame:
 
 
 def bound_claims(claims: DataFrame, cited: DataFrame, index: DataFrame, ideology: Sequence[str], internal: Sequence[str] = ()) -> DataFrame:
-    """Status of generated claims: review_needed for a forbidden marker, insufficient_evidence without
-    bound evidence, else observed with its cleaned text."""
+    """Status of generated claims: review_needed for a forbidden marker anywhere in the text, insufficient_evidence
+    without bound evidence, else observed with its cleaned text, shortened for display."""
     from pressgrain.functions.rules import clean_claim_text, marker_block
     from pressgrain.operators.joins import evidence_bind
 
     bound = evidence_bind(cited, index).groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence"))
-    j = claims.join(bound, "claim_id", "left").withColumn("_t", clean_claim_text(F.col("text")))
+    j = claims.join(bound, "claim_id", "left").withColumn("_t", clean_claim_text(F.col("text"), None))
     n = F.coalesce("evidence", F.lit(0))
     status = F.when(marker_block(F.col("_t"), ideology, internal).isNotNull(), "review_needed").when((n == 0) | (F.col("_t") == ""), "insufficient_evidence").otherwise("observed")
-    return j.select("claim_id", n.alias("evidence"), status.alias("status"), F.when(status == "observed", F.col("_t")).alias("text"))
+    return j.select("claim_id", n.alias("evidence"), status.alias("status"), F.when(status == "observed", clean_claim_text(F.col("_t"))).alias("text"))
 
 
 def comparison_withheld(issues: DataFrame, signatures: DataFrame, approvals: DataFrame) -> DataFrame:

@@ -225,9 +225,3 @@ def sources_subset(mentions: DataFrame, allowed: DataFrame) -> DataFrame:
     ok = allowed.select("source_id").distinct().withColumn("_ok", F.lit(True))
     return mentions.join(ok, "source_id", "left").groupBy("issue_id").agg(
         F.count_if(F.col("_ok").isNull()).alias("outside"), (F.count_if(F.col("_ok").isNull()) == 0).alias("inside_only"))
-
-
-def schema_report(spark, schema: T.StructType, names: Sequence[str]) -> DataFrame:
-    """Forbidden paths of a schema as rows (the schema is metadata; its size does not grow with data)."""
-    paths = json.dumps(forbidden_columns(schema, names))
-    return spark.range(1).select(F.explode(F.from_json(F.lit(paths), "array<string>")).alias("path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrain.functions import columns as C
-from pressgrain.operators.common import newest, top_per_key
+from pressgrain.operators.common import last_per_key, newest, top_per_key
 
 # fixed values: header aliases of a provider export
 HEADER_ALIASES = {
@@ -23,7 +23,7 @@ EXCLUSION_MARKERS = ("1", "true", "y", "yes", "예", "예외", "제외", "exclud
 REQUIRED_HEADERS = ("published_at", "source", "title", "url")
 
 
-def scan_articles(articles: DataFrame, sources: DataFrame, day: str, limit: int = 5000) -> DataFrame:
+def scan_articles(articles: DataFrame, sources: DataFrame, day: str, limit: int | None = None) -> DataFrame:
     """Articles of one business day with their source, newest first. The range filter reaches the scan."""
     rows = articles.filter(C.in_kst_days(F.col("published_at"), day)).join(
         sources.select("source_id", "source_name"), "source_id")
@@ -96,11 +96,13 @@ def import_stats(export: DataFrame) -> DataFrame:
 def merge_articles_import(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by URL: incoming provider fields win, an incoming null keeps the old placement fields.
 
+    A URL that comes more than once counts by its last row (by ``collected_at``, ties by the other fields).
+
     ``change`` is insert, update or same; only the first two count as written.
     """
     keep_old = ("section", "homepage_placement", "homepage_rank")
     overwrite = ("source_id", "title", "published_at")
-    o, n = current.alias("o"), incoming.alias("n")
+    o, n = current.alias("o"), last_per_key(incoming, "canonical_url", ["collected_at"]).alias("n")
     joined = o.join(n, F.col("o.canonical_url") == F.col("n.canonical_url"), "full_outer")
     has_new, has_old = F.col("n.canonical_url").isNotNull(), F.col("o.canonical_url").isNotNull()
     cols, same = [F.coalesce("n.canonical_url", "o.canonical_url").alias("canonical_url")], F.lit(True)
@@ -128,8 +130,8 @@ def merge_articles_discovery(current: DataFrame, incoming: DataFrame) -> DataFra
 
 
 def merge_sources(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert of panel rows by id."""
-    o, n = current.alias("o"), incoming.alias("n")
+    """Upsert of panel rows by id; an id that comes more than once counts by its greatest row."""
+    o, n = current.alias("o"), last_per_key(incoming, "source_id").alias("n")
     fields = [c for c in current.columns if c != "source_id"]
     return o.join(n, F.col("o.source_id") == F.col("n.source_id"), "full_outer").select(
         F.coalesce("n.source_id", "o.source_id").alias("source_id"),

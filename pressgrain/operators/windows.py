@@ -69,7 +69,7 @@ def issue_rank(issues: DataFrame) -> DataFrame:
     return issues.join(ranks, ["run_id", "agenda_score"])
 
 
-def agenda_rank(issues: DataFrame, per: Sequence[str] = ("run_id",), max_issues: int = 80, secondary: Sequence[str] = SECONDARY_CATEGORIES) -> DataFrame:
+def agenda_rank(issues: DataFrame, per: Sequence[str] = ("run_id",), max_issues: int | None = None, secondary: Sequence[str] = SECONDARY_CATEGORIES) -> DataFrame:
     """Published order of a run: secondary categories last, then score, breadth, size, cohesion, title."""
     order = [F.col("category").isin(*secondary).cast("int"), F.col("agenda_score").desc(), F.col("source_count").desc(),
              F.col("article_count").desc(), F.col("cohesion_score").desc(), F.col("title"), F.col("issue_id")]

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrain.sources.readers import read_table
 
-# text tables whose files may hold fewer splits than the session has cores
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
 NOW = "2024-01-20 00:00:00"
 
 VIEWS: dict[str, str] = {
     "fx_active": f"SELECT * FROM fx_contents WHERE status = 'active' AND analysis_allowed AND expires_at > TIMESTAMP '{NOW}'",
+    # the digest of a URL set, slice by slice
+    "fx_url_sets": """SELECT issue_id, sum(c) AS set_size, sha256(string_agg(d, chr(10) ORDER BY slot)) AS set_digest
+        FROM (SELECT issue_id, substr(sha256(canonical_url), 1, 3) AS slot, count(*) AS c, sha256(string_agg(canonical_url, chr(10) ORDER BY canonical_url)) AS d
+              FROM (SELECT DISTINCT issue_id, canonical_url FROM fx_reviewed WHERE canonical_url IS NOT NULL) GROUP BY 1, 2) GROUP BY 1""",
     "fx_signals": "SELECT doc_id AS article_id FROM labels WHERE toxic = 0",
 }
 
@@ -40,13 +41,13 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet", SPREAD_KEYS.get(name))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @_view("fx_articles", r"""
         SELECT doc_id AS article_id, source AS source_id,
                'group' || CAST(CAST(substr(source, 4) AS BIGINT) // 2 AS VARCHAR) AS media_group_id,
                'https://news.example.com/a/' || doc_id AS canonical_url,
-               substr(split_part(text, chr(10), 1), 1, 120) AS title, lang AS section,
+               split_part(text, chr(10), 1) AS title, lang AS section,
                TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER))
                  + to_hours(CAST(doc_id % 24 AS INTEGER)) AS published_at,
                TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(doc_id % 31 AS INTEGER)) AS collected_at,
@@ -59,7 +60,7 @@ class Tables:
             F.col("source").alias("source_id"),
             F.concat(F.lit("group"), F.expr("cast(substr(source, 4) as bigint) div 2").cast("string")).alias("media_group_id"),
             F.concat(F.lit("https://news.example.com/a/"), F.col("doc_id")).alias("canonical_url"),
-            F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("lang").alias("section"),
             F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 30 as int), cast(doc_id % 24 as int))").alias("published_at"),
             F.expr("timestamp_ntz'2024-01-01 06:00:00' + make_dt_interval(cast(doc_id % 31 as int))").alias("collected_at"),

@@ -350,7 +350,7 @@ def _(t):
 @query("bound_claims", r"""
     WITH c AS (SELECT DISTINCT claim_id, article_id, paragraph, sentence, sentence_sha256 FROM fx_items), x AS (SELECT claim_id, article_id, trim(regexp_replace(title, '\s+', ' ', 'g'), ' ') AS t FROM fx_items i JOIN fx_articles a USING (article_id)),
       e AS (SELECT claim_id, count(*) AS n FROM c WHERE sentence % 2 = 1 GROUP BY 1)
-    SELECT DISTINCT x.claim_id, coalesce(n, 0) AS evidence, CASE WHEN contains(t, 'ther') THEN 'review_needed' WHEN n IS NULL THEN 'insufficient_evidence' ELSE 'observed' END AS status, CASE WHEN NOT contains(t, 'ther') AND n IS NOT NULL THEN t END AS text FROM x LEFT JOIN e ON e.claim_id = x.claim_id""")
+    SELECT DISTINCT x.claim_id, coalesce(n, 0) AS evidence, CASE WHEN contains(t, 'ther') THEN 'review_needed' WHEN n IS NULL THEN 'insufficient_evidence' ELSE 'observed' END AS status, CASE WHEN NOT contains(t, 'ther') AND n IS NOT NULL THEN left(t, 280) END AS text FROM x LEFT JOIN e ON e.claim_id = x.claim_id""")
 def _(t):
     i = raw_items(t)
     cited = i.select("claim_id", "article_id", "paragraph", "sentence", "sentence_sha256").distinct()
@@ -359,7 +359,7 @@ def _(t):
 
 
 @query("comparison_withheld", """
-    WITH d AS (SELECT issue_id, sha256(string_agg(DISTINCT canonical_url, chr(10) ORDER BY canonical_url)) AS g FROM fx_reviewed GROUP BY 1), q AS (SELECT issue_id, CASE WHEN issue_id % 2 = 0 THEN 'review_required' ELSE 'cohesive' END AS cluster_quality, issue_id % 3 = 0 AS ok FROM d)
+    WITH d AS (SELECT issue_id, set_digest AS g FROM fx_url_sets), q AS (SELECT issue_id, CASE WHEN issue_id % 2 = 0 THEN 'review_required' ELSE 'cohesive' END AS cluster_quality, issue_id % 3 = 0 AS ok FROM d)
     SELECT issue_id, cluster_quality, cluster_quality = 'review_required' AND NOT ok AS withheld, CASE WHEN ok THEN 'approved_same_event' WHEN cluster_quality <> 'review_required' THEN 'automatic_cohesive' END AS cluster_status FROM q""")
 def _(t):
     from pressgrain.operators.sets import url_set_signature

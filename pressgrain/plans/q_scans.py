@@ -12,7 +12,7 @@ from pressgrain.plans.registry import query
 VIEWS["fx_export"] = r"""
     SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE '02100.' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 700 AS INTEGER)), '%Y%m%d%H%M%S') || '1' END AS news_id,
            '2024-01-' || CASE WHEN doc_id % 28 + 1 < 10 THEN '0' ELSE '' END || (doc_id % 28 + 1) AS "일자",
-           source AS "언론사", ' ' || substr(split_part(text, chr(10), 1), 1, 120) AS "제목", lang AS "통합분류1", text AS "본문",
+           source AS "언론사", ' ' || split_part(text, chr(10), 1) AS "제목", lang AS "통합분류1", text AS "본문",
            CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'http://news.example.com/a/' || doc_id END AS "URL",
            CASE WHEN doc_id % 7 = 0 THEN '예외' ELSE '' END AS "분석제외여부" FROM documents"""
 
@@ -23,7 +23,7 @@ def export(t: Tables):
                   + make_dt_interval(0, cast(doc_id % 700 as int)), 'yyyyMMddHHmmss'), '1') end""").alias("news_id"),
         F.expr("concat('2024-01-', lpad(cast(doc_id % 28 + 1 as string), 2, '0'))").alias("일자"),
         F.col("source").alias("언론사"),
-        F.concat(F.lit(" "), F.substring(F.substring_index("text", "\n", 1), 1, 120)).alias("제목"),
+        F.concat(F.lit(" "), F.substring_index("text", "\n", 1)).alias("제목"),
         F.col("lang").alias("통합분류1"),
         F.col("text").alias("본문"),
         F.expr("case when doc_id % 11 = 0 then '' else concat('http://news.example.com/a/', doc_id) end").alias("URL"),

@@ -44,11 +44,11 @@ def _(t):
 
 
 @query("stream_upsert", """
-    SELECT 'https://news.example.com/a/' || (doc_id // 2) AS canonical_url, arg_max(t, {'l': length(t), 'i': t}) AS title FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 120) AS t FROM documents) GROUP BY 1""")
+    SELECT 'https://news.example.com/a/' || (doc_id // 2) AS canonical_url, arg_max(t, {'l': length(t), 'i': t}) AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents) GROUP BY 1""")
 def _(t):
     d = stream_of(t, "documents").select(
         F.concat(F.lit("https://news.example.com/a/"), F.expr("doc_id div 2").cast("string")).alias("canonical_url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("lang").alias("section"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("lang").alias("section"),
         F.lit(None).cast("timestamp").alias("published_at"), F.expr("timestamp'2024-01-01 00:00:00'").alias("collected_at"))
     base = fresh(t, "upsert")
     table = S.VersionedTable(t.spark, f"{base}/table")
@@ -107,7 +107,7 @@ def payloads(t):
     return t.articles.select(F.col("article_id").alias("issue_id"), F.to_json(F.struct("title", "section")).alias("payload"))
 
 
-@query("publish_snapshot", "SELECT doc_id AS issue_id, sha256('{\"title\":' || to_json(substr(split_part(text, chr(10), 1), 1, 120)) || ',\"section\":\"' || lang || '\"}') AS payload_sha256 FROM documents")
+@query("publish_snapshot", "SELECT doc_id AS issue_id, sha256('{\"title\":' || to_json(split_part(text, chr(10), 1)) || ',\"section\":\"' || lang || '\"}') AS payload_sha256 FROM documents")
 def _(t):
     root = fresh(t, "publish")
     snapshot = sinks.publish_snapshot(payloads(t), root, 1)

@@ -241,7 +241,7 @@ def _(t):
     return U.partition_reconcile(g, c)
 
 
-@query("url_set_signature", "SELECT issue_id, count(DISTINCT canonical_url) AS set_size, sha256(string_agg(DISTINCT canonical_url, chr(10) ORDER BY canonical_url)) AS set_digest FROM fx_reviewed GROUP BY 1 HAVING count(DISTINCT canonical_url) >= 2")
+@query("url_set_signature", "SELECT issue_id, CAST(set_size AS BIGINT) AS set_size, set_digest FROM fx_url_sets WHERE set_size >= 2")
 def _(t):
     return U.url_set_signature(reviewed(t))
 
@@ -252,7 +252,7 @@ def _(t):
 
 
 @query("approval_manifest", """
-    WITH d AS (SELECT issue_id, count(DISTINCT canonical_url) AS set_size, sha256(string_agg(DISTINCT canonical_url, chr(10) ORDER BY canonical_url)) AS set_digest FROM fx_reviewed GROUP BY 1)
+    WITH d AS (SELECT issue_id, CAST(set_size AS BIGINT) AS set_size, set_digest FROM fx_url_sets)
     SELECT issue_id, article_id, source_id, canonical_url, published_date, body_sha256, set_size, set_digest FROM fx_reviewed JOIN d USING (issue_id) WHERE set_size >= 2""")
 def _(t):
     return U.approval_manifest(reviewed(t))

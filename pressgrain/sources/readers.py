@@ -5,35 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def read_table(spark: SparkSession, path: str, spread_key: str | None = None) -> DataFrame:
-    """Parquet scan. With ``spread_key``, an input with fewer splits than cores is spread by key hash.
-
-    On a cluster-sized input the scan already has far more splits than cores and nothing is added.
-    """
-    df = spark.read.parquet(path)
-    if spread_key is None:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, spread_key) if df.rdd.getNumPartitions() < cores else df
-
-
-ARTICLE_SCHEMA = T.StructType([
-    T.StructField("article_id", T.StringType()),
-    T.StructField("source_id", T.StringType()),
-    T.StructField("media_group_id", T.StringType()),
-    T.StructField("canonical_url", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("section", T.StringType()),
-    T.StructField("published_at", T.TimestampType()),
-    T.StructField("collected_at", T.TimestampType()),
-    T.StructField("homepage_placement", T.StringType()),
-    T.StructField("homepage_rank", T.IntegerType()),
-    T.StructField("body_text", T.StringType()),
-    T.StructField("text_scope", T.StringType()),
-    T.StructField("title_source", T.StringType()),
-])
-
-
 def read_jsonl(lines: DataFrame, schema: T.StructType | str, required: tuple[str, ...], text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Parse JSON lines against an explicit schema; returns (good rows, rejected rows with a reason).
 

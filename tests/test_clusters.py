@@ -94,3 +94,8 @@ def test_token_chunks_do_not_change_the_pairs(spark):
     units, _ = L.headline_units(articles(spark, SAME))
     whole = {tuple(r) for r in L.token_pairs(units).collect()}
     assert whole and whole == {tuple(r) for r in L.token_pairs(units, chunk=1).collect()}
+
+
+def test_titles_without_key_characters_stay_apart(spark):
+    rows = [("a1", "中文标题新闻"), ("a2", "Русский заголовок"), ("a3", "!!!"), ("a4", "김민수 의원 횡령 의혹")]
+    assert len(groups(L.cluster_articles(articles(spark, rows)))) == 4

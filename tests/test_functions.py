@@ -70,10 +70,18 @@ def test_pair_metrics_half(spark):
     assert (m["precision"], m["recall"], m["f1"], m["over_merge"], m["under_merge"]) == (0.5, 0.5, 0.5, 0.5, 0.5)
 
 
-def test_large_sets_digest_in_slices(spark):
+def test_sets_of_every_size_have_one_digest_formula(spark):
+    import hashlib
+
     from pressgrain.operators.common import set_digest
 
-    df = spark.range(500).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("v"))
-    small, large = set_digest(df, ["g"], "v").first(), set_digest(df, ["g"], "v", plain_limit=10).first()
-    assert small["set_size"] == large["set_size"] == 500
-    assert large["set_digest"] == set_digest(df.repartition(7).union(df), ["g"], "v", plain_limit=10).first()["set_digest"] != small["set_digest"]
+    def expected(values):
+        slots = {}
+        for v in sorted(values):
+            slots.setdefault(hashlib.sha256(v.encode()).hexdigest()[:3], []).append(v)
+        return hashlib.sha256("\n".join(hashlib.sha256("\n".join(slots[k]).encode()).hexdigest() for k in sorted(slots)).encode()).hexdigest()
+
+    for n in (1, 500, 10_001):
+        df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("v"))
+        got = set_digest(df.repartition(7).union(df), ["g"], "v").first()
+        assert (got["set_size"], got["set_digest"]) == (n, expected([str(i) for i in range(n)]))

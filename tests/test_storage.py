@@ -37,3 +37,36 @@ def test_state_fold_matches_a_plain_walk(spark, width):
     df = spark.createDataFrame(events, "item_id string, seq bigint, updated_at bigint, state string")
     got = {r["item_id"]: r["state"] for r in fold_states(df, F.floor(F.col("updated_at") / width)).collect()}
     assert got == want
+
+
+def test_stage_folder_must_be_shared_off_local_mode(monkeypatch):
+    from types import SimpleNamespace
+
+    from pressgrain.session import stage_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda d: None)
+    with pytest.raises(RuntimeError):
+        stage_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context))
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs:///stages"), sparkContext=context)
+    assert stage_dir(named) == "hdfs:///stages"
+
+
+def test_stages_are_deleted(spark):
+    import os
+
+    from pressgrain.session import cut_lineage, drop_stages
+
+    df = cut_lineage(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and drop_stages(spark) >= 1 and not os.path.exists(path) and drop_stages(spark) == 0
+
+
+def test_a_key_that_comes_twice_is_written_once(spark):
+    from pressgrain.operators.scans import merge_articles_import, merge_sources
+
+    kind = "canonical_url string, source_id string, title string, published_at string, section string, homepage_placement string, homepage_rank bigint, collected_at string"
+    old = spark.createDataFrame([("u", "s", "old", None, None, None, None, "1")], kind)
+    new = spark.createDataFrame([("u", "s", "later", None, None, None, None, "3"), ("u", "s", "sooner", None, None, None, None, "2")], kind)
+    assert [(r["title"], r["change"]) for r in merge_articles_import(old, new).collect()] == [("later", "update")]
+    panel = spark.createDataFrame([("a", "x"), ("a", "y")], "source_id string, source_name string")
+    assert merge_sources(panel.limit(0), panel).count() == 1
