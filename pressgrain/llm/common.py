@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{stage_dir(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, densely packed since it holds texts, and continue from it."""
+    path = shared_folder(df.sparkSession, "stages")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

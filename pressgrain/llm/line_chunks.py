@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pressgrain.llm.common import table
+from pressgrain.llm.common import stage, table
 from pressgrain.session import cut_lineage
 
 
@@ -38,37 +38,44 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     """``docs`` with every repeated chunk but its first occurrence taken out of the text, and n_removed_chunks.
 
     A chunk counts if it has ``min_lines`` lines and ``min_words`` words at least (very short lines repeat by chance).
-    Its first occurrence is that in the smallest (id, text hash, position). Chunks are counted by hash first; only those whose hash repeats
-    are compared by their bytes, by grouping on the chunk itself, and both counts are partly done before the shuffle.
-    So a chunk that a third of all documents hold moves once for each task, and the joins back are on short keys.
+    Its first occurrence is that in the smallest (id, text hash, position). Hashes and places of chunks are counted
+    first, without their text. Documents with a chunk whose hash repeats are marked, which moves the texts once, and
+    only those chunks are compared by their bytes, by grouping on the chunk itself. Both counts are partly done before
+    the shuffle, so a chunk that a third of all documents hold moves once for each task. The joins with texts are merge
+    joins at every size.
 
     Rows with equal id and text are one document and are treated alike. Null and empty texts stay as they are; so does
     an unrepeated text, to the byte. Other columns are kept, except that an n_removed_chunks of the input is replaced.
     """
     kept = [c for c in docs.columns if c != "n_removed_chunks"]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    bare = keyed.select(F.col(doc_id).alias("id"), "_key", F.col(text).alias("text"))
-    exploded = (
-        with_chunks(bare, "text", divisor).select("id", "_key", F.posexplode("_chunks").alias("pos", "chunk"))
-        .filter((F.col("chunk.n") >= min_lines) & (F.size(F.split(F.trim("chunk.part"), "\\s+")) >= min_words))
-        .select("id", "_key", "pos", F.col("chunk.part").alias("part"), F.xxhash64("chunk.part").alias("hash")))
-    # stage 1: which hashes occur twice
-    counted = exploded.groupBy("hash").agg(F.min(F.struct("id", "_key", "pos")).alias("first"), F.max(F.struct("id", "_key", "pos")).alias("last"))
-    repeated = cut_lineage(counted.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash"))
-    # stage 2: the chunks behind them, byte by byte
-    suspects = cut_lineage(exploded.join(repeated, "hash", "left_semi"))
-    owners = suspects.groupBy("part").agg(F.min(F.struct("id", "_key", "pos")).alias("own"), F.min("hash").alias("hash"), F.count(F.lit(1)).alias("n"))
-    # an owner's place identifies its chunk; everything else of that chunk goes
-    spared = owners.select(F.col("own.id").alias("id"), F.col("own._key").alias("_key"), F.col("own.pos").alias("pos"), F.lit(True).alias("spared"))
-    places = suspects.select("id", "_key", "pos").distinct()
-    same = (F.col("a.id").eqNullSafe(F.col("b.id"))) & (F.col("a._key") == F.col("b._key")) & (F.col("a.pos") == F.col("b.pos"))
-    gone = places.alias("a").join(spared.alias("b"), same, "left_anti").groupBy("id", "_key").agg(F.collect_list("pos").alias("_gone"))
-    same_document = (F.col(f"a.`{doc_id}`").eqNullSafe(F.col("b.id"))) & (F.col("a._key") == F.col("b._key"))
-    out = keyed.alias("a").join(gone.alias("b"), same_document, "left").select("a.*", "_gone")
-    cut = with_chunks(out.withColumn("_touched", F.when(F.col("_gone").isNotNull(), F.col(f"`{text}`"))), "_touched", divisor)
+    key = [F.col(doc_id).alias("_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_key")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], *key)
+    counted = (F.col("chunk.n") >= min_lines) & (F.size(F.split(F.trim("chunk.part"), "\\s+")) >= min_words)
+    exploded = with_chunks(docs.select(*key, F.col(text).alias("_text")), "_text", divisor).select("_id", "_key", F.posexplode("_chunks").alias("pos", "chunk")).filter(counted)
+    places = cut_lineage(exploded.select("_id", "_key", "pos", F.xxhash64("chunk.part").alias("hash")))
+    at = F.struct("_id", "_key", "pos")
+    repeated = places.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash")
+    suspects = cut_lineage(places.join(repeated, "hash", "left_semi").select("_id", "_key", "pos").distinct())
+
+    def with_places(df: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """``df`` with the array of the positions that ``found`` has of each document, null for none."""
+        own = found.groupBy("_id", "_key").agg(F.collect_list("pos").alias(name))
+        same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._key") == F.col("b._key"))
+        return df.alias("a").join(own.alias("b").hint("merge"), same, "left").select("a.*", name)
+
+    marked = stage(with_places(keyed, suspects, "_maybe"))
+    touched = marked.filter(F.col("_maybe").isNotNull())
+    parts = with_chunks(touched.select("_id", "_key", "_maybe", F.col(f"`{text}`").alias("_text")), "_text", divisor).select("_id", "_key", "_maybe", F.posexplode("_chunks").alias("pos", "chunk"))
+    owners = parts.filter(F.array_contains("_maybe", F.col("pos"))).groupBy("chunk.part").agg(F.min(at).alias("own"))
+    spared = owners.select("own.*")
+    same_place = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._key") == F.col("b._key")) & (F.col("a.pos") == F.col("b.pos"))
+    gone = suspects.alias("a").join(spared.alias("b"), same_place, "left_anti")
+    cut = with_chunks(with_places(touched, gone, "_gone"), text, divisor)
     left = F.array_join(F.transform(F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i)), lambda c: c["part"]), "\n")
     clean = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(left)
-    return cut.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed_chunks"))
+    size = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed_chunks")
+    done = cut.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in kept], size)
+    return marked.filter(F.col("_maybe").isNull()).select(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("n_removed_chunks")).unionByName(done)
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
