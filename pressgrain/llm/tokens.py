@@ -23,7 +23,7 @@ class PieceEncoder:
     and what was used from the one before moves over.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 400_000):
+    def __init__(self, path: str, kind: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,11 +32,53 @@ class PieceEncoder:
         self.kind, self.limit = kind, limit
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        # fixed values: how the two kinds of vocabulary mark the start and the end of a word
+        self.marked = np.array([n.startswith("\u0120") if kind == "lead" else n.endswith("</w>") for n in names])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many words a call: the vocabulary marks the first id of a word, or the last one."""
+        lead = self.kind == "lead"
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for group, raw in zip(groups, self._ids([(" " if lead else "") + " ".join(g) for g in groups])):
+            marks = np.flatnonzero(self.marked[np.frombuffer(raw, "<u4")])
+            cuts = [*(4 * marks).tolist(), len(raw)] if lead else [0, *(4 * (marks + 1)).tolist()]
+            if len(cuts) == len(group) + 1 and cuts[0] == 0 and cuts[-1] == len(raw):
+                out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            else:
+                out += self._ids([" " + w if lead else w for w in group])
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of pieces that no cache has. A word of Latin letters with punctuation behind it is two pre-tokens in
+        either kind, and where blanks are dropped so is case, which saves encoding each such form by itself."""
+        lead = self.kind == "lead"
+        odd, split = [], {}
+        for piece in missing:
+            word = piece.rstrip(".,;:!?")
+            if word.isalpha() and max(word) < "\u0250":
+                split[piece] = (word.lower() if not lead and word.isascii() else word, piece[len(word) :])
+            else:
+                odd.append(piece)
+        words = {w for w, _ in split.values()}.difference(self.known)
+        fresh = [w for w in words if w not in self.older]
+        self.known.update((w, self.older[w]) for w in words.difference(fresh))
+        if fresh:
+            self.known.update(zip(fresh, self._word_ids(fresh)))
+        tails = list({t for _, t in split.values() if t}.difference(self.tails))
+        if tails:
+            self.tails.update(zip(tails, self._ids(tails)))
+        known, tail_ids = self.known, self.tails
+        known.update([(p, known[w] + tail_ids[t] if t else known[w]) for p, (w, t) in split.items()])
+        if odd:
+            known.update(zip(odd, self._ids([" " + p for p in odd] if lead else odd)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         lead = self.kind == "lead"
@@ -60,7 +102,7 @@ class PieceEncoder:
             else:
                 self.known[piece] = ids
         if missing:
-            self.known.update(zip(missing, self._ids([" " + p for p in missing] if lead else missing)))
+            self._learn(missing)
         get = self.known.__getitem__
         if not lead:
             return [b"".join(map(get, p)) for p in pieces]
