@@ -19,7 +19,7 @@ import numpy as np
 
 MAGIC = b"PGT1"
 HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, alphabet, bytes after the head, crc32 of those bytes
-LANES, TABLE_BITS, FLAG_BITS = 2048, 18, 12
+LANES, TABLE_BITS, FLAG_BITS = 4096, 18, 12
 FLAGS = 1 << FLAG_BITS
 GAIN, LIMIT = 24, 1 << 22
 U = np.uint64

@@ -18,7 +18,7 @@ from pressgrain.llm.tokens import encoder
 from pressgrain.session import cut_lineage
 
 #: A block is closed once it holds this many ids; it always holds whole documents.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 20
 _INDEX = "<II"  # documents, crc32 of the index
 
 
@@ -99,8 +99,9 @@ def read_token_files(blocks: DataFrame, folder: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("ids").alias("n"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     base = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    # the blocks are few rows of much work each, so they are spread one by one
-    spread = blocks.join(base, "shard").select("path", "position", "size", (F.col("base") + F.col("first_id")).alias("start"), "shard", "block").repartition("shard", "block")
+    # the blocks are few rows of much work each: a stated number of partitions keeps AQE from merging them by their size
+    spread = blocks.join(base, "shard").select("path", "position", "size", (F.col("base") + F.col("first_id")).alias("start"), "shard", "block").repartition(
+        max(1, blocks.count()), "shard", "block")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
