@@ -171,7 +171,8 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = 4 << 20) ->
     The length of a revisit's payload is that in its HTTP header.
     """
     ranges = files.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
-    spread = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes"))).repartition("path", "start")
+    # rows are few and small but much work: a stated number of partitions keeps AQE from merging them by their size
+    spread = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes"))).repartition(max(1, ranges.count()), "path", "start")
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("html", pa.string())])
 
     def number(urn: str | None) -> int | None:
