@@ -134,9 +134,9 @@ def issue_title(members: DataFrame, articles: DataFrame, suffixes: DataFrame, co
 
 
 def issue_table(members: DataFrame, articles: DataFrame, observations: DataFrame, titles: DataFrame, categories: DataFrame,
-                configured_sources: int, configured_groups: int, max_issues: int = 80, secondary: Sequence[str] = SECONDARY_CATEGORIES) -> DataFrame:
+                configured_sources: int, configured_groups: int, max_issues: int | None = None, secondary: Sequence[str] = SECONDARY_CATEGORIES) -> DataFrame:
     """Ranked issues of each run. ``members`` carries run, issue_id, article_id, similarity and the
-    representative flag; ids are unique over runs."""
+    representative flag; ids are unique over runs. With ``max_issues`` only the first of each run are returned."""
     m = members.join(articles.select("article_id", "source_id", "media_group_id", "homepage_placement"), "article_id")
     parts = issue_components(m, configured_groups)
     out = parts.join(placement_score(m, observations), "issue_id").join(issue_cohesion(members), "issue_id").join(titles, "issue_id").join(categories, "issue_id")
