@@ -263,14 +263,8 @@ def grow_clusters(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
 
     def representative(c):
         total = sum(info[m][0] for m in members[c])
-        best, best_score = None, -1.0
-        for m in members[c]:
-            w = info[m][0]
-            s = (w - 1) + sum(info[o][0] * near[m][o][0] for o in members[c] if o != m)
-            score = s / max(1, total - 1) - max(0, info[m][1] - 70) / 500 if total > 1 else 0.0
-            if score > best_score:
-                best, best_score = m, score
-        return best
+        mean = lambda m: (info[m][0] - 1 + sum(info[o][0] * near[m][o][0] for o in members[c] if o != m)) / max(1, total - 1)
+        return min(members[c], key=lambda m: (-max(mean(m) - max(0, info[m][1] - 70) / 500, -1.0), m))
 
     for u in sorted(info):
         mine = near.get(u, {})
@@ -289,6 +283,13 @@ def grow_clusters(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
     return home
 
 
+def _fitness() -> Column:
+    """How well a unit stands for its cluster: mean similarity to the other articles (``_s``, ``_w``: sums over the cluster)
+    less a penalty for titles over 70 characters; -1 at least, so that the earliest of such titles stands."""
+    mean = (F.coalesce("_s", F.lit(0.0)) + F.col("weight") - 1) / F.greatest(F.col("_w") - 1, F.lit(1))
+    return F.greatest(mean - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500, F.lit(-1.0))
+
+
 def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 5000) -> DataFrame:
     """(run, unit_id, cluster_id); a cluster is named by its first unit.
 
@@ -349,8 +350,7 @@ def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
         of_cluster = done.join(nodes, ["run", "unit_id"])
         totals = of_cluster.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
         scored = of_cluster.join(sums.withColumnRenamed("u", "unit_id"), ["run", "cluster_id", "unit_id"], "left").join(totals, ["run", "cluster_id"])
-        score = (F.coalesce("_s", F.lit(0.0)) + F.col("weight") - 1) / F.greatest(F.col("_w") - 1, F.lit(1)) - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500
-        reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-score, F.col("unit_id"))).alias("v"))
+        reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-_fitness(), F.col("unit_id"))).alias("v"))
         union = of_cluster.select("run", "cluster_id", F.explode("idx").alias("token")).distinct()
         choice = eligible.join(ready, ["run", "u"], "left_semi")
         shared = choice.join(nodes.select("run", F.col("unit_id").alias("u"), F.explode("idx").alias("token")), ["run", "u"]).join(
@@ -398,9 +398,7 @@ def representative_units(units: DataFrame, clusters: DataFrame, edges: DataFrame
     sums = both.join(weights, ["run", "v"]).groupBy("run", F.col("u").alias("unit_id")).agg(F.sum(F.col("similarity") * F.col("_vw")).alias("_s"))
     totals = c.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
     scored = c.join(sums, ["run", "unit_id"], "left").join(totals, ["run", "cluster_id"])
-    mean = (F.coalesce("_s", F.lit(0.0)) + F.col("weight") - 1) / F.greatest(F.col("_w") - 1, F.lit(1))
-    penalty = F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500
-    reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-(mean - penalty), F.col("unit_id"))).alias("rep"))
+    reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-_fitness(), F.col("unit_id"))).alias("rep"))
     to_rep = both.join(reps.withColumnRenamed("rep", "v"), ["run", "cluster_id", "v"]).select("run", F.col("u").alias("unit_id"), F.col("similarity").alias("_sim"))
     out = home.join(reps, ["run", "cluster_id"]).join(to_rep, ["run", "unit_id"], "left")
     own = F.col("unit_id") == F.col("rep")

@@ -123,7 +123,7 @@ def _(t):
 
 
 @query("validate_import_rows", """
-    SELECT article_id, array_to_string(list_filter([CASE WHEN source_id IN ('src7') THEN 'unknown_source' END, CASE WHEN length(trim(title, ' ')) < 1 THEN 'title_length' END,
+    SELECT article_id, array_to_string(list_filter([CASE WHEN source_id IN ('src7') THEN 'unknown_source' END, CASE WHEN length(trim(title, ' ')) < 1 OR length(trim(title, ' ')) > 500 THEN 'title_length' END,
       CASE WHEN article_id % 13 = 0 THEN 'foreign_domain' END, CASE WHEN article_id % 600 = 0 OR article_id % 600 > 500 THEN 'rank_range' END,
       CASE WHEN article_id % 8 = 0 THEN 'placement' END], lambda x: x IS NOT NULL), ',') AS errors FROM fx_articles""")
 def _(t):
