@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -83,6 +84,20 @@ def _narrow(low: np.ndarray, span: np.ndarray) -> None:
     span[small] = (~low[small] + U(1)) & (LEAST - U(1))
 
 
+def _shifted(span: np.ndarray) -> np.ndarray:
+    """The range after 16 bits were put out; a whole range of 2**64 counts as one less, since 64 bits can't hold it."""
+    return np.where(span == U(1 << 48), U(0xFFFFFFFFFFFFFFFF), span << U(16))
+
+
+def _settle(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Put out 16 bits of every lane that can or must, until none is left: (lanes, their bits), a few rounds at most."""
+    while len(go := _unsettled(low, span)):
+        a, b = low[go], span[go]
+        _narrow(a, b)
+        low[go], span[go] = a << U(16), _shifted(b)
+        yield go, a >> TOP
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """One self-contained block for ``ids`` (any unsigned integers below 2**31)."""
     n = len(ids)
@@ -112,12 +127,9 @@ def encode_block(ids: np.ndarray) -> bytes:
                 start = model.cumulative[sought]
                 low[miss] += unit * start
                 span[miss] = unit * (model.cumulative[sought + 1] - start)
-            while len(go := _unsettled(low, span)):
-                a, b = low[go], span[go]
-                _narrow(a, b)
+            for go, bits in _settle(low, span):
                 out_lane.append(go)
-                out_word.append((a >> TOP).astype("<u2"))
-                low[go], span[go] = a << U(16), b << U(16)
+                out_word.append(bits.astype("<u2"))
             model.learn(now, flag)
         last = (low + (LEAST - U(1))) & ~(LEAST - U(1))
         every = np.arange(lanes)
@@ -173,11 +185,8 @@ def decode_block(block: bytes) -> np.ndarray:
                 low[miss] += unit * start
                 span[miss] = unit * (model.cumulative[found + 1] - start)
                 now[miss] = found
-            while len(go := _unsettled(low, span)):
-                a, b = low[go], span[go]
-                _narrow(a, b)
+            for go, _ in _settle(low, span):
                 code[go] = (code[go] << U(16)) | take(go)
-                low[go], span[go] = a << U(16), b << U(16)
             model.learn(now, flag)
             columns[t] = now
     return columns.T.reshape(-1)[:n].astype(np.uint32)

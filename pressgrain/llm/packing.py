@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pressgrain.llm.common import slices, table
-from pressgrain.llm.tokens import encoder
+from pressgrain.llm.common import table
+from pressgrain.llm.tokens import closed, encoder, text_slices
 from pressgrain.session import cut_lineage
 
 
@@ -53,29 +53,27 @@ def pieces_of(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity:
     that the same task made before.
     """
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in slices(batches):
-            ids = encoder(tokenizer, kind).encode([x or "" for x in batch.column(1).to_pylist()])
-            row, start, length, crc, total, rank = [], [], [], [], [], []
-            for i, raw in enumerate(ids):
-                raw += end
-                n = len(raw) // 4
-                for at in range(0, n, capacity):
-                    part = raw[4 * at : 4 * (at + capacity)]
-                    size = len(part) // 4
-                    row.append(i)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    rank.append(seen[size])
-                    seen[size] += 1
-            longs = [pa.array(np.array(c, dtype=np.int64)) for c in (start, length, crc, total, rank)]
+        for batch in text_slices(batches, 1):
+            ids, counts = closed(*encoder(tokenizer, kind).encode(batch.column(1)), end_id)
+            pieces = -(-counts // capacity)
+            row = np.repeat(np.arange(len(counts)), pieces)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            total, start = counts[row], nth * capacity
+            length = np.minimum(total - start, capacity)
+            first = np.cumsum(length) - length
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+            # rank among the pieces of the same length: those before this slice, then those before in it
+            order = np.argsort(length, kind="stable")
+            sizes, at, many = np.unique(length[order], return_index=True, return_counts=True)
+            rank = np.empty(len(row), np.int64)
+            rank[order] = np.arange(len(row)) - np.repeat(at, many) + np.repeat(seen[sizes], many)
+            seen[sizes] += many
+            longs = [pa.array(np.asarray(c, dtype=np.int64)) for c in (start, length, crc, total)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *longs[:4], pa.array(np.full(len(row), task, np.int32)), longs[4]],
+                [batch.column(0).take(pa.array(row)), *longs, pa.array(np.full(len(row), task, np.int32)), pa.array(rank)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)

@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pressgrain.llm.coder import decode_block, encode_block
-from pressgrain.llm.common import shared_folder, slices, table
-from pressgrain.llm.tokens import encoder
+from pressgrain.llm.common import shared_folder, table
+from pressgrain.llm.tokens import closed, encoder, text_slices
 from pressgrain.session import cut_lineage
 
 #: A block is closed once it holds this many ids; it always holds whole documents.
@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, f
         store.create_dir(root, recursive=True)
         path = f"{root}/shard-{shard:06d}-{context.taskAttemptId()}.pgt"
         rows: list[tuple] = []
-        pending: list[bytes] = []
+        pending: list[np.ndarray] = []
         entries: list[tuple[int | None, int]] = []
         size = position = first = 0
         sink = None
@@ -66,18 +66,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, f
         def close_block() -> None:
             nonlocal pending, entries, size, position, first, sink
             sink = sink or store.open_output_stream(path)
-            raw = _frame(entries, np.frombuffer(b"".join(pending), "<u4"))
+            raw = _frame(entries, np.concatenate(pending))
             sink.write(raw)
             rows.append((shard, len(rows), path, position, len(raw), first, size))
             position, first = position + len(raw), first + size
             pending, entries, size = [], [], 0
 
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            for key, raw in zip(batch.column(0).to_pylist(), encoder(tokenizer, kind).encode(batch.column(1).to_pylist())):
-                pending.append(raw + end)
-                entries.append((key, len(raw) // 4 + 1))
-                size += len(raw) // 4 + 1
+        for batch in text_slices(batches, 1):
+            ids, counts = closed(*encoder(tokenizer, kind).encode(batch.column(1)), end_id)
+            at = 0
+            for key, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+                pending.append(ids[at : at + n])
+                entries.append((key, n))
+                at, size = at + n, size + n
                 if size >= block_ids:
                     close_block()
         if entries:

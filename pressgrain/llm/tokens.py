@@ -1,114 +1,166 @@
-"""Token ids of whole texts by the tokenizers library, with the pieces between blanks looked up once per worker."""
+"""Token ids of whole texts by the tokenizers library: texts are cut at blanks, and each distinct piece is encoded once."""
 
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A blank beside other white space or at the end of the text.
-_UNSAFE = re.compile(r" (?:\s|\Z|(?<=\s ))")
+#: White space beside white space or at an end of the text (all that Unicode calls white space).
+_UNSAFE = r"[\s\p{Z}\x{85}\x{0b}]{2}|^[\s\p{Z}\x{85}\x{0b}]|[\s\p{Z}\x{85}\x{0b}]$"
+#: Punctuation behind a Latin letter begins a pre-token in both kinds. The letters are those below U+0250 but U+0130, whose
+#: lower case ends in a combining mark that joins the punctuation.
+_LATIN = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])"
+#: A blank or a line feed and no other white space behind it.
+_ONE_WORD = r"^[ \n][^\s\p{Z}\x{85}\x{0b}]+$"
+#: A control character that stands between pieces encoded in one call; pieces that hold it are encoded alone.
+_BETWEEN = "\x01"
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceEncoder:
-    """Encodes texts blank by blank.
+    """Encodes columns of texts piece by piece.
 
-    Both kinds of vocabulary end a pre-token at a single blank between two other characters, so the ids of a text are
-    the ids of its pieces in order. ``kind`` says what becomes of the blank: "lead" (it starts the next piece) or "drop"
-    (it vanishes; line feeds do too). In a "lead" text with two neighbouring white-space characters, or white space at
-    an end, the cuts are not safe, and such texts are encoded whole. Once ``limit`` pieces are cached, a new cache begins,
-    and what was used from the one before moves over.
+    Both kinds of vocabulary end a pre-token at a blank or a line feed between two other characters and before punctuation
+    behind a letter, so the ids of a text are the ids of its pieces in order. ``kind`` says what becomes of the blank: "lead" (it starts the next piece) or
+    "drop" (it vanishes; line feeds do too). In a "lead" text with two neighbouring white-space characters, or white
+    space at an end, the cuts are not safe, and such texts are one piece. Distinct pieces of a column are looked
+    up in the pieces met before, missing ones are encoded many a call, and the ids are gathered by an Arrow ``take``.
+    Once ``limit`` pieces are kept, the more used half of them stays.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 200_000):
+    def __init__(self, path: str, kind: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind, self.limit = kind, limit
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        # fixed values: how the two kinds of vocabulary mark the start and the end of a word
-        self.marked = np.array([n.startswith("\u0120") if kind == "lead" else n.endswith("</w>") for n in names])
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, many words a call: the vocabulary marks the first id of a word, or the last one."""
-        lead = self.kind == "lead"
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        out: list[bytes] = []
-        for group, raw in zip(groups, self._ids([(" " if lead else "") + " ".join(g) for g in groups])):
-            marks = np.flatnonzero(self.marked[np.frombuffer(raw, "<u4")])
-            cuts = [*(4 * marks).tolist(), len(raw)] if lead else [0, *(4 * (marks + 1)).tolist()]
-            if len(cuts) == len(group) + 1 and cuts[0] == 0 and cuts[-1] == len(raw):
-                out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
-            else:
-                out += self._ids([" " + w if lead else w for w in group])
-        return out
-
-    def _learn(self, missing: list[str]) -> None:
-        """Ids of pieces that no cache has. A word of Latin letters with punctuation behind it is two pre-tokens in
-        either kind, and where blanks are dropped so is case, which saves encoding each such form by itself."""
-        lead = self.kind == "lead"
-        odd, split = [], {}
-        for piece in missing:
-            word = piece.rstrip(".,;:!?")
-            if word.isalpha() and max(word) < "\u0250":
-                split[piece] = (word.lower() if not lead and word.isascii() else word, piece[len(word) :])
-            else:
-                odd.append(piece)
-        words = {w for w, _ in split.values()}.difference(self.known)
-        fresh = [w for w in words if w not in self.older]
-        self.known.update((w, self.older[w]) for w in words.difference(fresh))
-        if fresh:
-            self.known.update(zip(fresh, self._word_ids(fresh)))
-        tails = list({t for _, t in split.values() if t}.difference(self.tails))
-        if tails:
-            self.tails.update(zip(tails, self._ids(tails)))
-        known, tail_ids = self.known, self.tails
-        known.update([(p, known[w] + tail_ids[t] if t else known[w]) for p, (w, t) in split.items()])
-        if odd:
-            known.update(zip(odd, self._ids([" " + p for p in odd] if lead else odd)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        lead = self.kind == "lead"
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if not lead:
-                pieces.append(text.replace("\n", " ").split(" "))
-            elif text[:1] == " " or _UNSAFE.search(text):
-                pieces.append(None)
-            else:
-                # all but the first are kept under their text without the blank
-                pieces.append(text.split(" "))
-        wanted = set(chain.from_iterable(p[1:] if lead else p for p in pieces if p))
-        if len(self.known) + len(wanted) > self.limit:
-            self.older, self.known = self.known, {}
-        missing = []
-        for piece in wanted.difference(self.known):
-            ids = self.older.get(piece)
-            if ids is None:
-                missing.append(piece)
-            else:
-                self.known[piece] = ids
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        if not lead:
-            return [b"".join(map(get, p)) for p in pieces]
-        # whole texts and first pieces go to the tokenizer as they are
-        heads = self._ids([t if p is None else p[0] for t, p in zip(texts, pieces)])
-        return [h if p is None else h + b"".join(map(get, p[1:])) for h, p in zip(heads, pieces)]
+        self.lead, self.limit = kind == "lead", limit
+        if self.lead:
+            names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+            # fixed values: how a byte-level vocabulary writes a blank and a line feed
+            self.starts = {m: np.array([n.startswith(c) for n in names]) for m, c in ((" ", "Ġ"), ("\n", "Ċ"))}
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.uses = np.zeros(0, np.int64)
+        self.lists = pa.array([], pa.list_(pa.uint32()))
+
+    def _forget(self) -> None:
+        """Keep the half of the limit that was used most."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(stay.tolist())}
+        self.uses = self.uses[stay]
+        self.lists = self.lists.take(pa.array(stay))
+        self.ids, self.sizes = [self.lists.flatten().to_numpy()], [self.sizes[0][stay]]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without white space, and how many each has, many pieces a call.
+
+        A "lead" piece begins with ``mark``, a blank or a line feed, whose id starts with that character as no other id
+        of the piece does; "drop" pieces are told apart by an id that none of them holds.
+        """
+        if self.lead:
+            ids = self._ids(["".join(pieces)])[0]
+            at = np.flatnonzero(self.starts[mark][ids])
+            if len(at) == len(pieces) and at[0] == 0:
+                return ids, np.diff(np.append(at, len(ids)))
+        else:
+            ids = self._ids([f" {_BETWEEN} ".join(pieces)])[0]
+            between = self._ids([_BETWEEN])[0]
+            at = np.flatnonzero(ids == between[0]) if len(between) == 1 else between
+            if len(at) == len(pieces) - 1:
+                kept = np.delete(ids, at)
+                ends = np.append(at - np.arange(len(at)), len(kept))
+                return kept, np.diff(ends, prepend=0)
+        alone = self._ids(pieces)
+        return np.concatenate(alone), np.array([len(a) for a in alone], np.int64)
+
+    def _learn(self, missing: pa.Array) -> None:
+        """Encode pieces that the store lacks and add them to it. A piece is written as it stands in the text, with the
+        white space before it ("lead") or without ("drop")."""
+        odd = pc.match_substring(missing, _BETWEEN)
+        if self.lead:
+            odd = pc.or_(odd, pc.invert(pc.match_substring_regex(missing, _ONE_WORD)))
+            line = pc.starts_with(missing, "\n")
+            groups = [(mark, missing.filter(pc.and_(pc.invert(odd), at))) for mark, at in ((" ", pc.invert(line)), ("\n", line))]
+        else:
+            groups = [("", missing.filter(pc.invert(odd)))]
+        for mark, group in groups:
+            pieces = _strings(group)
+            for i in range(0, len(pieces), 1000):
+                some = pieces[i : i + 1000]
+                self._add(some, *self._joined(some, mark))
+        alone = _strings(missing.filter(odd))
+        for i in range(0, len(alone), 1000):
+            ids = self._ids(alone[i : i + 1000])
+            self._add(alone[i : i + 1000], np.concatenate(ids), np.array([len(a) for a in ids], np.int64))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+
+    def _look_up(self, wanted: pa.Array) -> np.ndarray:
+        """Place in the store of each of these distinct pieces, missing ones added."""
+        if len(self.known) + len(wanted) > self.limit and len(self.known) > self.limit // 2:
+            self._forget()
+        names = _strings(wanted)
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            self._learn(wanted.take(pa.array(fresh)))
+            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+            offsets = np.concatenate([[0], np.cumsum(self.sizes[0])]).astype(np.int32)
+            self.lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.ids[0]))
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            at[fresh] = [self.known[names[i]] for i in fresh.tolist()]
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each) of a string column; null counts as empty."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        whole = pc.match_substring(texts, "\x00")
+        nothing, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        if self.lead:
+            # every piece begins with its white space; a text's first one, with a line feed that is taken away again
+            whole = pc.or_(whole, pc.or_(pc.match_substring_regex(texts, _UNSAFE), pc.equal(texts, "")))
+            marked = pc.binary_join_element_wise(line, pc.if_else(whole, nothing, texts), nothing)
+            marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\x00\n"), " ", "\x00 ")
+        else:
+            marked = pc.replace_substring(pc.replace_substring(pc.if_else(whole, nothing, texts), "\n", "\x00"), " ", "\x00")
+        pieces = pc.split_pattern(pc.replace_substring_regex(marked, _LATIN, "\\1\x00\\2"), "\x00")
+        flat = pieces.flatten().dictionary_encode()
+        offsets = pieces.offsets.to_numpy()
+        codes = flat.indices.to_numpy()
+        at = self._look_up(flat.dictionary)
+        self.uses[at] += np.bincount(codes, minlength=len(at))
+        place = at[codes]
+        ids = self.lists.take(pa.array(place)).flatten().to_numpy()
+        counts = np.diff(np.concatenate([[0], np.cumsum(self.sizes[0][place])])[offsets - offsets[0]])
+        if self.lead:
+            keep = np.ones(len(ids), bool)
+            keep[np.cumsum(counts) - counts] = False
+            ids, counts = ids[keep], counts - 1
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(odd):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for row, found in zip(odd.tolist(), self._ids(texts.take(pa.array(odd)).to_pylist())):
+                parts[row] = found
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
 
 
 def encoder(path: str, kind: str) -> PieceEncoder:
@@ -116,3 +168,23 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = PieceEncoder(path, kind)
     return _LOADED[path, kind]
+
+
+def closed(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` behind each text."""
+    out = np.full(len(ids) + len(counts), end_id, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(counts + 1) - 1] = False
+    out[inner] = ids
+    return out, counts + 1
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where their texts pass ``size`` bytes, so that memory follows the longest text and not the batch."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

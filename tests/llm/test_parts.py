@@ -3,14 +3,18 @@
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from pressgrain.llm.coder import decode_block, encode_block
+from pressgrain.llm.coder import LEAST, _settle, decode_block, encode_block
 from pressgrain.llm.graph import components
 from pressgrain.llm.packing import pack_histogram
 from pressgrain.llm.shingles import shingle_set, super_min_hash
 from pressgrain.llm.suffix_tree import A, END, SuffixAutomaton, grams, symbols
+from pressgrain.llm.tokens import PieceEncoder
 
 
 @pytest.mark.parametrize("kind", ["empty", "one", "constant", "uniform", "text", "large ids"])
@@ -27,6 +31,39 @@ def test_coder_round_trip(kind):
             decode_block(block[:-1] + bytes([block[-1] ^ 1]))
 
 
+def test_coder_settles_from_every_state():
+    """Ranges of exactly 2**48 on an aligned start, which overflow 64 bits when shifted, and 40 million others."""
+    rng = np.random.default_rng(4)
+    states = [(np.array([0x1234FFFF00000000, 0x1234FFFF00000000, 0x7000_0000_0000_0000, 0], "u8"), np.array([1 << 32, (1 << 32) + 5, 1 << 48, 1 << 48], "u8"))]
+    for _ in range(20):
+        low = rng.integers(0, 1 << 64, 1_000_000, dtype=np.uint64) >> rng.integers(0, 64, 1_000_000).astype(np.uint64)
+        states.append((low, np.uint64(1) << rng.integers(0, 64, len(low)).astype(np.uint64)))
+        states.append((low << rng.integers(0, 64, len(low)).astype(np.uint64), rng.integers(1, 1 << 63, len(low), dtype=np.uint64) >> rng.integers(0, 62, len(low)).astype(np.uint64)))
+    with np.errstate(over="ignore"):
+        for low, span in states:
+            span = np.maximum(np.minimum(span, ~low), np.uint64(1))  # a range never passes the end
+            rounds = sum(1 for _ in _settle(low, span))
+            assert rounds <= 8 and (span >= LEAST).all()
+
+
+@pytest.mark.parametrize("file,kind", [("byte_bpe_50k.json", "lead"), ("word_bpe_49k.json", "drop")])
+def test_piecewise_ids_are_those_of_the_tokenizer(file, kind):
+    """20,000 strings of letters whose lower case grows, marks, all sorts of white space and special tokens; a store so small that it is cut again and again."""
+    tokenizer, own = Tokenizer.from_file(public_tokenizers.path(file)), PieceEncoder(public_tokenizers.path(file), kind, limit=1000)
+    rnd = random.Random(5)
+    parts = ["a", "b", "the", "\u00e9", "\u0130", "\u0130!", "d\u0130.", "\u00df", "\u03a3", "\u0958.", " ", " ", " ", "  ", "\n", "\n\n", " \n", "\t", ".", ",", "!", "'s", "'ll", "n't", "1", "23", "\u00a0", "\u3000", "\x00", "\x01", "\x85", "\x0b",
+             "\x1f", "\r\n", "<|endoftext|>", " <|endoftext|> ", "<|startoftext|>", "<|ENDOFTEXT|>", "\u4e2d", "\U0001f600", "\u0301", "e\u0301", "\u0120", "\u010a", "</w>", "_", "|", "\u00d7.", "\u00f7"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(20_000)]
+    for i in range(0, len(texts), 700):
+        some = texts[i : i + 700]
+        ids, counts = own.encode(pa.array(some))
+        found = np.split(ids, np.cumsum(counts)[:-1])
+        for text, got, want in zip(some, found, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            assert got.tolist() == want.ids, text
+    assert [len(x) for x in own.encode(pa.array([None, ""]))] == [0, 2]
+    assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_histogram_packing_places_every_piece_once():
     rnd = random.Random(2)
     for _ in range(20):

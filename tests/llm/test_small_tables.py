@@ -100,7 +100,6 @@ def test_packing_and_token_files(spark, docs, empty):
     for name, kind, end in (("byte_bpe_50k.json", "lead", 1), ("word_bpe_49k.json", "drop", 2)):
         path = public_tokenizers.path(name)
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         ids = {}
         for i, t, _ in ROWS:
             ids.setdefault(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4"))
