@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressgrain.llm import decontaminate, html_text, lang_id, line_chunks, lm_score, near_text, near_vectors, packing, token_file, warc
+from pressgrain.llm import decontaminate, html_text, lang_id, line_chunks, lm_score, near_text, near_vectors, packing, prefix_trie, repeats, spelling, token_file, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_file.op8_token_files,
     "op9_near_vectors": near_vectors.op9_near_vectors,
     "op10_warc": warc.op10_warc,
+    "op11_repeats": repeats.op11_repeats,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
