@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgrain.session import stage_dir
@@ -21,6 +22,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{stage_dir(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and the path in it; Arrow knows Hadoop's S3 schemes as s3."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + mark + rest)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, densely packed since it holds texts, and continue from it."""
     path = shared_folder(df.sparkSession, "stages")

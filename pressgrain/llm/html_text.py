@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,16 +30,21 @@ UNLIKELY = re.compile(
     r"skip|tags?|meta|byline|hidden|print|search)(?:$|[\s_-])", re.I)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_BEGINS = re.compile(r"<(?=[a-zA-Z/!?])")
 KEPT = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "commas")
+    __slots__ = ("tag", "parent", "parts", "depth", "fence", "points", "near", "far", "score", "reached", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent = tag, parent
         self.parts: list[Node | str] = []
-        self.score = 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        # depth of the nearest element that the end of an inner one can't pass
+        self.fence = self.depth if tag in STOPS or parent is None else parent.fence
+        self.points = self.near = self.far = self.score = 0.0
+        self.reached = False
         self.chars = self.linked = self.commas = 0
 
 
@@ -54,53 +60,63 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class TreeBuilder(HTMLParser):
-    """Tree of what may be content; unwanted elements are left out while parsing, with all they hold."""
+    """Tree of what may be content; unwanted elements are left out while parsing, with all they hold.
+
+    Open elements are kept in one stack for each tag, so that no tag is looked for along the open elements and the time
+    follows the length of the page however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.open: dict[str, list[Node]] = {}
         self.skipping: list[str] = []  # open elements inside an unwanted one, that one first
-        self.body = 0
-
-    def _open(self, tag: str) -> bool:
-        node = self.at
-        while node is not self.root:
-            if node.tag == tag:
-                return True
-            node = node.parent
-        return False
+        self.skipped: Counter[str] = Counter()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Unknown sections ``<![...]>`` are comments, as browsers see them, and end at the first bracket."""
+        mark = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return -1 if end < 0 else end + len(mark)
+
+    def _top(self, tag: str) -> Node | None:
+        nodes = self.open.get(tag)
+        return nodes[-1] if nodes else None
+
+    def _close(self, node: Node) -> None:
+        """End ``node`` and all that is open inside it."""
+        while self.at.depth >= node.depth:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def _skip(self, tag: str) -> None:
+        self.skipping.append(tag)
+        self.skipped[tag] += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipping:
             if tag not in VOID:
-                self.skipping.append(tag)
+                self._skip(tag)
             return
         if tag in ENDS_P:
-            self._end_p()
+            p = self._top("p")
+            if p and p.depth > self.at.fence:
+                self._close(p)
         if tag in SAME_ENDS:
-            node = self.at
-            while node is not self.root and node.tag not in SAME_ENDS[tag] and node.tag not in STOPS:
-                node = node.parent
-            if node.tag in SAME_ENDS[tag]:
-                self.at = node.parent
+            same = max((n for t in SAME_ENDS[tag] if (n := self._top(t))), key=lambda n: n.depth, default=None)
+            if same and same.depth >= self.at.fence:
+                self._close(same)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.at.parts.append(Node(tag, self.at))
         elif _unwanted(tag, attrs):
-            self.skipping.append(tag)
+            self._skip(tag)
         else:
             node = Node(tag, self.at)
             self.at.parts.append(node)
+            self.open.setdefault(tag, []).append(node)
             self.at = node
 
-    def _end_p(self) -> None:
-        node = self.at
-        while node is not self.root and node.tag not in STOPS:
-            if node.tag == "p":
-                self.at = node.parent
-                return
-            node = node.parent
-
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # a slash at the end closes nothing in HTML; only void elements and drawings use it
         if tag not in DROPPED:
@@ -109,21 +125,20 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if self.skipping:
             # an element left open inside ends with the one around it
-            if tag in self.skipping:
-                while self.skipping.pop() != tag:
-                    pass
-            elif tag in ("body", "html", "article", "main") or tag in STOPS and self._open(tag):
+            if self.skipped[tag]:
+                while True:
+                    ended = self.skipping.pop()
+                    self.skipped[ended] -= 1
+                    if ended == tag:
+                        break
+            elif tag in ("body", "html", "article", "main") or tag in STOPS and self._top(tag):
                 self.skipping = []
+                self.skipped.clear()
                 self.handle_endtag(tag)
             return
-        node = self.at
-        while node is not self.root:
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if node.tag in STOPS and tag not in STOPS:
-                return
-            node = node.parent
+        node = self._top(tag)
+        if node and (tag in STOPS or node.depth > self.at.fence):
+            self._close(node)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
@@ -157,19 +172,23 @@ def _measure(nodes: list[Node]) -> None:
 
 def _score(nodes: list[Node]) -> list[Node]:
     """Containers with points: one for a paragraph, one a comma, one for each 100 characters up to three; all of them
-    to its parent, half to the next above and a share falling with height to the rest."""
-    containers: dict[int, Node] = {}
+    go to its parent, half to the next above, a sixth to the third, and two thirds of that to each further one.
+
+    Nodes hand on what they hold once, the last of the page first, so the work follows their number.
+    """
     for node in nodes:
         own = node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li", "td", "dd") or node.tag in ("div", "section", "article", "main", "body", "#root") and any(isinstance(p, str) and p.strip() for p in node.parts)
-        if not own or not node.chars:
-            continue
-        points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.linked / node.chars)
-        above, height = node if node.tag in STOPS and node.tag != "td" else node.parent, 0
-        while above is not None:
-            above.score += points / (1 if height == 0 else 2 if height == 1 else 3 * height)
-            containers[id(above)] = above
-            above, height = above.parent, height + 1
-    return list(containers.values())
+        above = node if node.tag in STOPS and node.tag != "td" else node.parent
+        if own and node.chars and above:
+            above.points += (1 + node.commas + min(node.chars / 100, 3)) * (1 - node.linked / node.chars)
+            above.reached = True
+    for node in reversed(nodes):
+        node.score = node.points + node.near / 2 + node.far
+        if node.parent is not None:
+            node.parent.near += node.points
+            node.parent.far += node.near / 6 + node.far * 2 / 3
+            node.parent.reached |= node.reached
+    return [n for n in nodes if n.reached]
 
 
 def _text(roots: list[Node]) -> str:
@@ -194,7 +213,9 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     builder = TreeBuilder()
-    builder.feed(html)
+    # behind the last bracket no tag can end; the parser would search the rest anew from each of its beginnings
+    end = html.rfind(">") + 1
+    builder.feed(html[:end] + _BEGINS.split(html[end:], 1)[0])
     builder.close()
     nodes = _walk(builder.root)
     _measure(nodes)

@@ -99,7 +99,10 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Rows with equal id and text are one document and are treated alike. Null and empty texts stay as they are; so does
     an unrepeated text, to the byte. Other columns are kept, except that an n_removed_chunks of the input is replaced.
     """
-    kept = [c for c in docs.columns if c != "n_removed_chunks"]
+    names = [c for c in docs.columns if c.lower() != "n_removed_chunks"]
+    # inside, the columns go by their places, so that none can clash with what is added to them
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+    kept, doc_id, text = docs.columns, f"k{names.index(doc_id)}", f"k{names.index(text)}"
     key = [F.col(doc_id).alias("_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_key")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], *key)
     spans = with_spans(docs.select(*key, F.col(text).alias("_text")), "_text", divisor, min_lines, min_words, passage_words)
@@ -133,7 +136,8 @@ def remove_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str =
     pieces = F.size(F.array_except(F.col("_lost"), F.transform("_lost", lambda i: i + 1)))
     size = F.when(F.col("_gone").isNull(), 0).otherwise(pieces).alias("n_removed_chunks")
     done = cut.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in kept], size)
-    return marked.filter(F.col("_maybe").isNull()).select(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("n_removed_chunks")).unionByName(done)
+    every = marked.filter(F.col("_maybe").isNull()).select(*kept, F.lit(0).alias("n_removed_chunks")).unionByName(done)
+    return every.select(*[F.col(k).alias(c) for k, c in zip(kept, names)], "n_removed_chunks")
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

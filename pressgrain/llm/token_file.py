@@ -8,12 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pressgrain.llm.coder import decode_block, encode_block
-from pressgrain.llm.common import shared_folder, table
+from pressgrain.llm.common import open_store, shared_folder, table
 from pressgrain.llm.tokens import closed, encoder, text_slices
 from pressgrain.session import cut_lineage
 
@@ -54,7 +53,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, f
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         path = f"{root}/shard-{shard:06d}-{context.taskAttemptId()}.pgt"
         rows: list[tuple] = []
@@ -105,7 +104,7 @@ def read_token_files(blocks: DataFrame, folder: str) -> DataFrame:
         max(1, blocks.count()), "shard", "block")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = open_store(folder)
         for batch in batches:
             for path, position, size, start in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 with store.open_input_file(path) as source:

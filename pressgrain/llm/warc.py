@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrain.llm.common import shared_folder, slices, table
+from pressgrain.llm.common import open_store, shared_folder, slices, table
 from pressgrain.session import cut_lineage
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -66,7 +66,7 @@ def write_archives(marked: DataFrame, folder: str, roll_bytes: int = 1 << 30) ->
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         done: list[tuple[str, int]] = []
         sink, path, size = None, "", 0
@@ -133,8 +133,9 @@ def _member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | Non
         if head is None:
             raw = b"".join(pieces)
             head = _head(raw)
-            if head is None and (known >= 1 << 16 or known >= 7 and not raw.startswith(b"WARC/1.")):
+            if head is None and known >= 7 and not raw.startswith(b"WARC/1."):
                 return None
+            pieces = [raw]
     raw = b"".join(pieces)
     if head is None:
         return None
@@ -168,7 +169,7 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = 4 << 20) ->
     """Records of the archives that ``files`` names, by byte ranges of ``split_bytes``.
 
     Returns page_id, url, record_type, refers_to, payload_bytes, payload_digest (hexadecimal), html (null in a revisit).
-    The length of a revisit's payload is that in its HTTP header.
+    A response's payload is measured and checked against its digest; the length of a revisit's is that in its HTTP header.
     """
     ranges = files.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
     # rows are few and small but much work: a stated number of partitions keeps AQE from merging them by their size
@@ -180,19 +181,24 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = 4 << 20) ->
         return int(digits) if digits else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = open_store(folder)
         for batch in batches:
             for path, _, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 rows: list[dict] = []
                 with store.open_input_file(path) as source:
                     for head, block in records_in(source, start, end):
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         revisit = head["warc-type"] == "revisit"
+                        stated = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+                        length = len(payload)
+                        if revisit:
+                            length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                        elif hashlib.sha1(payload).hexdigest() != stated:
+                            raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
                         rows.append({
                             "page_id": number(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": head["warc-type"],
                             "refers_to": number(head.get("warc-refers-to")), "payload_bytes": length,
-                            "payload_digest": base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(),
+                            "payload_digest": stated,
                             "html": None if revisit else payload.decode()})
                         if len(rows) == 256:
                             yield pa.RecordBatch.from_pylist(rows, kinds)

@@ -1,6 +1,7 @@
 """Parts of the operators by themselves: coder, packer, signatures, components, suffix automaton, pipeline."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -178,3 +179,73 @@ def test_pipeline_keeps_clean_documents_and_catches_planted_ones(spark, tmp_path
     none = docs.filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, here).count() == 0
+
+
+def test_pages_of_broken_markup_are_read_in_linear_time():
+    """No exception on 20,000 pages with odd bits of markup put in, and a million characters of hard cases in seconds."""
+    from pressgrain.llm.html_text import main_text
+
+    assert main_text("<p>a</p><![foo[x]]><p>b") == "a b"
+    rnd = random.Random(1)
+    page = "<html><body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>One, two, three. " + "Words, more words. " * 9 + "</p><ul><li>a<li>b</ul></article><div class=comments><p>No.</p></div></body></html>"
+    bits = ["<", ">", "<![", "<![foo[x]]>", "<!", "<!--", "-->", "</", "<p>", "<div>", "<li>", "</li>", "<?", "&#", "&", '"', "'", "<nav>", "</nav>", "<td>", "<table>", "<select>", "<option>", "<![CDATA[", "]]>", "\x00", "<script>", "</script>", "<!DOCTYPE"]
+    for _ in range(20_000):
+        at = [rnd.randrange(len(page)) for _ in range(rnd.randint(1, 10))]
+        mutated = "".join(c + rnd.choice(bits) if i in at else c for i, c in enumerate(page))
+        assert isinstance(main_text(mutated), str)
+    start = time.process_time()
+    for hard in ("<div>a, b " * 50_000, "<span>" * 50_000 + "<h1>x</h1>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<nav>" + "<b>" * 50_000 + "</i>" * 50_000, "<span>" * 50_000 + "<li>x</li>" * 50_000, "<a" * 50_000, "<!--" * 50_000, "<option>x" * 50_000):
+        main_text(hard)
+    assert time.process_time() - start < 60
+
+
+def test_generated_articles_are_read_whole():
+    """A page built from known parts gives back the article's words and nothing of what stands around it."""
+    from pressgrain.llm.html_text import main_text
+
+    rnd = random.Random(7)
+    words = lambda n: " ".join(rnd.choice(("alpha", "beta", "gamma,", "delta", "epsilon.")) for _ in range(n))
+    for _ in range(50):
+        parts = [words(rnd.randint(20, 60)) for _ in range(rnd.randint(2, 8))]
+        around = f"<header><h1>Site</h1></header><nav><ul><li><a href=a>Home</a></li></ul></nav><aside>{words(30)}</aside>"
+        after = f"<div class='comments'><p>{words(40)}</p></div><footer><p>{words(20)}</p></footer><script>var a = 1;</script>"
+        body = "".join(f"<p>{p.replace('beta', '<b>beta</b>')}</p>" if rnd.random() < 0.8 else f"<blockquote>{p}</blockquote>" for p in parts)
+        assert main_text(f"<html><body>{around}<article>{body}</article>{after}</body></html>") == " ".join(parts)
+
+
+def test_language_of_marks_and_of_pieces(spark):
+    from pressgrain.llm import lang_id
+
+    rnd = random.Random(2)
+    make = lambda s: " ".join("".join(rnd.choice(s) for _ in range(3)) for _ in range(60))
+    sounds = {"en": ("the", "ing", "wh"), "de": ("sch", "ung", "ein"), "fr": ("eau", "oui", "que")}
+    rows = [(i, make(sounds[g]), g, 1.0) for i, g in enumerate(("en", "de", "fr") * 80)]
+    odd = [(900, "́", None, 1.0), (901, "12 ं", None, 1.0), (902, None, None, 1.0), (903, "", None, 1.0), (904, rows[0][1], "en", 1.0)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, Score double")
+    dictionaries = lang_id.fit_dictionaries(docs.filter("lang is not null and doc_id % 4 <> 2"), sample_docs=20)
+    assert set(dictionaries) == set(sounds) and lang_id.fit_dictionaries(docs.filter("lang is null")) == {}
+    told = {r["doc_id"]: r for r in lang_id.identify(docs, dictionaries).collect()}
+    assert all(told[i]["lang_pred"] == "und" and told[i]["score"] == 0.0 and not told[i]["accepted"] for i in range(900, 904))
+    assert sum(told[i]["lang_pred"] == g for i, _, g, _ in rows) / len(rows) > 0.97
+    same = lang_id.identify(docs, {"b": b"same words here", "a": b"same words here"}).collect()
+    assert {r["lang_pred"] for r in same if r["doc_id"] < 900} == {"a"} and {r["score"] for r in same} == {0.0}
+
+
+def test_line_chunks_with_clashing_columns(spark):
+    from pressgrain.llm.line_chunks import remove_repeated_chunks
+
+    text = "\n".join(f"line {i} of the passage with some more words in it" for i in range(12))
+    docs = spark.createDataFrame([(1, text, 5, "a", "b", 7), (2, "own words\n" + text, 6, "c", None, 8)], "doc_id long, text string, _id int, _key string, _lines string, k0 int")
+    got = {r["doc_id"]: r for r in remove_repeated_chunks(docs).collect()}
+    assert got[1]["text"] == text and got[2]["text"] == "own words" and (got[2]["_id"], got[2]["_key"], got[2]["_lines"], got[2]["k0"]) == (6, "c", None, 8)
+
+
+def test_archives_with_long_headers(spark, tmp_path):
+    from pressgrain.llm import warc
+
+    rnd = random.Random(3)
+    pages = [(1, "http://x/" + "".join(rnd.choice("0123456789abcdef") for _ in range(200_000)), "<p>" + "a" * 2000), (2, "http://y/", "<p>" + "a" * 2000), (3, "u", "short")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    files = warc.write_archives(warc.mark_revisits(df), str(tmp_path))
+    got = {r["page_id"]: r for r in warc.read_archives(files, str(tmp_path), split_bytes=30_000).collect()}
+    assert sorted(got) == [1, 2, 3] and got[1]["url"] == pages[0][1] and got[1]["record_type"] == "revisit" and got[2]["html"] == pages[1][2]
