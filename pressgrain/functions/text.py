@@ -64,8 +64,8 @@ def clean_token(token: Column, particles: Sequence[str] = K.TOKEN_PARTICLES) ->
     return F.regexp_replace(bare, any_of(particles) + "$", "")
 
 
-def title_tokens(title: Column, stopwords: Sequence[str] = K.STOPWORDS, roles: Sequence[str] = K.ROLE_SUFFIXES, limit: int = 20) -> Column:
-    """Distinct title tokens in order; compounds ending in a role word also give stem and role."""
+def title_tokens(title: Column, stopwords: Sequence[str] = K.STOPWORDS, roles: Sequence[str] = K.ROLE_SUFFIXES) -> Column:
+    """Distinct tokens of the whole title in order; compounds ending in a role word also give stem and role."""
     flat = F.regexp_replace(F.lower(nfkc(title)), r"\[[^\]]*\]|\([^)]*\)", " ")
     words = F.split(F.regexp_replace(flat, "[^0-9a-z가-힣]+", " "), " ")
     kept = F.filter(F.transform(words, lambda w: clean_token(w)), lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
@@ -75,7 +75,7 @@ def title_tokens(title: Column, stopwords: Sequence[str] = K.STOPWORDS, roles: S
         stem = F.regexp_extract(w, compound, 1)
         return F.when(stem != "", F.array(w, stem, F.regexp_extract(w, compound, 2))).otherwise(F.array(w))
 
-    return F.slice(F.array_distinct(F.flatten(F.transform(kept, expand))), 1, limit)
+    return F.array_distinct(F.flatten(F.transform(kept, expand)))
 
 
 def body_words(body: Column, stopwords: Sequence[str] = K.BODY_STOPWORDS) -> Column:

@@ -1,7 +1,7 @@
 """Event clustering: articles of one run (a business day) into issues.
 
 The unit of clustering is a headline: articles of a run whose normalized titles are equal always belong
-together, so any number of copies is one weighted unit. Units meet on shared tokens, an ordered rule
+together, so any number of copies is one weighted unit. Units meet in exact similarity joins, an ordered rule
 list decides whether two units may be the same event, and complete-link clusters are grown in id order.
 """
 
@@ -11,11 +11,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgrain.functions import columns as C, text as X
 from pressgrain.lexicons import korean as K
-from pressgrain.operators.common import top_per_key
+from pressgrain.operators import similarity as S
 from pressgrain.session import cut_lineage
 
 
@@ -54,15 +54,13 @@ def _article_base(articles: DataFrame, lex: Lexicon) -> DataFrame:
     )
 
 
-def body_token_sets(articles: DataFrame, base: DataFrame, lex: Lexicon, top: int = 160) -> DataFrame:
-    """Body tokens of each agenda article: the most frequent ones, without tokens too common in the run.
+def body_token_sets(articles: DataFrame, base: DataFrame, lex: Lexicon) -> DataFrame:
+    """Distinct body tokens of each agenda article (run, article_id, token, anchor), without tokens too common in the run.
 
-    ``anchor`` marks the rare ones. The caps follow the number of articles of the run.
+    ``anchor`` marks the rare ones. The limits follow the number of articles of the run.
     """
     agenda = articles.select("run", "article_id", "body_text").join(base.select("run", "article_id"), ["run", "article_id"], "left_semi")
-    words = agenda.select("run", "article_id", F.explode(X.body_words(F.col("body_text"), lex.body_stopwords)).alias("token"))
-    counts = words.groupBy("run", "article_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    kept = cut_lineage(top_per_key(counts, ["run", "article_id"], [F.col("n").desc(), F.length("token").desc(), F.col("token")], top).drop("n"))
+    kept = cut_lineage(agenda.select("run", "article_id", F.explode(F.array_distinct(X.body_words(F.col("body_text"), lex.body_stopwords))).alias("token")))
     sizes = base.groupBy("run").agg(F.count(F.lit(1)).alias("_articles"))
     df = kept.groupBy("run", "token").agg(F.count(F.lit(1)).alias("df")).join(sizes, "run")
     df = df.filter(F.col("df") <= F.greatest(F.lit(5), F.ceil(F.col("_articles") * F.lit(0.08)))).select(
@@ -71,21 +69,22 @@ def body_token_sets(articles: DataFrame, base: DataFrame, lex: Lexicon, top: int
 
 
 def headline_units(articles: DataFrame, lex: Lexicon = Lexicon()) -> tuple[DataFrame, DataFrame]:
-    """(units, membership): one unit per (run, normalized title), carried by its first article.
+    """(units, membership): one unit per (run, normalized title), named and titled by its first article.
 
-    The texts are read twice, once for the features and once for the body tokens; what both passes keep
-    is bounded per article and written out, so later steps never go back to the texts.
+    Its body tokens and actions are those of all articles with that headline. The texts are read twice, once for the features
+    and once for the body tokens; both are written out, so later steps never go back to the texts.
     """
     base = cut_lineage(_article_base(articles, lex))
-    heads = base.groupBy("run", "title_key").agg(F.min("article_id").alias("unit_id"), F.count(F.lit(1)).alias("weight"))
-    membership = base.select("run", "title_key", "article_id").join(heads.drop("weight"), ["run", "title_key"]).select("run", "unit_id", "article_id")
-    carriers = base.join(heads.select("run", F.col("unit_id").alias("article_id"), "weight"), ["run", "article_id"])
-    tokens = body_token_sets(articles, base, lex).join(heads.select("run", F.col("unit_id").alias("article_id")), ["run", "article_id"], "left_semi")
-    body = tokens.groupBy("run", "article_id").agg(
-        F.array_sort(F.collect_list("token")).alias("b"),
-        F.array_sort(F.collect_list(F.when(F.col("anchor"), F.col("token")))).alias("k"))
+    heads = base.groupBy("run", "title_key").agg(
+        F.min("article_id").alias("unit_id"), F.count(F.lit(1)).alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("actions")))).alias("actions"))
+    membership = base.select("run", "title_key", "article_id").join(heads.select("run", "title_key", "unit_id"), ["run", "title_key"]).select("run", "unit_id", "article_id")
+    carriers = base.drop("actions").join(heads.select("run", F.col("unit_id").alias("article_id"), "weight", "actions"), ["run", "article_id"])
+    tokens = body_token_sets(articles, base, lex).join(membership, ["run", "article_id"])
+    body = tokens.groupBy("run", "unit_id").agg(
+        F.array_sort(F.collect_set("token")).alias("b"),
+        F.array_sort(F.collect_set(F.when(F.col("anchor"), F.col("token")))).alias("k"))
     empty = F.array().cast("array<string>")
-    units = carriers.join(body, ["run", "article_id"], "left").withColumnRenamed("article_id", "unit_id")
+    units = carriers.withColumnRenamed("article_id", "unit_id").join(body, ["run", "unit_id"], "left")
     units = units.withColumns({"b": F.coalesce("b", empty), "k": F.coalesce("k", empty)})
     units = units.withColumn("c", F.array_union("t", "b"))
     units = units.withColumn("d", F.filter("c", lambda x: ~x.isin(*lex.generic)))
@@ -96,38 +95,31 @@ def headline_units(articles: DataFrame, lex: Lexicon = Lexicon()) -> tuple[DataF
     return cut_lineage(units), membership
 
 
-def token_pairs(units: DataFrame, chunk: int = 2000) -> DataFrame:
-    """Unit pairs (src after dst in id order) sharing a token or concept, with the counts they share.
+#: Token columns of a unit and the counts that a pair of units shares in them.
+SHARED = (("t", "shared_title"), ("b", "shared_body"), ("k", "shared_anchors"), ("d", "shared_discriminators"), ("concepts", "shared_concepts"), ("c", "shared_all"))
 
-    A token carried by more than ``chunk`` units is cut into chunks; each pair of chunks is its own join
-    key, so no key meets more than chunk x chunk rows. Pairs are counted map-side before the shuffle.
+
+def token_pairs(units: DataFrame) -> DataFrame:
+    """Unit pairs (src after dst in id order) sharing a token or concept, with the counts they share."""
+    met = S.overlap_candidates(units, "c", 1).union(S.overlap_candidates(units, "concepts", 1)).distinct()
+    return S.shared_counts(met, units, SHARED)
+
+
+def similar_pairs(units: DataFrame) -> DataFrame:
+    """The pairs of ``token_pairs`` that have a feature every rule asks for (see ``pair_features``), found by prefixes:
+    a shared concept, a title similarity of .15 or a content similarity of .10."""
+    met = S.jaccard_candidates(units, "t", 0.15).union(S.jaccard_candidates(units, "c", 0.10)).union(S.overlap_candidates(units, "concepts", 1)).distinct()
+    return S.shared_counts(met, units, SHARED)
+
+
+def event_pairs(units: DataFrame) -> DataFrame:
+    """The pairs that some rule may find compatible.
+
+    Of the rules that join, 4 needs a shared concept; 8 (by its second condition), 10 and 11 need two shared anchors; 8 (by its first) and 12 a
+    title similarity of .15; 14 a blended similarity of .25, rounded to three digits, and so .2495 in title or content.
     """
-    tok = units.select(
-        "run", "unit_id", F.explode("c").alias("token"), "t", "b", "k", "d").select(
-        "run", "unit_id", "token",
-        F.array_contains("t", F.col("token")).cast("int").alias("it"), F.array_contains("b", F.col("token")).cast("int").alias("ib"),
-        F.array_contains("k", F.col("token")).cast("int").alias("ik"), F.array_contains("d", F.col("token")).cast("int").alias("id"),
-        F.lit(0).alias("ic"))
-    con = units.select("run", "unit_id", F.explode("concepts").alias("token")).select(
-        "run", "unit_id", F.concat(F.lit("#"), "token").alias("token"),
-        *[F.lit(0).alias(x) for x in ("it", "ib", "ik", "id")], F.lit(1).alias("ic"))
-    rows = tok.unionByName(con)
-    sizes = rows.groupBy("run", "token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    # the number of chunks is a property of the token; the chunk of a unit is a hash of its id
-    rows = rows.join(sizes, ["run", "token"]).withColumn("_m", F.ceil(F.col("_n") / F.lit(chunk)).cast("int"))
-    rows = rows.withColumn("_c", F.pmod(F.xxhash64("unit_id"), F.col("_m")).cast("int"))
-    slot = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda j: F.struct(F.least(j, F.col("_c")).alias("lo"), F.greatest(j, F.col("_c")).alias("hi")))
-    spread = rows.withColumn("_s", F.explode(slot)).select("run", "token", "_s.lo", "_s.hi", "_c", "unit_id", "it", "ib", "ik", "id", "ic")
-    a, b = spread.alias("a"), spread.alias("b")
-    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("run", "token", "lo", "hi")]
-    # in a slot of two different chunks only cross-chunk pairs count, in a slot of one chunk all do
-    fresh = (F.col("a.lo") == F.col("a.hi")) | (F.col("a._c") != F.col("b._c"))
-    met = a.join(b, [*keys, F.col("a.unit_id") > F.col("b.unit_id"), fresh])
-    both = lambda x: F.sum(F.col(f"a.{x}") * F.col(f"b.{x}"))
-    return met.groupBy(F.col("a.run").alias("run"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")).agg(
-        both("it").alias("shared_title"), both("ib").alias("shared_body"), both("ik").alias("shared_anchors"),
-        both("id").alias("shared_discriminators"), both("ic").alias("shared_concepts"),
-        F.count_if(F.col("a.ic") == 0).alias("shared_all"))
+    met = S.overlap_candidates(units, "concepts", 1).union(S.overlap_candidates(units, "k", 2)).union(S.jaccard_candidates(units, "t", 0.15)).union(S.jaccard_candidates(units, "c", 0.2495)).distinct()
+    return S.shared_counts(met, units, SHARED)
 
 
 def pair_features(units: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -218,9 +210,9 @@ def compatible_event(features: DataFrame) -> DataFrame:
     return df.withColumn("rule", F.abs(rule)).withColumn("compatible", rule > 0).drop("_staged")
 
 
-def compatible_edges(units: DataFrame, chunk: int = 2000) -> DataFrame:
+def compatible_edges(units: DataFrame) -> DataFrame:
     """Compatible unit pairs: (run, src, dst, similarity, indexed) - ``indexed`` when they share an index token."""
-    decided = compatible_event(pair_features(units, token_pairs(units, chunk))).filter("compatible")
+    decided = compatible_event(pair_features(units, event_pairs(units))).filter("compatible")
     # a unit made of generic tokens only is indexed by its title tokens
     plain = units.filter(F.size("d") == 0).select("run", "unit_id", F.lit(True).alias("_p"))
     marked = decided.join(plain.toDF("run", "src", "_p1"), ["run", "src"], "left").join(plain.toDF("run", "dst", "_p2"), ["run", "dst"], "left")
@@ -290,17 +282,17 @@ def _fitness() -> Column:
     return F.greatest(mean - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500, F.lit(-1.0))
 
 
-def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 5000) -> DataFrame:
+def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 200_000) -> DataFrame:
     """(run, unit_id, cluster_id); a cluster is named by its first unit.
 
     A unit joins a cluster only if it is compatible with every member, so clusters never cross
-    components. Components up to ``task_limit`` units are grown inside one task each; larger ones go
+    components. Components up to ``task_limit`` edges, which is what a task holds, are grown inside one task each; larger ones go
     through ``grow_in_rounds``, which reaches the same result with joins only.
     """
     edges = cut_lineage(edges)
     kind = dict(units.dtypes)["unit_id"]
     parts = connected_components(edges)
-    sizes = parts.groupBy("run", "component").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = edges.join(parts.withColumnRenamed("node", "src"), ["run", "src"]).groupBy("run", "component").agg(F.count(F.lit(1)).alias("_size"))
     placed = cut_lineage(parts.join(sizes, ["run", "component"]))
     small, large = placed.filter(F.col("_size") <= task_limit), placed.filter(F.col("_size") > task_limit)
     alone = units.select("run", "unit_id").join(placed.select("run", F.col("node").alias("unit_id")), ["run", "unit_id"], "left_anti").withColumn("cluster_id", F.col("unit_id"))
@@ -320,12 +312,33 @@ def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int =
     return out
 
 
+def _entering(claims: DataFrame, before: DataFrame) -> DataFrame:
+    """(run, u, cluster_id) of the units that enter their only cluster in one round; see ``grow_in_rounds``.
+
+    ``claims`` are (run, u, cluster_id, _i), _i if an index token is shared; ``before`` are (run, u, v) of neighbours v before u, both undecided.
+    """
+    choices = claims.groupBy("run", "u").agg(F.count(F.lit(1)).alias("_choices"))
+    earlier = before.groupBy("run", "u").agg(F.count(F.lit(1)).alias("_earlier"))
+    fellows = before.join(claims.select("run", F.col("u").alias("v"), "cluster_id"), ["run", "v"]).groupBy("run", "u", "cluster_id").agg(F.count(F.lit(1)).alias("_fellows"))
+    known = claims.join(choices, ["run", "u"]).join(earlier, ["run", "u"], "left").join(fellows, ["run", "u", "cluster_id"], "left")
+    ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy("run", "cluster_id").orderBy("u")) - 1)
+    none = F.lit(0).cast("long")
+    good = F.col("_i") & (F.col("_choices") == 1) & (F.coalesce("_earlier", none) == F.col("_rank")) & (F.coalesce("_fellows", none) == F.col("_rank"))
+    until = F.min(F.when(~good, F.col("_rank"))).over(Window.partitionBy("run", "cluster_id"))
+    return ranked.withColumn("_until", until).filter(F.col("_until").isNull() | (F.col("_rank") < F.col("_until"))).select("run", "u", "cluster_id")
+
+
 def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
     """The same growth for components of any size, as rounds of joins.
 
     In a round every unit decides that no earlier undecided unit can still influence: none it is
     compatible with, and none that could enter a cluster it could enter itself. Such units cannot
     influence each other either, so they all decide at once. The first undecided unit always qualifies.
+
+    Units with the same neighbours enter together. The claimants of a cluster are the undecided units compatible with
+    all its members. As long as they, in id order, have no other cluster to choose, share an index token with a member, and are
+    compatible with all claimants before them and with no other undecided unit before them, each of them enters whatever the ones before
+    it do, and so they all enter in one round. A clique of any size takes two rounds.
     """
     nodes = cut_lineage(units.select("run", "unit_id", "weight", "title_chars", "idx"))
     links = edges.select("run", "src", "dst", "similarity", "indexed").union(edges.select("run", "dst", "src", "similarity", "indexed"))
@@ -338,12 +351,13 @@ def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
         to_done = links.join(done.select("run", F.col("unit_id").alias("v"), "cluster_id"), ["run", "v"])
         met = to_done.join(open_units, ["run", "u"], "left_semi").groupBy("run", "u", "cluster_id").agg(
             F.count(F.lit(1)).alias("_n"), F.bool_or("indexed").alias("_i"))
-        eligible = met.join(size, ["run", "cluster_id"]).filter((F.col("_n") == F.col("size")) & F.col("_i")).select("run", "u", "cluster_id")
-        eligible = cut_lineage(eligible)
+        claims = cut_lineage(met.join(size, ["run", "cluster_id"]).filter(F.col("_n") == F.col("size")).select("run", "u", "cluster_id", "_i"))
+        eligible = claims.filter("_i").select("run", "u", "cluster_id")
+        before = cut_lineage(links.filter(F.col("v") < F.col("u")).join(open_units, ["run", "u"], "left_semi").join(open_units.withColumnRenamed("u", "v"), ["run", "v"], "left_semi").select("run", "u", "v"))
+        together = cut_lineage(_entering(claims, before))
         first = eligible.groupBy("run", "cluster_id").agg(F.min("u").alias("_first"))
         behind = eligible.join(first, ["run", "cluster_id"]).filter(F.col("u") > F.col("_first")).select("run", "u")
-        earlier = links.filter(F.col("v") < F.col("u")).join(open_units.withColumnRenamed("u", "v"), ["run", "v"], "left_semi").select("run", "u")
-        ready = open_units.join(behind.union(earlier).distinct(), ["run", "u"], "left_anti")
+        ready = open_units.join(behind.union(before.select("run", "u")).union(together.select("run", "u")).distinct(), ["run", "u"], "left_anti")
         inside = to_done.join(done.select("run", F.col("unit_id").alias("u"), F.col("cluster_id").alias("_mine")), ["run", "u"]).filter(F.col("_mine") == F.col("cluster_id"))
         weight = nodes.select("run", F.col("unit_id").alias("v"), F.col("weight").alias("vw"))
         sums = inside.join(weight, ["run", "v"]).groupBy("run", "cluster_id", "u").agg(F.sum(F.col("sim") * F.col("vw")).alias("_s"))
@@ -358,12 +372,12 @@ def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
         ranked = choice.join(reps, ["run", "cluster_id"]).join(links.select("run", "u", "v", "sim"), ["run", "u", "v"]).join(shared, ["run", "u", "cluster_id"], "left")
         best = ranked.groupBy("run", "u").agg(F.min_by("cluster_id", F.struct(-F.col("sim"), -F.coalesce("_shared", F.lit(0)), F.col("cluster_id"))).alias("cluster_id"))
         new = ready.join(best, ["run", "u"], "left").select("run", F.col("u").alias("unit_id"), F.coalesce("cluster_id", "u").alias("cluster_id"))
-        done = cut_lineage(done.unionByName(new))
+        done = cut_lineage(done.unionByName(new).unionByName(together.withColumnRenamed("u", "unit_id")))
         decided = done.count()
     return done
 
 
-def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 5000,
+def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 200_000,
                      grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(run, issue_id, article_id, unit_id) of every agenda article. ``grouping`` replaces the default
     complete-link step and must return (run, unit_id, cluster_id)."""
@@ -373,7 +387,7 @@ def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit:
     return membership.join(clusters, ["run", "unit_id"]).select("run", F.col("cluster_id").alias("issue_id"), "article_id", "unit_id")
 
 
-def cluster_members(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 5000,
+def cluster_members(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 200_000,
                     grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Membership with each article's similarity to its issue's representative:
     (run, issue_id, article_id, unit_id, similarity, is_representative)."""

@@ -37,15 +37,15 @@ VIEWS["fx_base"] = f"""
       {listed(ACTION_WORDS, lambda r: ' OR '.join(f"contains(title || ' ' || body_text, '{w}')" for w in r[1]))} AS actions, {sides(0)} AS hn1, {sides(1)} AS hn2
     FROM fx_articles a JOIN fx_category c ON c.article_id = a.article_id WHERE category IS NOT NULL"""
 VIEWS["fx_body_kept"] = f"""
-    WITH w AS (SELECT b.run, b.article_id, c.token, c.n FROM fx_base b JOIN fx_body_counts c ON c.article_id = b.article_id WHERE c.token NOT IN {GENERIC}
-               QUALIFY row_number() OVER (PARTITION BY b.article_id ORDER BY n DESC, length(c.token) DESC, c.token) <= 160),
+    WITH w AS (SELECT b.run, b.article_id, c.token FROM fx_base b JOIN fx_body_counts c ON c.article_id = b.article_id WHERE c.token NOT IN {GENERIC}),
       f AS (SELECT run, token, count(*) AS df FROM w GROUP BY ALL), s AS (SELECT run, count(*) AS n FROM fx_base GROUP BY 1)
     SELECT w.run, w.article_id, w.token, f.df <= greatest(3, ceil(s.n * 0.02)) AS anchor FROM w JOIN f ON f.run = w.run AND f.token = w.token JOIN s ON s.run = w.run WHERE f.df <= greatest(5, ceil(s.n * 0.08))"""
 VIEWS["fx_units"] = """
-    WITH h AS (SELECT run, title_key, min(article_id) AS unit_id, count(*) AS weight FROM fx_base GROUP BY ALL) SELECT b.*, h.unit_id, h.weight FROM h JOIN fx_base b ON b.run = h.run AND b.article_id = h.unit_id"""
+    WITH h AS (SELECT run, title_key, min(article_id) AS unit_id, count(*) AS weight, list_sort(list_distinct(flatten(list(actions)))) AS actions FROM fx_base GROUP BY ALL)
+    SELECT b.* EXCLUDE (actions), h.actions, h.unit_id, h.weight FROM h JOIN fx_base b ON b.run = h.run AND b.article_id = h.unit_id"""
 VIEWS["fx_unit_tokens"] = f"""
     WITH x AS (SELECT u.run, u.unit_id, t.token, 1 AS it, 0 AS ib, 0 AS ik FROM fx_units u JOIN fx_title_tokens t ON t.article_id = u.unit_id
-               UNION ALL SELECT u.run, u.unit_id, b.token, 0, 1, CAST(b.anchor AS INTEGER) FROM fx_units u JOIN fx_body_kept b ON b.run = u.run AND b.article_id = u.unit_id)
+               UNION ALL SELECT u.run, u.unit_id, b.token, 0, 1, CAST(b.anchor AS INTEGER) FROM fx_units u JOIN fx_base m ON m.run = u.run AND m.title_key = u.title_key JOIN fx_body_kept b ON b.run = m.run AND b.article_id = m.article_id)
     SELECT run, unit_id, token, max(it) AS it, max(ib) AS ib, max(ik) AS ik, CAST(token NOT IN {GENERIC} AS INTEGER) AS id, 0 AS ic FROM x GROUP BY run, unit_id, token"""
 VIEWS["fx_token_pairs"] = """
     WITH x AS (FROM fx_unit_tokens UNION ALL SELECT run, unit_id, '#' || unnest(concepts), 0, 0, 0, 0, 1 FROM fx_units)
@@ -99,8 +99,7 @@ def _(t):
 
 @query("token_blocking_join", "SELECT run, src, dst, shared_all FROM fx_token_pairs WHERE shared_discriminators > 0")
 def _(t):
-    # a small chunk makes the frequent tokens of the fixture take the split path
-    return L.token_pairs(units(t), chunk=8).filter("shared_discriminators > 0").select("run", "src", "dst", "shared_all")
+    return L.token_pairs(units(t)).filter("shared_discriminators > 0").select("run", "src", "dst", "shared_all")
 
 
 BIG = ("shared_title", "shared_body", "shared_anchors", "shared_discriminators", "shared_topic", "shared_distinctive", "shared_actors", "shared_actions", "overlap")
@@ -109,7 +108,7 @@ BIG = ("shared_title", "shared_body", "shared_anchors", "shared_discriminators",
 @query("pair_features", f"SELECT run, src, dst, {', '.join(BIG)}, {rnd('title_jaccard', 6)} AS title_jaccard, {rnd('content_jaccard', 6)} AS content_jaccard, similarity, same_category, hard_negative FROM fx_pair_features")
 def _(t):
     u = units(t)
-    f = L.pair_features(u, L.token_pairs(u))
+    f = L.pair_features(u, L.similar_pairs(u))
     return f.select("run", "src", "dst", *[F.col(c).cast("bigint").alias(c) for c in BIG], C.half_up(F.col("title_jaccard"), 6).alias("title_jaccard"),
                     C.half_up(F.col("content_jaccard"), 6).alias("content_jaccard"), "similarity", "same_category", "hard_negative")
 
@@ -117,7 +116,7 @@ def _(t):
 @query("compatible_event", "SELECT run, src, dst, CAST(rule AS BIGINT) AS rule, compatible FROM fx_decided")
 def _(t):
     u = units(t)
-    return L.compatible_event(L.pair_features(u, L.token_pairs(u))).select("run", "src", "dst", F.col("rule").cast("bigint").alias("rule"), "compatible")
+    return L.compatible_event(L.pair_features(u, L.similar_pairs(u))).select("run", "src", "dst", F.col("rule").cast("bigint").alias("rule"), "compatible")
 
 
 @query("hard_negative_split", f"SELECT article_id, array_to_string({sides(0)}, ',') AS first_side, array_to_string({sides(1)}, ',') AS second_side FROM fx_articles")

@@ -37,7 +37,7 @@ VIEWS["fx_title_tokens"] = f"""
     WITH t AS (SELECT article_id, string_split(regexp_replace(regexp_replace(lower(title), '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'), '[^0-9a-z가-힣]+', ' ', 'g'), ' ') AS ws FROM fx_articles),
       u AS (SELECT article_id, regexp_replace(unnest(ws), '^[0-9]+|[0-9]+$', '', 'g') AS token, generate_subscripts(ws, 1) AS i FROM t),
       d AS (SELECT article_id, token, min(i) AS i FROM u WHERE length(token) >= 2 AND token NOT IN {STOP} GROUP BY ALL)
-    SELECT article_id, token, row_number() OVER (PARTITION BY article_id ORDER BY i) - 1 AS position FROM d QUALIFY position < 20"""
+    SELECT article_id, token, row_number() OVER (PARTITION BY article_id ORDER BY i) - 1 AS position FROM d"""
 
 
 def title_tokens(t):
