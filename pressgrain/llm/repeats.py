@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgrain.llm.common import mix64, table
 from pressgrain.llm.tokens import text_slices
@@ -66,50 +66,55 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(tails[:n], heads[width - 1 : width - 1 + n])
 
 
-def sampled_grams(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of all grams that are least in some string of ``length`` bytes within one text.
+def sampled_grams(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """(places, hashes, first starts, last starts) of the grams that are least in some string of ``length`` bytes within one text.
 
-    The work goes in blocks of ``block`` starts, so memory does not follow the longest text.
+    A string's least gram is the one of smallest hash, of equals the first. Strings with the same one start side by side,
+    from first to last start. The work goes in blocks of ``block`` bytes, so memory does not follow the longest text; a gram at the border of two
+    blocks may come twice, with a part of its strings each.
     """
-    starts = len(data) - length + 1
-    if starts <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    width = length - gram + 1
+    starts, width = len(data) - length + 1, length - gram + 1
     # a start is void where its string would pass the end of its text
     fits = np.ones(len(data) + 1, bool)
     sizes = np.diff(bounds)
     for back in range(1, length):
         fits[bounds[1:][sizes >= back] - back] = False
-    chosen, values = np.zeros(len(data), bool), np.zeros(len(data), np.uint64)
-    for at in range(0, starts, block):
-        part = data[at : at + block + length - 1]
-        own = _gram_hashes(part, gram)
-        least = _sliding(own, width, np.minimum)
-        least[~fits[at : at + len(least)]] = 0
-        # a gram is least in a string that holds it if it is as small as the largest of the least ones around it
-        spread = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-        hit = np.flatnonzero(_sliding(spread, width, np.maximum) == own)
-        chosen[at + hit], values[at + hit] = True, own[hit]
-    where = np.flatnonzero(chosen)
-    return where, values[where]
+    found: list[tuple[np.ndarray, ...]] = []
+    low = U((1 << 20) - 1)
+    for at in range(0, starts, block - length + 1):
+        own = _gram_hashes(data[at : at + block], gram)
+        # the low bits are the place, so that the smallest word tells where it stands
+        least = (_sliding((own & ~low) | np.arange(len(own), dtype=np.uint64), width, np.minimum) & low).astype(np.int64)
+        good = np.flatnonzero(fits[at : at + len(least)])
+        where = least[good]
+        if not len(good):
+            continue
+        head = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (good[1:] != good[:-1] + 1)]))
+        tail = np.append(head[1:], len(good)) - 1
+        found.append((at + where[head], own[where[head]], at + good[head], at + good[tail]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, gram: int, only_grams: bool) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text) -> sampled grams, with the place, the size and the hash of their segments unless ``only_grams``."""
+    """(doc, tie, text) -> sampled grams; unless ``only_grams`` with the hash of their segment (all strings whose least gram it is) and ``at``,
+    the place of the gram and how far before it the last and the first of these strings start."""
     for batch in text_slices(batches, 2, 1 << 22):
         data, bounds = flat_bytes(batch.column(2))
-        where, values = sampled_grams(data, bounds, length, gram)
+        where, values, first, last = sampled_grams(data, bounds, length, gram)
         if only_grams:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["gram"])
             continue
         row = np.searchsorted(bounds, where, side="right") - 1
-        first, last = np.maximum(where - (length - gram), bounds[row]), np.minimum(where + length, bounds[row + 1])
         held = memoryview(data).cast("B") if len(data) else memoryview(b"")
-        digest = np.array([xxhash.xxh3_64_intdigest(held[a:b]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
+        lo, hi = where - last, where - first
+        ends = last + length
+        digest = np.array([xxhash.xxh3_64_intdigest(held[a:b], seed=x) for a, b, x in zip(first.tolist(), ends.tolist(), lo.tolist())], np.uint64)
         rows = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - bounds[row]), pa.array(where - bounds[row]), pa.array((last - first).astype(np.int32))],
-            ["gram", "same", "doc", "tie", "start", "place", "size"])
+            [pa.array(values.view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((where - bounds[row]) << 16 | lo << 8 | hi)],
+            ["gram", "same", "doc", "tie", "at"])
 
 
 class ShardTransform:
@@ -156,12 +161,12 @@ def merged_blocks(shards: list[ShardTransform], length: int) -> tuple[np.ndarray
     """
     bases = np.cumsum([0, *(len(s.symbols) for s in shards)])
     symbols = np.concatenate([s.symbols for s in shards])
-    step = np.empty(len(symbols), np.int64)
-    marks = np.concatenate([base + np.arange(s.strings) for base, s in zip(bases, shards)])
+    step = np.empty(len(symbols), np.int32)
+    marks = np.concatenate([base + np.arange(s.strings) for base, s in zip(bases, shards)]).astype(np.int32)
     for base, s in zip(bases, shards):
         by_symbol = np.argsort(s.symbols, kind="stable")
         step[base + by_symbol] = base + np.arange(len(by_symbol))
-    order, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
+    order, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for _ in range(length):
         met = symbols[order]
         dealt = np.argsort(met, kind="stable")[len(marks) :]
@@ -169,7 +174,7 @@ def merged_blocks(shards: list[ShardTransform], length: int) -> tuple[np.ndarray
         parted = np.ones(len(symbols), bool)
         parted[len(marks) + 1 :] = (met[dealt[1:]] != met[dealt[:-1]]) | (came[1:] != came[:-1])
         order = np.concatenate([marks, step[order[dealt]]])
-        block = np.cumsum(parted)
+        block = np.cumsum(parted, dtype=np.int32)
         if block[-1] == len(block):
             break
     return order, block
@@ -234,120 +239,131 @@ def _merge(length: int):
     return merge
 
 
-def _cut(length: int, gram: int):
-    """(doc, tie, text, wanted) -> one row for each wanted segment with its bytes."""
-    reach = length - gram
+_UNIT = ["part", "same", "doc", "tie", "place", "lo", "hi", "bytes"]
+_UNITS = "part long, same long, doc long, tie long, place long, lo long, hi long, bytes binary"
+_SPANS = "doc long, tie long, first long, last long"
+
+
+def _parted(rows: Iterator[tuple], length: int, reach: int, spread: int) -> pa.RecordBatch:
+    """Units of ``spread`` + 1 neighbouring starts each, under the hash of the bytes that all strings with such starts share.
+
+    Rows are (doc, tie, place of the gram, lo, hi, bytes, start of the bytes): the strings start lo to hi bytes before the gram. Starts are
+    counted from the gram, so equal strings of two segments fall to units of the same part.
+    """
+    out: list[tuple] = []
+    for doc, tie, place, lo, hi, raw, base in rows:
+        for a in range(0, reach + 1, spread + 1):
+            b = min(a + spread, reach)
+            x, y = max(a, lo), min(b, hi)
+            if x <= y:
+                shared = bytes(raw[place - a - base : place - b + length - base])
+                piece = bytes(raw[place - y - base : place - x + length - base])
+                out.append((xxhash.xxh3_64_intdigest(shared, seed=a) - (1 << 63), xxhash.xxh3_64_intdigest(piece, seed=x) - (1 << 63), doc, tie, place, x, y, piece))
+    columns = list(zip(*out)) or [()] * 8
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], _UNIT)
+
+
+def _cut(length: int, gram: int, spread: int):
+    """(doc, tie, text, wanted) -> units of the wanted segments with their bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 2, 1 << 22):
             doc, tie, text, wanted = batch.columns
-            rows, part, place, start, parts = [], [], [], [], []
-            for i, (raw, some) in enumerate(zip(text, wanted.to_pylist())):
-                held = memoryview(raw.as_buffer())
-                for w in some:
-                    first = max(w["place"] - reach, 0)
-                    rows.append(i)
-                    part.append(w["gram"])
-                    place.append(w["place"])
-                    start.append(first)
-                    parts.append(bytes(held[first : first + w["size"]]))
-            at = pa.array(rows, pa.int64())
-            fixed = [pa.array(np.full(len(rows), v, np.int64)) for v in (0, reach)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), doc.take(at), tie.take(at), pa.array(start, pa.int64()), pa.array(place, pa.int64()), *fixed, pa.array(parts, pa.binary())], _UNIT)
+            segments = (
+                (d, t, w >> 16, w >> 8 & 255, w & 255, held, 0)
+                for d, t, held, some in zip(doc.to_pylist(), tie.to_pylist(), (memoryview(x.as_buffer()) for x in text), wanted.to_pylist()) for w in some)
+            yield _parted(segments, length, length - gram, spread)
 
     return cut
 
 
-def _narrow(length: int, spread: int):
-    """Units -> units of ``spread`` + 1 neighbouring starts each, under the hash of the bytes that all their strings share.
-
-    Starts are counted from the gram, so equal strings of two units fall to units of the same kind.
-    """
+def _narrow(length: int, gram: int, spread: int):
+    """Units -> narrower units."""
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for part, doc, tie, start, place, lo, hi, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                for a in range(lo, hi + 1, spread + 1):
-                    b = min(a + spread, hi)
-                    first, last = max(place - b, start), min(place - a + length, start + len(raw))
-                    if last - first >= length:
-                        shared = raw[place - a - start : place - b + length - start]
-                        key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (part, a, b) + shared)
-                        out.append((key - (1 << 63), doc, tie, first, place, a, b, raw[first - start : last - start]))
-            columns = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], _UNIT)
+            doc, tie, place, lo, hi, raw = (c.to_pylist() for c in batch.columns[2:])
+            yield _parted(((d, t, p, x, y, r, p - y) for d, t, p, x, y, r in zip(doc, tie, place, lo, hi, raw)), length, length - gram, spread)
 
     return narrow
 
 
-_UNIT = ["part", "doc", "tie", "start", "place", "lo", "hi", "bytes"]
-_UNITS = "part long, doc long, tie long, start long, place long, lo long, hi long, bytes binary"
-_SPANS = "doc long, tie long, first long, last long"
-
-
 def _by_transforms(units: DataFrame, length: int, bucket_bytes: int, shard_bytes: int) -> DataFrame:
     """Spans of units that occur earlier in another unit of their part, from the merged transforms of buckets of parts."""
+    units = cut_lineage(units.select("part", "doc", "tie", (F.col("place") - F.col("hi")).alias("start"), "bytes"))
     size = units.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     shards = max(1, bucket_bytes // shard_bytes)
     # equal strings of two parts are found as well, and no less repeated
     dealt = units.select(
-        F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("doc", "start"), F.lit(shards)).cast("int").alias("shard"), "doc", "tie", "start", "bytes")
-    built = dealt.groupBy("bucket", "shard").applyInArrow(_build, "bucket int, symbols binary, doc array<long>, tie array<long>, start array<long>")
+        F.pmod(F.xxhash64("part"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("doc", "start"), F.lit(shards)).alias("shard"), "doc", "tie", "start", "bytes")
+    built = dealt.groupBy("bucket", "shard").applyInArrow(_build, "bucket long, symbols binary, doc array<long>, tie array<long>, start array<long>")
     return built.groupBy("bucket").applyInArrow(_merge(length), _SPANS)
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM, limit: int = 5000, bucket_bytes: int = 1 << 22, shard_bytes: int = 1 << 20, narrower: tuple[int, ...] = (8, 0)) -> DataFrame:
-    """Spans (doc, tie, first, last) of (doc long, tie long, text binary) that are covered by earlier strings; they may overlap.
+def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM, limit: int = 1000, bucket_bytes: int = 1 << 18, shard_bytes: int = 1 << 16, spreads: tuple[int, ...] = (34, 8, 0)) -> DataFrame:
+    """Of each document (doc long, tie long, text binary) with repeated bytes an array of spans: doc, spans of (tie, first, last); they may overlap.
 
-    Parts with more than ``limit`` different segments are cut into narrower ones: first by the bytes that some neighbouring
-    starts share, in the end by whole strings, where a part has only one. So no part is ever too large for a task.
+    Equal segments of a gram are one class; those behind its first place are repeated whole. Grams with several classes give units: their strings are
+    parted by where they start before the gram, in runs of ``spreads`` + 1, and those of one run whose shared bytes agree are a part. Equal
+    units are a class again, and what differs within a part goes through transforms, in buckets of ``bucket_bytes`` that stay in a
+    processor's cache. Parts of more than ``limit`` classes are cut into narrower ones, in the end into single strings, which leave one class each. So
+    no part is ever too large for a task.
     """
     grams = docs.mapInArrow(lambda b: _segments(b, length, gram, True), "gram long")
-    again = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    segments = docs.mapInArrow(lambda b: _segments(b, length, gram, False), "gram long, same long, doc long, tie long, start long, place long, size int")
-    live = cut_lineage(segments.join(cut_lineage(again), "gram", "left_semi"))
-    classes = cut_lineage(live.groupBy("gram", "same").agg(F.min(F.struct("doc", "start", "tie", "place", "size")).alias("first")))
-    firsts = classes.select("gram", "same", "first.doc", "first.start")
-    later = live.join(firsts, ["gram", "same", "doc", "start"], "left_anti").select("doc", "tie", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"))
+    again = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    segments = docs.mapInArrow(lambda b: _segments(b, length, gram, False), "gram long, same long, doc long, tie long, at long")
+    live = cut_lineage(segments.join(again, "gram", "left_semi"))
+    place, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
+    classes = cut_lineage(live.groupBy("gram", "same").agg(F.min(F.struct("doc", (place - hi).alias("start"), "tie", "at")).alias("first")))
+
+    def marks(rows: DataFrame, start: Column, end: Column, first: bool, level: int) -> DataFrame:
+        # classes of two levels are different ones even if their bytes agree
+        return rows.select("doc", "tie", F.xxhash64("same", F.lit(level)).alias("same"), start.cast("long").alias("first"), end.cast("long").alias("last"), F.lit(first).alias("mark"))
+
+    heads = classes.select("same", "first.doc", "first.tie", "first.at")
+    found = [marks(live, place - hi, place - lo + length, False, 0), marks(heads, place - hi, place - lo + length, True, 0)]
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    wanted = classes.join(several, "gram").groupBy(F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie")).agg(
-        F.collect_list(F.struct("gram", F.col("first.place").alias("place"), F.col("first.size").alias("size"))).alias("wanted"))
-    units = cut_lineage(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_cut(length, gram), _UNITS))
-    spans = [later]
-    for spread in (*narrower, None):
-        sizes = units.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-        sized = units.join(sizes, "part")
-        spans.append(_by_transforms(sized.filter(F.col("n").between(2, limit)).drop("n"), length, bucket_bytes, shard_bytes))
-        if spread is None:
+    wanted = classes.join(several, "gram", "left_semi").groupBy(F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie")).agg(F.collect_list("first.at").alias("wanted"))
+    units = cut_lineage(docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_cut(length, gram, spreads[0]), _UNITS))
+    start, end = F.col("place") - F.col("hi"), F.col("place") - F.col("lo") + length
+    for level, spread in enumerate((*spreads[1:], None), 1):
+        kinds = cut_lineage(units.groupBy("part", "same").agg(F.min(F.struct("doc", start.alias("start"), "tie", "place", "lo", "hi")).alias("u")).select("part", "same", "u.*"))
+        found += [marks(units, start, end, False, level), marks(kinds, start, end, True, level)]
+        sizes = kinds.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        chosen = kinds.join(sizes, "part").select("part", "same", "doc", "tie", "place", "n")
+        held = cut_lineage(units.join(chosen, ["part", "same", "doc", "tie", "place"]).dropDuplicates(["part", "same", "doc", "tie", "place"]))
+        later = _by_transforms(held.filter(F.col("n") <= limit), length, bucket_bytes, shard_bytes)
+        found.append(marks(later.withColumn("same", F.lit(None).cast("long")), F.col("first"), F.col("last"), False, -1))
+        large = held.filter(F.col("n") > limit).select(*_UNIT)
+        if spread is None or not large.limit(1).count():
             break
-        large = sized.filter(F.col("n") > limit).drop("n")
-        if not large.limit(1).count():
-            break
-        narrow = cut_lineage(large.mapInArrow(_narrow(length, spread), _UNITS).withColumn("same", F.xxhash64("bytes")))
-        kept = cut_lineage(narrow.groupBy("part", "same").agg(F.min(F.struct("doc", "start", "tie", "place", "lo", "hi", "bytes")).alias("u")).select("part", "same", "u.*"))
-        spans.append(narrow.join(kept.select("part", "same", "doc", "start"), ["part", "same", "doc", "start"], "left_anti").select("doc", "tie", F.col("start").alias("first"), (F.col("start") + F.length("bytes")).alias("last")))
-        units = kept.select(*_UNIT)
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.union(more)
-    return out
+        units = cut_lineage(large.mapInArrow(_narrow(length, gram, spread), _UNITS))
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.groupBy("doc").agg(F.collect_list(F.struct("tie", "same", "first", "last", "mark")).alias("marks"))
+
+
+def _spans_of(marks: list[dict], tie: int) -> list[list[int]]:
+    """Merged spans of one text: all marks but those of classes that have their first place here."""
+    firsts = {(m["same"], m["first"]) for m in marks if m["mark"]}
+    merged: list[list[int]] = []
+    for a, b in sorted({(m["first"], m["last"]) for m in marks if m["tie"] == tie and not m["mark"] and (m["same"], m["first"]) not in firsts}):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(.., text binary, spans) -> what is left of each text, as runs are merged and cut out."""
-    for batch in text_slices(batches, 1):
+    """(doc_id, tie, text, marks) -> what is left of each text, as runs are merged and cut out."""
+    for batch in text_slices(batches, 2):
         sizes, removed, runs, digests, left = [], [], [], [], []
-        for raw, some in zip(batch.column(1), batch.column(2).to_pylist()):
-            held = memoryview(raw.as_buffer()) if raw.is_valid else memoryview(b"")
-            merged: list[list[int]] = []
-            for s in sorted((s["first"], s["last"]) for s in some or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
+        for tie, raw, marks in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            held = memoryview(raw.as_buffer())
+            merged = _spans_of(marks.as_py(), tie) if marks.is_valid else []
             at, kept = 0, []
             for a, b in merged:
                 kept.append(held[at:a])
@@ -374,10 +390,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
-    spans = repeated_spans(rows.select("doc", "tie", "text"), length, **settings)
-    per_text = spans.distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = rows.join(per_text, ["doc", "tie"], "left").select("doc_id", "text", "spans")
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
+    # texts of one id are told apart by their hash, where an id repeats at all
+    repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    rows = rows.withColumn("tie", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    marks = repeated_spans(rows.select("doc", "tie", "text"), length, **settings)
+    joined = rows.join(marks, "doc", "left").select("doc_id", "tie", "text", "marks")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept binary")
 
 

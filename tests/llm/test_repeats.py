@@ -44,11 +44,11 @@ def cases(seed, n):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("limit,narrower", [(5000, (8, 0)), (3, (8, 0)), (1, (20, 5, 0))])
-def test_equals_brute_force(spark, limit, narrower):
+@pytest.mark.parametrize("limit,spreads", [(1000, (34, 8, 0)), (3, (34, 8, 0)), (1, (68, 20, 5, 0))])
+def test_equals_brute_force(spark, limit, spreads):
     rows = cases(limit, 40)
     docs = spark.createDataFrame([(i, t, "en", "x", 1, 2) for i, t in rows], SCHEMA).repartition(5)
-    got = R.remove_repeats(docs, limit=limit, narrower=narrower, bucket_bytes=4096, shard_bytes=1024)
+    got = R.remove_repeats(docs, limit=limit, spreads=spreads, bucket_bytes=4096, shard_bytes=1024)
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got.collect()), key=str)
     assert got == brute(rows, 100)
 
@@ -81,16 +81,16 @@ def test_merged_transforms_sort_all_suffixes():
 
 
 @pytest.mark.parametrize("block", [128, 1 << 20])
-def test_every_string_holds_a_sampled_gram_wherever_it_stands(block):
+def test_every_string_has_one_least_gram_wherever_it_stands(block):
     rng = np.random.default_rng(3)
     texts = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (0, 99, 100, 350, 0, 1000)] + [b"a" * 300]
-    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    where, values = R.sampled_grams(data, bounds, 100, 32, block)
-    at = dict(zip(where.tolist(), values.tolist()))
-    hashes = {}
-    for a, b in zip(bounds, bounds[1:]):
-        for s in range(a, b - 99):
-            inner = [p for p in range(s, s + 69) if p in at]
-            assert inner
-            least = min(at[p] for p in inner)
-            assert hashes.setdefault(bytes(data[s : s + 100]), least) == least
+    data, bounds = np.frombuffer(b"".join(texts * 2), np.uint8), np.cumsum([0, *map(len, texts * 2)])
+    where, values, first, last = R.sampled_grams(data, bounds, 100, 32, block)
+    starts = [s for a, b in zip(bounds, bounds[1:]) for s in range(a, b - 99)]
+    owner = {s: (w, v) for w, v, a, b in zip(where.tolist(), values.tolist(), first.tolist(), last.tolist()) for s in range(a, b + 1)}
+    assert sorted(owner) == starts and sum(last - first + 1) == len(starts)
+    seen = {}
+    for s in starts:
+        w, v = owner[s]
+        assert s <= w <= s + 68
+        assert seen.setdefault(bytes(data[s : s + 100]), (w - s, v)) == (w - s, v)
