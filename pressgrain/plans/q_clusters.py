@@ -80,6 +80,40 @@ VIEWS["fx_decided"] = """
     SELECT run, src, dst, similarity, abs(r) AS rule, r > 0 AS compatible FROM d"""
 
 
+VIEWS["fx_edges"] = """
+    WITH p AS (SELECT run, unit_id FROM fx_unit_tokens GROUP BY ALL HAVING sum(id) = 0)
+    SELECT d.run, d.src, d.dst, d.similarity, f.shared_discriminators > 0 OR (a.unit_id IS NOT NULL AND b.unit_id IS NOT NULL AND f.shared_title > 0) AS indexed
+    FROM fx_decided d JOIN fx_pair_features f ON f.run = d.run AND f.src = d.src AND f.dst = d.dst LEFT JOIN p a ON a.run = d.run AND a.unit_id = d.src LEFT JOIN p b ON b.run = d.run AND b.unit_id = d.dst WHERE d.compatible"""
+# units in id order, each given the clusters so far: it enters the best of those it is compatible with as a whole, or opens one
+VIEWS["fx_grown"] = """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT run, src AS u, dst AS v, similarity AS sim, indexed FROM fx_edges UNION ALL SELECT run, dst, src, similarity, indexed FROM fx_edges),
+      k AS (SELECT run, unit_id AS u, list(token) FILTER (id = 1) AS d, list(token) FILTER (it = 1) AS t FROM fx_unit_tokens GROUP BY ALL),
+      n AS MATERIALIZED (SELECT x.run, x.unit_id AS u, x.weight AS w, greatest(length(x.title) - 70, 0) / 500.0::DOUBLE AS long, coalesce(k.d, k.t) AS tokens, row_number() OVER (PARTITION BY x.run ORDER BY x.unit_id) AS i
+                         FROM fx_units x JOIN (SELECT DISTINCT run, u FROM e) o ON o.run = x.run AND o.u = x.unit_id LEFT JOIN k ON k.run = x.run AND k.u = x.unit_id),
+      grow AS (
+        SELECT run, 0::BIGINT AS i, []::STRUCT(u BIGINT, c BIGINT)[] AS placed FROM n GROUP BY run
+        UNION ALL (
+        WITH now AS (SELECT g.run, g.i, g.placed, n.u, n.tokens FROM grow g JOIN n ON n.run = g.run AND n.i = g.i + 1),
+          m AS (SELECT run, p.u AS v, p.c AS c FROM (SELECT run, unnest(placed) AS p FROM grow)),
+          fits AS (SELECT m.run, m.c FROM m JOIN now ON now.run = m.run LEFT JOIN e ON e.run = m.run AND e.u = now.u AND e.v = m.v GROUP BY ALL HAVING count(e.v) = count(*) AND bool_or(e.indexed)),
+          total AS (SELECT m.run, m.c, sum(n.w) AS w, list_distinct(flatten(list(n.tokens))) AS tokens FROM m JOIN n ON n.run = m.run AND n.u = m.v GROUP BY ALL),
+          near AS (SELECT a.run, a.c, a.v, sum(e.sim * nb.w) AS s FROM m a JOIN m b ON b.run = a.run AND b.c = a.c AND b.v <> a.v JOIN e ON e.run = a.run AND e.u = a.v AND e.v = b.v JOIN n nb ON nb.run = b.run AND nb.u = b.v GROUP BY ALL),
+          score AS (SELECT m.run, m.c, m.v, greatest((coalesce(s, 0.0) + n.w - 1) / greatest(total.w - 1, 1)::DOUBLE - n.long, -1.0) AS x FROM fits JOIN m ON m.run = fits.run AND m.c = fits.c JOIN n ON n.run = m.run AND n.u = m.v JOIN total ON total.run = m.run AND total.c = m.c
+                    LEFT JOIN near ON near.run = m.run AND near.c = m.c AND near.v = m.v),
+          rep AS (SELECT run, c, v FROM score QUALIFY row_number() OVER (PARTITION BY run, c ORDER BY x DESC, v) = 1),
+          best AS (SELECT rep.run, rep.c FROM rep JOIN now ON now.run = rep.run JOIN e ON e.run = rep.run AND e.u = now.u AND e.v = rep.v JOIN total ON total.run = rep.run AND total.c = rep.c
+                   QUALIFY row_number() OVER (PARTITION BY rep.run ORDER BY e.sim DESC, len(list_intersect(now.tokens, total.tokens)) DESC, rep.c) = 1)
+        SELECT now.run, now.i + 1, list_append(now.placed, {'u': now.u, 'c': coalesce(best.c, now.u)}) FROM now LEFT JOIN best ON best.run = now.run)),
+      ended AS (SELECT run, p.u AS unit_id, p.c AS issue_id FROM (SELECT run, unnest(placed) AS p FROM grow QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1))
+    SELECT x.run, x.unit_id, coalesce(ended.issue_id, x.unit_id) AS issue_id, x.weight, greatest(length(x.title) - 70, 0) / 500.0::DOUBLE AS long FROM fx_units x LEFT JOIN ended ON ended.run = x.run AND ended.unit_id = x.unit_id"""
+VIEWS["fx_clustered"] = "SELECT g.run, g.issue_id, b.article_id, g.unit_id FROM fx_grown g JOIN fx_units u ON u.run = g.run AND u.unit_id = g.unit_id JOIN fx_base b ON b.run = u.run AND b.title_key = u.title_key"
+VIEWS["fx_representatives"] = """
+    WITH e AS (SELECT run, src AS u, dst AS v, similarity AS sim FROM fx_edges UNION ALL SELECT run, dst, src, similarity FROM fx_edges), w AS (SELECT run, issue_id, sum(weight) AS w FROM fx_grown GROUP BY ALL),
+      s AS (SELECT a.run, a.unit_id, sum(e.sim * b.weight) AS s FROM fx_grown a JOIN e ON e.run = a.run AND e.u = a.unit_id JOIN fx_grown b ON b.run = e.run AND b.unit_id = e.v AND b.issue_id = a.issue_id GROUP BY ALL)
+    SELECT g.run, g.issue_id, g.unit_id FROM fx_grown g JOIN w ON w.run = g.run AND w.issue_id = g.issue_id LEFT JOIN s ON s.run = g.run AND s.unit_id = g.unit_id
+    QUALIFY row_number() OVER (PARTITION BY g.run, g.issue_id ORDER BY greatest((coalesce(s.s, 0.0) + g.weight - 1) / greatest(w.w - 1, 1)::DOUBLE - g.long, -1.0) DESC, g.unit_id) = 1"""
+
+
 def run_articles(t):
     return t.articles.withColumn("run", C.kst_date(F.col("published_at")))
 
@@ -135,12 +169,12 @@ def _(t):
     return L.connected_components(edges)
 
 
-@query("complete_link_clusters")
+@query("complete_link_clusters", "SELECT run, issue_id, article_id, unit_id FROM fx_clustered")
 def _(t):
     return L.cluster_articles(run_articles(t), LEX)
 
 
-@query("representative_article")
+@query("representative_article", "SELECT run, issue_id, unit_id AS article_id FROM fx_representatives")
 def _(t):
     return L.cluster_members(run_articles(t), LEX).filter("is_representative").select("run", "issue_id", "article_id")
 
