@@ -146,8 +146,8 @@ def hard_negative_sides(title: Column, rules: Sequence[tuple[str, str]] = K.HARD
     return first, second
 
 
-def headline_cleanup(title: Column, cap: int = 58) -> Column:
-    """Readable headline: no brackets, by-line, quotes or punctuation runs, no nested repeats, bounded length."""
+def headline_text(title: Column) -> Column:
+    """Title without brackets, by-line, quotes and runs of punctuation."""
     out = title
     for pattern, repl in (
         (r"\[[^\]]*\]|\([^)]*\)|<[^>]*>", " "),
@@ -158,7 +158,12 @@ def headline_cleanup(title: Column, cap: int = 58) -> Column:
         (r"\s+", " "),
     ):
         out = F.regexp_replace(out, pattern, repl)
-    words = F.filter(F.split(F.trim(out), " "), lambda w: w != "")
+    return F.trim(out)
+
+
+def headline_cleanup(title: Column, cap: int = 58) -> Column:
+    """Readable headline: the cleaned title without nested repeats, of bounded length."""
+    words = F.filter(F.split(headline_text(title), " "), lambda w: w != "")
 
     def step(acc: Column, w: Column) -> Column:
         prev = F.try_element_at(acc, F.lit(-1))

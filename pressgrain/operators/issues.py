@@ -21,6 +21,9 @@ TITLE_GROUPS = (
     ("검경 수사팀", "검찰|경찰|수사본부"),
     ("쿠팡", "쿠팡"),
 )
+TITLE_PEOPLE = (("권영진 의원", "권영진"), ("정점식 의원", "정점식"), ("한동훈 대표", "한동훈"), ("이재명 대표", "이재명"), ("윤석열 대통령", "윤석열"))
+# fixed value: endings of labels too general to replace a headline
+GENERIC_LABEL = "(동향|관련 보도|주요 의제)$"
 TITLE_ACTIONS = (
     ("내부 갈등 및 충돌", "멱살|충돌|공방|대립|내홍|소동|파문"),
     ("거취 표명 요구", "거취|사퇴|퇴진"),
@@ -109,26 +112,35 @@ def issue_report(issues: DataFrame, frame_rows: DataFrame, body_counts: DataFram
 
 
 def issue_title(members: DataFrame, articles: DataFrame, suffixes: DataFrame, concept_rules=K.CONCEPTS, labels=CONCEPT_LABELS,
-                groups=TITLE_GROUPS, actions=TITLE_ACTIONS, stopwords: Sequence[str] = K.STOPWORDS) -> DataFrame:
+                groups=TITLE_GROUPS, people=TITLE_PEOPLE, actions=TITLE_ACTIONS, stopwords: Sequence[str] = K.STOPWORDS) -> DataFrame:
     """Issue title: the leading concept's label, else the representative's cleaned headline when it is
-    readable, else who and what, else its first tokens with the issue's suffix."""
+    readable, else who and what, else its first tokens with the issue's suffix.
+
+    The leading concept is the one of most titles, of equals the first met in article and rule order. Who, what and tokens are
+    read from the title as ``headline_text`` cleans it.
+    """
     rows = members.join(articles.select("article_id", "title"), "article_id")
     rep = rows.filter("is_representative").select("issue_id", "title")
-    counts = rows.select("issue_id", F.explode(X.concepts(X.nfkc(F.col("title")), concept_rules)).alias("concept")).groupBy("issue_id", "concept").agg(F.count(F.lit(1)).alias("n"))
-    leading = counts.groupBy("issue_id").agg(F.max_by("concept", F.struct("n", "concept")).alias("concept"))
+    found = rows.select("issue_id", "article_id", F.explode(X.concepts(X.nfkc(F.col("title")), concept_rules)).alias("concept"))
+    place = F.array_position(F.array(*[F.lit(r[0]) for r in concept_rules]), F.col("concept"))
+    counts = found.groupBy("issue_id", "concept").agg(F.count(F.lit(1)).alias("n"), F.min("article_id").alias("first"))
+    leading = counts.groupBy("issue_id").agg(F.min_by("concept", F.struct(-F.col("n"), F.col("first"), place)).alias("concept"))
+    clean = X.headline_text(F.col("title"))
     j = rep.join(leading, "issue_id", "left").join(suffixes, "issue_id", "left").withColumns({
-        "headline": X.headline_cleanup(F.col("title")), "tokens": X.title_tokens(F.col("title"), stopwords)})
+        "clean": clean, "headline": X.headline_cleanup(F.col("title")), "tokens": X.title_tokens(clean, stopwords)})
     label = F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col("concept")) if labels else F.lit(None).cast("string")
-    who = X.first_rule(F.col("title"), groups)
-    what = F.array_join(F.array_compact(F.array(*[F.when(F.col("title").rlike(p), name) for name, p in actions])), " ")
+    named = [F.when(F.contains("clean", F.lit(p)), name) for name, p in people]
+    who = F.array_join(F.array_compact(F.array(X.first_rule(F.col("clean"), groups), *named)), "·")
+    what = F.array_join(F.array_compact(F.array(*[F.when(F.col("clean").rlike(p), name) for name, p in actions])), " ")
     words = F.filter("tokens", lambda w: ~w.isin(*TITLE_NOISE))
     first = F.array_join(F.slice(words, 1, 3), " ")
     title = (
-        F.when(label.isNotNull(), label)
+        F.when(label.isNotNull() & ~label.rlike(GENERIC_LABEL), label)
         .when(F.length("headline") >= 8, F.col("headline"))
-        .when(who.isNotNull() & (what != ""), F.concat_ws(" ", who, what))
+        .when((who != "") & (what != ""), F.concat_ws(" ", who, what))
         .when(F.size(words) >= 2, F.concat_ws(" ", first, F.coalesce("suffix", F.lit("관련 보도"))))
         .when(F.col("headline") != "", F.col("headline"))
+        .when(F.col("clean") != "", F.col("clean"))
         .otherwise("주요 이슈"))
     return j.select("issue_id", title.alias("issue_title"))
 

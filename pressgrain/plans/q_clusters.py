@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pressgrain.functions import columns as C, text as X
 from pressgrain.operators import clusters as L, issues as I, paging, textops as T
 from pressgrain.plans.fixtures import VIEWS
+from pressgrain.plans.q_functions import W as SCORE
 from pressgrain.plans.q_text import ACTION_WORDS, ACTOR, FRAMES, STOP
 from pressgrain.plans.registry import query
 
@@ -212,17 +213,23 @@ def _(t):
     return I.issue_cohesion(t.members)
 
 
-@query("frame_signal_share", f"""
+VIEWS["fx_frame_share"] = f"""
     WITH h AS (SELECT m.issue_id, m.article_id, f.frame, CASE f.frame {' '.join(f"WHEN '{k}' THEN " + ' OR '.join(f"contains(body_text, '{w}')" for w in ws) for k, ws in FRAMES)} END AS b,
         CASE f.frame {' '.join(f"WHEN '{k}' THEN " + ' OR '.join(f"contains(title, '{w}')" for w in ws) for k, ws in FRAMES)} END AS t
       FROM fx_members m JOIN fx_articles a ON a.article_id = m.article_id, (SELECT unnest({[k for k, _ in FRAMES]}) AS frame) f)
     SELECT issue_id, frame, count(*) FILTER (b OR t) AS articles, {rnd('count(*) FILTER (b OR t)::DOUBLE / count(*) * 100.0::DOUBLE', 1)} AS score, coalesce(min(article_id) FILTER (b), min(article_id) FILTER (t)) AS evidence_article_id,
-      CASE WHEN bool_or(b) THEN 'body_signal_detected' WHEN bool_or(t) THEN 'headline_signal_detected' ELSE 'not_detected' END AS status FROM h GROUP BY 1, 2""")
+      CASE WHEN bool_or(b) THEN 'body_signal_detected' WHEN bool_or(t) THEN 'headline_signal_detected' ELSE 'not_detected' END AS status FROM h GROUP BY 1, 2"""
+
+
+@query("frame_signal_share", "SELECT * FROM fx_frame_share")
 def _(t):
     return I.frame_signal_share(t.members, t.articles, FRAMES)
 
 
-@query("issue_report")
+@query("issue_report", f"""
+    WITH c AS (SELECT issue_id, count(*) AS n, count(DISTINCT source_id) AS s FROM fx_members GROUP BY 1),
+      f AS (SELECT issue_id, upper(frame[1]) || frame[2:] AS label FROM fx_frame_share WHERE status <> 'not_detected' QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY score DESC, list_position({[k for k, _ in FRAMES]}, frame)) = 1)
+    SELECT c.issue_id, CASE WHEN label IS NULL THEN '{I.REPORT_NONE}' WHEN n > 0 THEN printf('{I.REPORT_BODY}', n, n, label) ELSE printf('{I.REPORT_TITLE}', s, n, label) END AS summary FROM c LEFT JOIN f ON f.issue_id = c.issue_id""")
 def _(t):
     rows = I.frame_signal_share(t.members, t.articles, FRAMES)
     counts = t.members.groupBy("issue_id").agg(F.count(F.lit(1)).alias("article_count"), F.count_distinct("source_id").alias("source_count"), F.count(F.lit(1)).alias("body_articles"))
@@ -244,14 +251,40 @@ def clustered(t):
     return L.cluster_members(run_articles(t), LEX)
 
 
-@query("issue_title")
+VIEWS["fx_issue_members"] = """
+    WITH e AS (SELECT run, src AS u, dst AS v, similarity AS sim FROM fx_edges UNION ALL SELECT run, dst, src, similarity FROM fx_edges)
+    SELECT c.run, c.issue_id, c.article_id, r.unit_id AS representative, CASE WHEN c.unit_id = r.unit_id THEN 1.0::DOUBLE ELSE e.sim END AS similarity
+    FROM fx_clustered c JOIN fx_representatives r ON r.run = c.run AND r.issue_id = c.issue_id LEFT JOIN e ON e.run = c.run AND e.u = c.unit_id AND e.v = r.unit_id"""
+VIEWS["fx_issue_titles"] = f"""
+    WITH x AS (SELECT issue_id, m.article_id, unnest({listed(CONCEPTS, lambda r: ' AND '.join(f"regexp_matches(title, '{p}')" for p in r[1]))}) AS concept FROM fx_issue_members m JOIN fx_articles a ON a.article_id = m.article_id),
+      l AS (SELECT issue_id, concept FROM x GROUP BY issue_id, concept QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY count(*) DESC, min(article_id), list_position({[c[0] for c in CONCEPTS]}, concept)) = 1),
+      n AS (SELECT issue_id, count(*) AS n, {', '.join(f"sum(len(regexp_extract_all(title, '{p}'))) AS s{i}" for i, (_, p) in enumerate(TITLES))} FROM fx_issue_members m JOIN fx_articles a ON a.article_id = m.article_id GROUP BY 1),
+      s AS (SELECT issue_id, CASE WHEN greatest(s0, s1) < greatest(2, ceil(n * 0.25)) THEN NULL WHEN s0 >= s1 THEN '{TITLES[0][0]}' ELSE '{TITLES[1][0]}' END AS suffix FROM n),
+      t AS (SELECT article_id, count(*) AS n, array_to_string(list(token ORDER BY position)[1:3], ' ') AS words FROM fx_title_tokens GROUP BY 1)
+    SELECT r.issue_id, CASE l.concept WHEN 'inone' THEN 'In one' WHEN 'toed' THEN 'To ed' ELSE CASE WHEN length(headline) >= 8 THEN headline WHEN t.n >= 2 THEN words || ' ' || coalesce(suffix, '관련 보도')
+      WHEN headline <> '' THEN headline WHEN clean <> '' THEN clean ELSE '주요 이슈' END END AS issue_title
+    FROM fx_representatives r JOIN fx_headlines h ON h.article_id = r.unit_id LEFT JOIN l ON l.issue_id = r.issue_id LEFT JOIN s ON s.issue_id = r.issue_id LEFT JOIN t ON t.article_id = r.unit_id"""
+
+
+@query("issue_title", "SELECT issue_id, issue_title FROM fx_issue_titles")
 def _(t):
     m = clustered(t)
     titled = m.join(t.articles.select("article_id", "title"), "article_id")
     return I.issue_title(m, t.articles, L.issue_suffixes(titled, TITLES), CONCEPTS, {"inone": "In one", "toed": "To ed"}, stopwords=STOP)
 
 
-@query("issue_table")
+@query("issue_table", f"""
+    WITH m AS (SELECT i.*, a.source_id, coalesce(a.media_group_id, a.source_id) AS g, a.homepage_placement FROM fx_issue_members i JOIN fx_articles a ON a.article_id = i.article_id),
+      c AS (SELECT run, issue_id, any_value(representative) AS representative, count(*) AS n, count(DISTINCT source_id) AS s, count(DISTINCT g) AS g, min(similarity) AS low, avg(similarity) AS mean FROM m GROUP BY ALL),
+      o AS (SELECT article_id, avg({ZONE.format('zone')}) AS v, count(*) AS n FROM fx_placements GROUP BY 1),
+      p AS (SELECT issue_id, avg(CASE WHEN o.n IS NOT NULL THEN o.v ELSE {ZONE.format('homepage_placement')} END) AS p, count(CASE WHEN o.n IS NOT NULL THEN o.v ELSE {ZONE.format('homepage_placement')} END) AS seen FROM m LEFT JOIN o ON o.article_id = m.article_id GROUP BY 1),
+      x AS (SELECT c.*, p.p, p.seen, least(100.0::DOUBLE, g / 6.0::DOUBLE * 100.0::DOUBLE) AS d, least(100.0::DOUBLE, ln(1.0::DOUBLE + n) / ln(1.0::DOUBLE + max(n) OVER (PARTITION BY run)) * 100.0::DOUBLE) AS v,
+              CASE WHEN n > 1 THEN (n - s)::DOUBLE / (n - 1) * 100.0::DOUBLE ELSE 0.0 END AS f FROM c JOIN p ON p.issue_id = c.issue_id),
+      y AS (SELECT x.*, k.category, t.issue_title AS title, {rnd(SCORE, 1)} AS agenda_score, {rnd('(low * 0.35::DOUBLE + mean * 0.65::DOUBLE) * 100.0::DOUBLE', 1)} AS cohesion_score,
+              CASE WHEN n < 2 THEN 'insufficient_evidence' WHEN low >= 0.35::DOUBLE THEN 'cohesive' ELSE 'review_required' END AS cluster_quality, CASE WHEN seen > 0 THEN 'observed_components' ELSE 'placement_excluded' END AS score_status
+            FROM x JOIN fx_issue_titles t ON t.issue_id = x.issue_id JOIN fx_category k ON k.article_id = x.representative)
+    SELECT run, issue_id, row_number() OVER (PARTITION BY run ORDER BY CAST(category = 'german' AS INTEGER), agenda_score DESC, s DESC, n DESC, cohesion_score DESC, title, issue_id) AS agenda_rank, title, category, agenda_score, score_status, n AS article_count, s AS source_count,
+      cohesion_score, cluster_quality, {rnd('d', 1)} AS diversity_score, {rnd('v', 1)} AS volume_score, {rnd('p', 1)} AS placement_score, {rnd('f', 1)} AS repetition_score FROM y""")
 def _(t):
     m = clustered(t)
     titled = m.join(t.articles.select("article_id", "title", "section"), "article_id")

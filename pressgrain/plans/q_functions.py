@@ -150,7 +150,19 @@ def _(t):
     return t.articles.select("article_id", X.title_key(F.col("title")).alias("title_key"))
 
 
-@query("headline_cleanup")
+VIEWS["fx_headlines"] = r"""
+    WITH c AS (SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\[[^\]]*\]|\([^)]*\)|<[^>]*>', ' ', 'g'), '^[0-9가-힣A-Za-z]+\s*기자\s*=', ''),
+        '["''“”‘’]', ' ', 'g'), '[`()\[\]]', ' ', 'g'), '[.?!…:\-]+', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM fx_articles),
+      w AS (SELECT article_id, clean, list_transform(list_filter(string_split(clean, ' '), lambda x: x <> ''), lambda x: [x]) AS ws FROM c),
+      d AS (SELECT article_id, clean, CASE WHEN len(ws) = 0 THEN '' ELSE array_to_string(list_reduce(ws, lambda a, x: CASE WHEN a[-1] = x[1] THEN a
+        WHEN length(x[1]) >= 2 AND length(a[-1]) >= 2 AND (ends_with(a[-1], x[1]) OR ends_with(x[1], a[-1])) AND abs(length(x[1]) - length(a[-1])) <= 2 THEN CASE WHEN length(x[1]) > length(a[-1]) THEN a[1:len(a) - 1] || x ELSE a END
+        ELSE a || x END), ' ') END AS t FROM w),
+      e AS (SELECT article_id, clean, trim(regexp_replace(t, '\s+(관련\s+)?이슈$', '')) AS t FROM d),
+      f AS (SELECT *, trim(regexp_extract(t, '^(.*?)(\s*[|·]\s*|\s+[―–—]\s+)', 1)) AS clause FROM e)
+    SELECT article_id, clean, CASE WHEN length(t) <= 58 THEN t WHEN length(clause) BETWEEN 10 AND 58 THEN clause ELSE rtrim(t[1:57]) || '…' END AS headline FROM f"""
+
+
+@query("headline_cleanup", "SELECT article_id, headline FROM fx_headlines")
 def _(t):
     return t.articles.select("article_id", X.headline_cleanup(F.col("title")).alias("headline"))
 
