@@ -116,18 +116,13 @@ def _(t):
     return J.pair_counts_from_groups(g)
 
 
-TITLE_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]+')) AS token FROM fx_articles WHERE section = '{}'"
-
-
-@query("prefix_related_tokens", f"""
-    WITH l AS ({TITLE_WORDS.format('fr')}), r AS ({TITLE_WORDS.format('es')})
-    SELECT l.token AS a, r.token AS b FROM l JOIN r ON l.token = r.token OR (length(l.token) >= 2 AND length(r.token) >= length(l.token) + 2 AND starts_with(r.token, l.token))
-      OR (length(r.token) >= 2 AND length(l.token) >= length(r.token) + 2 AND starts_with(l.token, r.token))""")
+@query("prefix_related_tokens", """
+    WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z]+')) AS token FROM fx_articles), r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark),
+      lp AS (SELECT token, unnest(list_transform(range(2, length(token) - 1), lambda i: token[1:i])) AS stem FROM l), rp AS (SELECT token, unnest(list_transform(range(2, length(token) - 1), lambda i: token[1:i])) AS stem FROM r)
+    SELECT l.token AS a, r.token AS b FROM l JOIN r ON l.token = r.token UNION ALL SELECT lp.token, r.token FROM lp JOIN r ON r.token = lp.stem UNION ALL SELECT l.token, rp.token FROM rp JOIN l ON l.token = rp.stem""")
 def _(t):
-    def words(lang):
-        return t.articles.filter(F.col("section") == lang).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
-
-    return J.prefix_related_tokens(words("fr"), words("es"))
+    words = lambda df, c: df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    return J.prefix_related_tokens(words(t.articles, "title"), words(t.raw("benchmark"), "text"))
 
 
 @query("calendar_left_join", """

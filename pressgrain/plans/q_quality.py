@@ -198,7 +198,7 @@ def _(t):
 # -- retrieval ------------------------------------------------------------------------------------
 
 VIEWS["fx_qtok"] = f"SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]{{2,}}')) AS t FROM benchmark) WHERE t NOT IN {STOP}"
-VIEWS["fx_ctok"] = f"SELECT DISTINCT cid, t FROM (SELECT article_id || ':' || paragraph || ':' || sentence AS cid, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]{{2,}}')) AS t FROM fx_sentences WHERE sentence % 2 = 1) WHERE t NOT IN {STOP}"
+VIEWS["fx_ctok"] = f"SELECT DISTINCT cid, t FROM (SELECT article_id || ':' || paragraph || ':' || sentence AS cid, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣]{{2,}}')) AS t FROM fx_sentences) WHERE t NOT IN {STOP}"
 
 
 @query("evidence_answer", """
@@ -206,9 +206,9 @@ VIEWS["fx_ctok"] = f"SELECT DISTINCT cid, t FROM (SELECT article_id || ':' || pa
     SELECT item_id AS question_id, cid AS candidate_id, coalesce(n, 0) AS overlap, CASE WHEN cid IS NULL THEN 'withheld' ELSE 'answered' END AS status FROM benchmark LEFT JOIN b USING (item_id)""")
 def _(t):
     q = t.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    # candidates and their evidence come from the same sentences, which are segmented once
-    s = cut_lineage(T.segment_sentences(t.articles).select(F.concat_ws(":", "article_id", "paragraph", "sentence").alias("candidate_id"), "text", "sentence"))
-    return A.evidence_answer(q, s.drop("sentence"), s.filter("sentence % 2 = 1"), STOP)
+    # every sentence is a candidate and its own evidence; they are segmented once
+    s = cut_lineage(T.segment_sentences(t.articles).select(F.concat_ws(":", "article_id", "paragraph", "sentence").alias("candidate_id"), "text"))
+    return A.evidence_answer(q, s, s, STOP)
 
 
 @query("rule_answer", """

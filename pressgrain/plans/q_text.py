@@ -191,13 +191,15 @@ def _(t):
 
 
 @query("align_evidence", """
-    WITH q AS (SELECT doc_id, substr(text, CAST(doc_id % 50 AS INTEGER) + 1, 12) AS quote, CASE WHEN doc_id % 3 = 0 THEN doc_id % 50 ELSE (doc_id % 50 + doc_id % 7) END AS hint, text FROM documents WHERE length(text) > 80),
-      o AS (SELECT doc_id, quote, hint, text, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(quote)) = quote) AS hits FROM q)
-    SELECT doc_id AS quote_id, CASE WHEN list_contains(hits, hint) THEN hint ELSE list_sort(list_transform(hits, lambda i: {'d': abs(i - hint), 'i': i}))[1].i END AS start,
-      CASE WHEN list_contains(hits, hint) THEN 'exact' ELSE 'nearest' END AS method FROM o""")
-def _(t):
-    q = t.raw("documents").filter("length(text) > 80").selectExpr("doc_id as quote_id", "doc_id as article_id", "substr(text, cast(doc_id % 50 as int) + 1, 12) as quote",
-                                                                 "cast(case when doc_id % 3 = 0 then doc_id % 50 else doc_id % 50 + doc_id % 7 end as int) as hint")
+    WITH p AS (SELECT doc_id, text, doc_id * 7919 % greatest(length(text) - 11, 1) AS place FROM documents),
+      q AS (SELECT doc_id, text, substr(text, CAST(place AS INTEGER) + 1, 12) AS quote, CAST(CASE WHEN doc_id % 3 = 0 THEN place ELSE place + doc_id % 7 END AS INTEGER) AS hint FROM p),
+      o AS (SELECT *, substr(text, hint + 1, length(quote)) = quote AS exact, strpos(reverse(text[1:hint + length(quote)]), reverse(quote)) AS back, strpos(text[hint + 2:], quote) AS ahead FROM q),
+      d AS (SELECT *, CASE WHEN back > 0 THEN least(hint + length(quote), length(text)) - length(quote) - (back - 1) END AS before, CASE WHEN ahead > 0 THEN hint + ahead END AS after FROM o)
+    SELECT doc_id AS quote_id, CASE WHEN exact THEN hint WHEN after IS NULL OR hint - before <= after - hint THEN before ELSE after END AS start, CASE WHEN exact THEN 'exact' ELSE 'nearest' END AS method FROM d""")
+def _(t):
+    place = "doc_id * 7919 % greatest(length(text) - 11, 1)"
+    q = t.raw("documents").selectExpr("doc_id as quote_id", "doc_id as article_id", f"substr(text, cast({place} as int) + 1, 12) as quote",
+                                      f"cast({place} + case when doc_id % 3 = 0 then 0 else doc_id % 7 end as int) as hint")
     return T.align_evidence(q, t.articles).select("quote_id", "start", "method")
 
 

@@ -75,15 +75,14 @@ def _(t):
 
 @query("source_budget", """
     WITH p AS (SELECT source_id, row_number() OVER (ORDER BY source_id) AS pos FROM (SELECT DISTINCT source AS source_id FROM documents)),
-      c AS (SELECT source_id, article_id, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, article_id) AS r FROM fx_articles WHERE source_id NOT IN ('src1', 'src2') OR article_id % 50 < 10),
+      c AS (SELECT source_id, article_id, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, article_id) AS r FROM fx_articles),
       q AS (SELECT pos, p.source_id, coalesce(n, 0) AS n, least(200 // (SELECT count(*) FROM p) + CASE WHEN pos <= 200 % (SELECT count(*) FROM p) THEN 1 ELSE 0 END, coalesce(n, 0)) AS f
             FROM p LEFT JOIN (SELECT source_id, count(*) AS n FROM c GROUP BY 1) x ON x.source_id = p.source_id),
       k AS (SELECT source_id, f + greatest(0, least(n - f, 200 - (SELECT sum(f) FROM q) - coalesce(sum(n - f) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM q)
     SELECT c.source_id, article_id FROM c JOIN k USING (source_id) WHERE r <= take""")
 def _(t):
     sources = ordered_panel(t)
-    rows = t.articles.filter("source_id not in ('src1', 'src2') or article_id % 50 < 10")
-    return W.source_budget(rows, sources, 200).select("source_id", "article_id")
+    return W.source_budget(t.articles, sources, 200).select("source_id", "article_id")
 
 
 def ordered_panel(t):
