@@ -64,12 +64,12 @@ def _in_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def fit_tree(training: DataFrame, depth: int, least_share: float) -> SuffixAutomaton:
+def fit_tree(training: DataFrame, depth: int, least_root: float) -> SuffixAutomaton:
     """Suffix tree of the ``text`` column of ``training``.
 
     Tasks count the runs of depth + 1 symbols; the counts of shorter contexts are sums of these. A context is a
-    candidate if it makes up ``least_share`` of all symbols, so there are 1 / least_share of each length at most, which
-    bounds what comes to the driver and is broadcast. It is retained if its next symbols diverge from those of the
+    candidate if it occurs ``least_root`` times the root of the number of all symbols, so the contexts known grow with the corpus,
+    and there are root / least_root of each length at most, which bounds what comes to the driver and is broadcast. It is retained if its next symbols diverge from those of the
     context without its oldest symbol: n * KL(context || shorter) must exceed k / 2 * ln(n) + 3 for n occurrences and k
     kinds of next symbols, as a description-length test asks. Everything is counted over all training texts.
     """
@@ -83,7 +83,7 @@ def fit_tree(training: DataFrame, depth: int, least_share: float) -> SuffixAutom
 
     full = cut_lineage(training.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     total = full.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, least_share * total)
+    least = max(2.0, least_root * total**0.5)
     mask = lambda symbols_kept: (1 << (8 * symbols_kept)) - 1
 
     def of_length(length: int) -> DataFrame:
@@ -108,7 +108,7 @@ def fit_tree(training: DataFrame, depth: int, least_share: float) -> SuffixAutom
     return SuffixAutomaton(codes, counts, depth, {i: np.unique(f["key"].to_numpy(np.int64) >> 8) for i, f in enumerate(found) if i})
 
 
-def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", depth: int = 5, least_share: float = 2e-6, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", depth: int = 5, least_root: float = 0.01, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Score of every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words and one end. ``base_score`` is the smoothed unigram score with the counts of the texts that
@@ -118,14 +118,14 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
 
     Texts are numbered in chunks of bounded size. Each chunk sends its distinct words, as 64-bit hashes, to be counted
     and gets the counts back, so a frequent word moves once for each chunk and a task holds a chunk and its words. Of
-    the tree, only the retained contexts (bounded by ``least_share``) are sent to the tasks.
+    the tree, only the retained contexts (bounded by ``least_root``) are sent to the tasks.
 
     Null and empty texts are one end. Rows are scored each, also repeated ones or such without id; other columns are
     ignored; an empty table gives no rows. Without training texts all symbols are equally likely and the base is 0.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     staged = _in_chunks(docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text")), chunk_bytes)
-    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(staged.filter(~F.col("held_out")), depth, least_share))
+    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(staged.filter(~F.col("held_out")), depth, least_root))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(chunk: int, words: list[np.ndarray], train: list[np.ndarray]) -> pa.RecordBatch:

@@ -249,3 +249,48 @@ def test_archives_with_long_headers(spark, tmp_path):
     files = warc.write_archives(warc.mark_revisits(df), str(tmp_path))
     got = {r["page_id"]: r for r in warc.read_archives(files, str(tmp_path), split_bytes=30_000).collect()}
     assert sorted(got) == [1, 2, 3] and got[1]["url"] == pages[0][1] and got[1]["record_type"] == "revisit" and got[2]["html"] == pages[1][2]
+
+
+def test_tree_keeps_the_contexts_that_a_plain_count_keeps(spark):
+    import math
+
+    from pressgrain.llm.lm_score import fit_tree, words_of
+
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice(["ab", "ba", "abc", "c"]) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 40))) for _ in range(60)] + [None, ""]
+    depth, least_root = 3, 0.2
+    counts, total = {}, 0
+    for text in texts:
+        stream = b" ".join(words_of(text)) + b"\n"
+        for i, symbol in enumerate(stream):
+            total += 1
+            before = (b"\n" + stream[:i])[-depth:]
+            for length in range(len(before) + 1):
+                counts.setdefault(before[len(before) - length :], {}).setdefault(symbol, 0)
+                counts[before[len(before) - length :]][symbol] += 1
+    kept = set()
+    for context, nexts in counts.items():
+        n, shorter = sum(nexts.values()), counts[context[1:]]
+        if context and n >= max(2, least_root * math.sqrt(total)):
+            gain = sum(c * math.log(c / n / (shorter[s] / sum(shorter.values()))) for s, c in nexts.items())
+            if gain > len(nexts) / 2 * math.log(n) + 3:
+                kept.add(context)
+    tree = fit_tree(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), depth, least_root)
+    assert kept and {c for c in kept if len(c) == 3}
+
+    def probability(context, symbol):
+        if not context:
+            n = counts[b""]
+            return (n.get(symbol, 0) + len(n) / A) / (total + len(n))
+        parent = probability(context[1:], symbol)
+        if context not in kept:
+            return parent
+        n = counts[context]
+        return (n.get(symbol, 0) + len(n) * parent) / (sum(n.values()) + len(n))
+
+    some = [words_of(t) for t in texts[:10]]
+    want = []
+    for words in some:
+        stream = b" ".join(words) + b"\n"
+        want += [math.log10(probability((b"\n" + stream[:i])[-depth:], s)) for i, s in enumerate(stream)]
+    assert np.allclose(tree.score(symbols(some)), want, atol=1e-4)
