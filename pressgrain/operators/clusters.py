@@ -239,9 +239,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-NODE_COLS = "run string, unit_id {t}, cluster_id {t}"
-
-
 def grow_clusters(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
     """Complete-link growth in id order over one small component; returns {unit: cluster}."""
     near: dict = {}
@@ -282,36 +279,76 @@ def _fitness() -> Column:
     return F.greatest(mean - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500, F.lit(-1.0))
 
 
-def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 200_000) -> DataFrame:
+def grow_by_size(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
+    """The same growth, but a unit enters the cluster of most weight, of equals the first."""
+    near: dict = {}
+    for s, d in zip(edges["src"], edges["dst"], strict=True):
+        near.setdefault(s, set()).add(d)
+        near.setdefault(d, set()).add(s)
+    weight = dict(zip(nodes["unit_id"], nodes["weight"], strict=True))
+    members: dict = {}
+    home: dict = {}
+    for u in sorted(weight):
+        mine = near.get(u, set())
+        fits = [c for c in {home[v] for v in mine if v in home} if members[c] <= mine]
+        home[u] = min(fits, key=lambda c: (-sum(weight[m] for m in members[c]), c)) if fits else u
+        members.setdefault(home[u], set()).add(u)
+    return home
+
+
+def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 200_000, by_size: bool = False) -> DataFrame:
     """(run, unit_id, cluster_id); a cluster is named by its first unit.
 
     A unit joins a cluster only if it is compatible with every member, so clusters never cross
-    components. Components up to ``task_limit`` edges, which is what a task holds, are grown inside one task each; larger ones go
-    through ``grow_in_rounds``, which reaches the same result with joins only.
+    components: the one whose representative is most similar, or with ``by_size`` the one of most weight. Components up to ``task_limit`` edges, which is what a task holds,
+    are grown inside one task each; larger ones go through ``grow_in_rounds``, which reaches the same result with joins only.
     """
     edges = cut_lineage(edges)
-    kind = dict(units.dtypes)["unit_id"]
+    kind, run_kind = dict(units.dtypes)["unit_id"], dict(units.dtypes)["run"]
     parts = connected_components(edges)
     sizes = edges.join(parts.withColumnRenamed("node", "src"), ["run", "src"]).groupBy("run", "component").agg(F.count(F.lit(1)).alias("_size"))
     placed = cut_lineage(parts.join(sizes, ["run", "component"]))
     small, large = placed.filter(F.col("_size") <= task_limit), placed.filter(F.col("_size") > task_limit)
     alone = units.select("run", "unit_id").join(placed.select("run", F.col("node").alias("unit_id")), ["run", "unit_id"], "left_anti").withColumn("cluster_id", F.col("unit_id"))
+    grow = grow_by_size if by_size else grow_clusters
 
     def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        home = grow_clusters(nodes, links)
+        home = grow(nodes, links)
         return pd.DataFrame({"run": key[0], "unit_id": list(home), "cluster_id": list(home.values())})
 
     n = units.select("run", F.col("unit_id").alias("node"), "weight", "title_chars", "idx").join(small.drop("_size"), ["run", "node"]).withColumnRenamed("node", "unit_id")
     e = edges.join(small.select("run", F.col("node").alias("src"), F.col("component").alias("part")), ["run", "src"]).withColumnRenamed("run", "part_run")
-    grown = n.groupBy("run", "component").cogroup(e.groupBy("part_run", "part")).applyInPandas(run, NODE_COLS.format(t=kind))
+    grown = n.groupBy("run", "component").cogroup(e.groupBy("part_run", "part")).applyInPandas(run, f"run {run_kind}, unit_id {kind}, cluster_id {kind}")
     out = alone.select("run", "unit_id", "cluster_id").unionByName(grown)
     if large.limit(1).count():
         ids = large.select("run", F.col("node").alias("unit_id"))
         big_edges = edges.join(ids.withColumnRenamed("unit_id", "src"), ["run", "src"], "left_semi")
-        out = out.unionByName(grow_in_rounds(units.join(ids, ["run", "unit_id"], "left_semi"), big_edges))
+        out = out.unionByName(grow_in_rounds(units.join(ids, ["run", "unit_id"], "left_semi"), big_edges, by_size))
     return out
 
 
+def _most_similar(choice: DataFrame, done: DataFrame, nodes: DataFrame, links: DataFrame, to_done: DataFrame) -> DataFrame:
+    """(run, u, cluster_id): of the clusters to choose, the one with the most similar representative, then most shared tokens, then the first."""
+    inside = to_done.join(done.select("run", F.col("unit_id").alias("u"), F.col("cluster_id").alias("_mine")), ["run", "u"]).filter(F.col("_mine") == F.col("cluster_id"))
+    weight = nodes.select("run", F.col("unit_id").alias("v"), F.col("weight").alias("vw"))
+    sums = inside.join(weight, ["run", "v"]).groupBy("run", "cluster_id", "u").agg(F.sum(F.col("sim") * F.col("vw")).alias("_s"))
+    of_cluster = done.join(nodes, ["run", "unit_id"])
+    totals = of_cluster.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
+    scored = of_cluster.join(sums.withColumnRenamed("u", "unit_id"), ["run", "cluster_id", "unit_id"], "left").join(totals, ["run", "cluster_id"])
+    reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-_fitness(), F.col("unit_id"))).alias("v"))
+    union = of_cluster.select("run", "cluster_id", F.explode("idx").alias("token")).distinct()
+    shared = choice.join(nodes.select("run", F.col("unit_id").alias("u"), F.explode("idx").alias("token")), ["run", "u"]).join(
+        union, ["run", "cluster_id", "token"]).groupBy("run", "u", "cluster_id").agg(F.count(F.lit(1)).alias("_shared"))
+    ranked = choice.join(reps, ["run", "cluster_id"]).join(links.select("run", "u", "v", "sim"), ["run", "u", "v"]).join(shared, ["run", "u", "cluster_id"], "left")
+    return ranked.groupBy("run", "u").agg(F.min_by("cluster_id", F.struct(-F.col("sim"), -F.coalesce("_shared", F.lit(0)), F.col("cluster_id"))).alias("cluster_id"))
+
+
+def _heaviest(choice: DataFrame, done: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run, u, cluster_id): of the clusters to choose, the one of most weight, then the first."""
+    totals = done.join(nodes, ["run", "unit_id"]).groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
+    return choice.join(totals, ["run", "cluster_id"]).groupBy("run", "u").agg(F.min_by("cluster_id", F.struct(-F.col("_w"), F.col("cluster_id"))).alias("cluster_id"))
+
+
 def _entering(claims: DataFrame, before: DataFrame) -> DataFrame:
     """(run, u, cluster_id) of the units that enter their only cluster in one round; see ``grow_in_rounds``.
 
@@ -328,7 +365,7 @@ def _entering(claims: DataFrame, before: DataFrame) -> DataFrame:
     return ranked.withColumn("_until", until).filter(F.col("_until").isNull() | (F.col("_rank") < F.col("_until"))).select("run", "u", "cluster_id")
 
 
-def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
+def grow_in_rounds(units: DataFrame, edges: DataFrame, by_size: bool = False) -> DataFrame:
     """The same growth for components of any size, as rounds of joins.
 
     In a round every unit decides that no earlier undecided unit can still influence: none it is
@@ -358,19 +395,8 @@ def grow_in_rounds(units: DataFrame, edges: DataFrame) -> DataFrame:
         first = eligible.groupBy("run", "cluster_id").agg(F.min("u").alias("_first"))
         behind = eligible.join(first, ["run", "cluster_id"]).filter(F.col("u") > F.col("_first")).select("run", "u")
         ready = open_units.join(behind.union(before.select("run", "u")).union(together.select("run", "u")).distinct(), ["run", "u"], "left_anti")
-        inside = to_done.join(done.select("run", F.col("unit_id").alias("u"), F.col("cluster_id").alias("_mine")), ["run", "u"]).filter(F.col("_mine") == F.col("cluster_id"))
-        weight = nodes.select("run", F.col("unit_id").alias("v"), F.col("weight").alias("vw"))
-        sums = inside.join(weight, ["run", "v"]).groupBy("run", "cluster_id", "u").agg(F.sum(F.col("sim") * F.col("vw")).alias("_s"))
-        of_cluster = done.join(nodes, ["run", "unit_id"])
-        totals = of_cluster.groupBy("run", "cluster_id").agg(F.sum("weight").alias("_w"))
-        scored = of_cluster.join(sums.withColumnRenamed("u", "unit_id"), ["run", "cluster_id", "unit_id"], "left").join(totals, ["run", "cluster_id"])
-        reps = scored.groupBy("run", "cluster_id").agg(F.min_by("unit_id", F.struct(-_fitness(), F.col("unit_id"))).alias("v"))
-        union = of_cluster.select("run", "cluster_id", F.explode("idx").alias("token")).distinct()
         choice = eligible.join(ready, ["run", "u"], "left_semi")
-        shared = choice.join(nodes.select("run", F.col("unit_id").alias("u"), F.explode("idx").alias("token")), ["run", "u"]).join(
-            union, ["run", "cluster_id", "token"]).groupBy("run", "u", "cluster_id").agg(F.count(F.lit(1)).alias("_shared"))
-        ranked = choice.join(reps, ["run", "cluster_id"]).join(links.select("run", "u", "v", "sim"), ["run", "u", "v"]).join(shared, ["run", "u", "cluster_id"], "left")
-        best = ranked.groupBy("run", "u").agg(F.min_by("cluster_id", F.struct(-F.col("sim"), -F.coalesce("_shared", F.lit(0)), F.col("cluster_id"))).alias("cluster_id"))
+        best = _heaviest(choice, done, nodes) if by_size else _most_similar(choice, done, nodes, links, to_done)
         new = ready.join(best, ["run", "u"], "left").select("run", F.col("u").alias("unit_id"), F.coalesce("cluster_id", "u").alias("cluster_id"))
         done = cut_lineage(done.unionByName(new).unionByName(together.withColumnRenamed("u", "unit_id")))
         decided = done.count()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgrain.functions import columns as C
 from pressgrain.lexicons.frames import DIMENSIONS, OFFICIAL_ROLES
+from pressgrain.operators.clusters import complete_link_clusters
 from pressgrain.operators.common import top_per_key
 
 
@@ -385,31 +386,33 @@ def narrative_compatible(signatures: DataFrame, dimensions: Sequence[str] = DIME
     return j.select("issue_id", "a", "b", match.alias("matching"), clash.alias("conflicting")).withColumn("compatible", (F.col("matching") >= 2) & (F.col("conflicting") == 0))
 
 
+def agreeing_signatures(signatures: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """(issue_id, src, dst) of the compatible pairs of ``narrative_compatible``, by first articles, the later one first.
+
+    Such a pair shares a problem key and a value in each of two other dimensions, so signatures meet under these three values together, and
+    those that only share a problem never do.
+    """
+    problem, rest = dimensions[0], dimensions[1:]
+    named = lambda d: F.transform(F.col(d), lambda v: F.struct(F.lit(d).alias("d"), v.alias("v")))
+    values = F.flatten(F.array(*[named(d) for d in rest]))
+    two = F.flatten(F.transform("values", lambda x: F.transform(F.filter("values", lambda y: y["d"] > x["d"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keys = signatures.withColumn("values", values).select("issue_id", "first_article", F.explode(problem).alias("problem"), two.alias("two")).select("issue_id", "first_article", "problem", F.explode("two").alias("two"))
+    met = keys.withColumnRenamed("first_article", "src").join(keys.withColumnRenamed("first_article", "dst"), ["issue_id", "problem", "two"]).filter(F.col("src") > F.col("dst")).select("issue_id", "src", "dst").distinct()
+    side = lambda name, s: signatures.select("issue_id", F.col("first_article").alias(name), *[F.col(d).alias(f"{s}_{d}") for d in rest])
+    j = met.join(side("src", "l"), ["issue_id", "src"]).join(side("dst", "r"), ["issue_id", "dst"])
+    for d in rest:
+        j = j.filter((F.size(f"l_{d}") == 0) | (F.size(f"r_{d}") == 0) | F.arrays_overlap(f"l_{d}", f"r_{d}"))
+    return j.select("issue_id", "src", "dst")
+
+
 def narrative_clusters(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Complete-link groups of signatures, in order of their first article; the group that currently holds
-    most articles wins. The group handed to a task holds signatures, whose number the rules bound."""
-    import pandas as pd
-
-    edges = pairs.filter("compatible").select("issue_id", "a", "b")
-    kind = dict(signatures.dtypes)["issue_id"]
-
-    def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(links["a"], links["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        groups: list[list] = []
-        for _, sid, w in sorted(zip(nodes["first_article"], nodes["signature_id"], nodes["weight"], strict=True)):
-            fits = [g for g in groups if all(m[0] in near.get(sid, ()) for m in g)]
-            if fits:
-                max(fits, key=lambda g: sum(m[1] for m in g)).append((sid, w))
-            else:
-                groups.append([(sid, w)])
-        return pd.DataFrame([(key[0], m[0], i) for i, g in enumerate(groups) for m in g], columns=["issue_id", "signature_id", "group_no"])
-
-    nodes = signatures.select("issue_id", "signature_id", "first_article", "weight")
-    links = edges.withColumnRenamed("issue_id", "edge_issue")
-    return nodes.groupBy("issue_id").cogroup(links.groupBy("edge_issue")).applyInPandas(run, f"issue_id {kind}, signature_id string, group_no bigint")
+    """(issue_id, signature_id, group_no): complete-link groups of signatures, in order of their first articles; a signature enters the group that
+    then holds most articles. ``pairs`` are (issue_id, src, dst) of ``agreeing_signatures``; a group is named by its first article."""
+    units = signatures.select(F.col("issue_id").alias("run"), F.col("first_article").alias("unit_id"), "weight", F.lit(0).alias("title_chars"), F.array().cast("array<string>").alias("idx"))
+    edges = pairs.select(F.col("issue_id").alias("run"), "src", "dst", F.lit(0.0).alias("similarity"), F.lit(True).alias("indexed"))
+    grown = complete_link_clusters(units, edges, by_size=True)
+    return signatures.select("issue_id", "signature_id", "first_article").join(
+        grown.select(F.col("run").alias("issue_id"), F.col("unit_id").alias("first_article"), F.col("cluster_id").alias("group_no")), ["issue_id", "first_article"]).drop("first_article")
 
 
 def narratives(items: DataFrame, members: DataFrame, dimensions: Sequence[str] = DIMENSIONS, top: int = 2) -> DataFrame:
@@ -419,7 +422,7 @@ def narratives(items: DataFrame, members: DataFrame, dimensions: Sequence[str] =
     from pressgrain.session import cut_lineage
 
     sig, placed = cut_lineage(sig), cut_lineage(placed)
-    groups = cut_lineage(narrative_clusters(sig, narrative_compatible(sig, dimensions)))
+    groups = cut_lineage(narrative_clusters(sig, agreeing_signatures(sig, dimensions)))
     rows = placed.join(groups, ["issue_id", "signature_id"]).select("issue_id", "group_no", "article_id")
     told = items.filter(F.col("voice_scope") == "narration").select("issue_id", "article_id", "dimension", "variant_key").distinct()
     j = told.join(rows, ["issue_id", "article_id"])

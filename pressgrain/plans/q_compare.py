@@ -308,10 +308,40 @@ def _(t):
     return BIG(p.select("issue_id", "src", "dst", "matching", "conflicting", "compatible"), "matching", "conflicting")
 
 
-@query("narratives")
+VIEWS["fx_issue100"] = "SELECT article_id // 100 AS issue_id, article_id, source_id, media_group_id FROM fx_members"
+VIEWS["fx_narrated"] = "SELECT m.issue_id, i.article_id, dimension, variant_key, m.source_id, m.media_group_id FROM fx_items i JOIN fx_issue100 m ON m.article_id = i.article_id WHERE voice_scope = 'narration'"
+VIEWS["fx_narrative_members"] = """
+    WITH RECURSIVE k AS (SELECT issue_id, article_id, """ + ", ".join(f"list_sort(coalesce(list(DISTINCT variant_key) FILTER (dimension = '{d}'), [])) AS d{i}" for i, d in enumerate(DIMENSIONS)) + """ FROM fx_narrated GROUP BY ALL),
+      s AS (SELECT issue_id, min(article_id) AS f, count(*) AS w, d0, d1, d2, d3, d4 FROM k GROUP BY ALL),
+      p AS (SELECT a.issue_id, a.f AS src, b.f AS dst FROM s a JOIN s b ON b.issue_id = a.issue_id AND a.f > b.f AND list_has_any(a.d0, b.d0) WHERE """ + " + ".join(
+    f"CASE WHEN list_has_any(a.d{i}, b.d{i}) THEN 1 ELSE 0 END" for i in range(1, 5)) + " >= 2 AND " + " AND ".join(f"(len(a.d{i}) = 0 OR len(b.d{i}) = 0 OR list_has_any(a.d{i}, b.d{i}))" for i in range(1, 5)) + """),
+      e AS MATERIALIZED (SELECT issue_id, src AS u, dst AS v FROM p UNION ALL SELECT issue_id, dst, src FROM p),
+      n AS MATERIALIZED (SELECT issue_id, f AS u, w, row_number() OVER (PARTITION BY issue_id ORDER BY f) AS i FROM s),
+      grow AS (
+        SELECT issue_id, 0::BIGINT AS i, []::STRUCT(u BIGINT, c BIGINT)[] AS placed FROM n GROUP BY issue_id
+        UNION ALL (
+        WITH now AS (SELECT g.issue_id, g.i, g.placed, n.u FROM grow g JOIN n ON n.issue_id = g.issue_id AND n.i = g.i + 1), m AS (SELECT issue_id, p.u AS v, p.c AS c FROM (SELECT issue_id, unnest(placed) AS p FROM grow)),
+          fits AS (SELECT m.issue_id, m.c, sum(n.w) AS w FROM m JOIN now ON now.issue_id = m.issue_id JOIN n ON n.issue_id = m.issue_id AND n.u = m.v LEFT JOIN e ON e.issue_id = m.issue_id AND e.u = now.u AND e.v = m.v GROUP BY ALL HAVING count(e.v) = count(*)),
+          best AS (SELECT issue_id, c FROM fits QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY w DESC, c) = 1)
+        SELECT now.issue_id, now.i + 1, list_append(now.placed, {'u': now.u, 'c': coalesce(best.c, now.u)}) FROM now LEFT JOIN best ON best.issue_id = now.issue_id)),
+      ended AS (SELECT issue_id, p.u AS u, p.c AS c FROM (SELECT issue_id, unnest(placed) AS p FROM grow QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY i DESC) = 1))
+    SELECT k.issue_id, k.article_id, ended.c AS group_no FROM k JOIN s ON s.issue_id = k.issue_id AND s.d0 = k.d0 AND s.d1 = k.d1 AND s.d2 = k.d2 AND s.d3 = k.d3 AND s.d4 = k.d4 JOIN ended ON ended.issue_id = s.issue_id AND ended.u = s.f"""
+VIEWS["fx_narratives"] = f"""
+    WITH j AS (SELECT DISTINCT t.issue_id, r.group_no, t.article_id, t.dimension, t.variant_key FROM fx_narrated t JOIN fx_narrative_members r ON r.issue_id = t.issue_id AND r.article_id = t.article_id),
+      o AS (SELECT issue_id, group_no, dimension, count(DISTINCT article_id) AS seen FROM j GROUP BY ALL), p AS (SELECT issue_id, group_no, dimension, variant_key, count(DISTINCT article_id) AS n FROM j GROUP BY ALL),
+      q AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS second FROM p WINDOW w AS (PARTITION BY issue_id, group_no, dimension ORDER BY n DESC, variant_key)),
+      c AS (SELECT q.issue_id, q.group_no, q.dimension, variant_key FROM q JOIN o ON o.issue_id = q.issue_id AND o.group_no = q.group_no AND o.dimension = q.dimension WHERE r = 1 AND n >= 2 AND coalesce(second, 0) < n AND n::DOUBLE / seen >= 0.6::DOUBLE),
+      w AS (SELECT issue_id, group_no, {', '.join(f"max(variant_key) FILTER (dimension = '{d}') AS {d}" for d in DIMENSIONS)}, count(*) FILTER (dimension <> '{DIMENSIONS[0]}') AS others FROM c GROUP BY ALL),
+      z AS (SELECT r.issue_id, group_no, count(*) AS article_count, count(DISTINCT source_id) AS outlet_count, count(DISTINCT media_group_id) AS group_count, min(r.article_id) AS first_article FROM fx_narrative_members r JOIN fx_issue100 m ON m.issue_id = r.issue_id AND m.article_id = r.article_id GROUP BY ALL)
+    SELECT w.issue_id, {', '.join(DIMENSIONS)}, (others + 1) / 5.0::DOUBLE AS completeness, article_count, outlet_count, group_count, first_article,
+      row_number() OVER (PARTITION BY w.issue_id ORDER BY article_count DESC, outlet_count DESC, others DESC, group_count DESC, first_article) AS narrative_no
+    FROM w JOIN z ON z.issue_id = w.issue_id AND z.group_no = w.group_no WHERE {DIMENSIONS[0]} IS NOT NULL AND others >= 2 AND article_count >= 2 QUALIFY narrative_no <= 2"""
+
+
+@query("narratives", f"SELECT issue_id, {', '.join(DIMENSIONS)}, completeness, article_count, outlet_count, group_count, first_article, narrative_no FROM fx_narratives")
 def _(t):
     m = t.members.withColumn("issue_id", F.expr("article_id div 100"))
-    return M.narratives(M.with_issue(raw_items(t), m), m)
+    return BIG(M.narratives(M.with_issue(raw_items(t), m), m), "narrative_no")
 
 
 @query("reader_questions")
