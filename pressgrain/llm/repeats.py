@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -167,12 +168,17 @@ def merged_blocks(shards: list[ShardTransform], length: int) -> tuple[np.ndarray
         by_symbol = np.argsort(s.symbols, kind="stable")
         step[base + by_symbol] = base + np.arange(len(by_symbol))
     order, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    # the first row of each symbol is the same in every round
+    heads = np.cumsum(np.bincount(symbols, minlength=258))[:-1]
+    heads = heads[heads < len(symbols)]
+    if symbols.max(initial=0) < 256:
+        symbols = symbols.astype(np.uint8)  # sorts in one pass
     for _ in range(length):
-        met = symbols[order]
-        dealt = np.argsort(met, kind="stable")[len(marks) :]
+        dealt = np.argsort(symbols[order], kind="stable")[len(marks) :]
         came = block[dealt]
         parted = np.ones(len(symbols), bool)
-        parted[len(marks) + 1 :] = (met[dealt[1:]] != met[dealt[:-1]]) | (came[1:] != came[:-1])
+        parted[len(marks) + 1 :] = came[1:] != came[:-1]
+        parted[heads] = True
         order = np.concatenate([marks, step[order[dealt]]])
         block = np.cumsum(parted, dtype=np.int32)
         if block[-1] == len(block):
@@ -345,25 +351,42 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = GRAM, limit:
     return every.groupBy("doc").agg(F.collect_list(F.struct("tie", "same", "first", "last", "mark")).alias("marks"))
 
 
-def _spans_of(marks: list[dict], tie: int) -> list[list[int]]:
-    """Merged spans of one text: all marks but those of classes that have their first place here."""
-    firsts = {(m["same"], m["first"]) for m in marks if m["mark"]}
-    merged: list[list[int]] = []
-    for a, b in sorted({(m["first"], m["last"]) for m in marks if m["tie"] == tie and not m["mark"] and (m["same"], m["first"]) not in firsts}):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return merged
+def _runs(marks: pa.Array, ties: np.ndarray) -> list[list[list[int]]]:
+    """Merged spans of each text: all marks but those of classes that have their first place here."""
+    counts = pc.fill_null(marks.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    tie, same, first, last, head = (pc.struct_field(marks.flatten(), i) for i in range(5))
+    row = np.repeat(np.arange(len(counts)), counts)
+    known, same = same.is_valid().to_numpy(zero_copy_only=False), same.fill_null(0).to_numpy()
+    tie, first, last, head = tie.to_numpy(), first.to_numpy(), last.to_numpy(), head.to_numpy(zero_copy_only=False)
+    # a class and its place, first places before the others
+    order = np.lexsort((~head, first, same, known, row))
+    a = [c[order] for c in (row, known, same, first)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in a])
+    led = head[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else new
+    stay = order[~led]
+    stay = stay[tie[stay] == ties[row[stay]]]
+    stay = stay[np.lexsort((first[stay], row[stay]))]
+    row, first, last = row[stay], first[stay], last[stay]
+    out: list[list[list[int]]] = [[] for _ in range(len(counts))]
+    if len(row):
+        far = int(last.max()) + 1
+        reach = np.maximum.accumulate(row * far + last)
+        begins = np.ones(len(row), bool)
+        begins[1:] = row[1:] * far + first[1:] > reach[:-1]
+        at = np.flatnonzero(begins)
+        ends = reach[np.append(at[1:], len(row)) - 1] - row[at] * far
+        for r, x, y in zip(row[at].tolist(), first[at].tolist(), ends.tolist()):
+            out[r].append([x, y])
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tie, text, marks) -> what is left of each text, as runs are merged and cut out."""
     for batch in text_slices(batches, 2):
         sizes, removed, runs, digests, left = [], [], [], [], []
-        for tie, raw, marks in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for raw, merged in zip(batch.column(2), _runs(batch.column(3), batch.column(1).to_numpy())):
             held = memoryview(raw.as_buffer())
-            merged = _spans_of(marks.as_py(), tie) if marks.is_valid else []
             at, kept = 0, []
             for a, b in merged:
                 kept.append(held[at:a])
