@@ -51,12 +51,15 @@ def _(t):
         F.substring_index("text", "\n", 1).alias("title"), F.col("lang").alias("section"),
         F.lit(None).cast("timestamp").alias("published_at"), F.expr("timestamp'2024-01-01 00:00:00'").alias("collected_at"))
     base = fresh(t, "upsert")
-    table = S.VersionedTable(t.spark, f"{base}/table")
+    table = S.BucketedTable(t.spark, f"{base}/table", "canonical_url", 8)
     S.upsert_articles(d, table, f"{base}/checkpoint").awaitTermination()
     return table.read().select("canonical_url", "title")
 
 
-@query("stream_rate_windows")
+# windows that the watermark, an hour behind the last event, has passed
+@query("stream_rate_windows", """
+    WITH w AS (SELECT user_id AS actor, time_bucket(INTERVAL 15 MINUTES, CAST(ts AS TIMESTAMP), TIMESTAMP '2000-01-01') AS w, count(*) AS n FROM events GROUP BY ALL)
+    SELECT actor, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n FROM w WHERE w + INTERVAL 15 MINUTES <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
     e = stream_of(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return drain(t, S.rate_windows(e, "user_id", "ts"), "rates").select("actor", C.stamp(F.col("window_start")).alias("window_start"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,37 +24,75 @@ def rate_windows(stream: DataFrame, actor: str, event_time: str, minutes: int =
         F.count(F.lit(1)).alias("n")).select("actor", F.col("w.start").alias("window_start"), "n")
 
 
-class VersionedTable:
-    """Table kept as immutable versions: a batch writes version ``epoch`` from the version before it, so a
-    replayed batch rewrites the same version and nothing is applied twice."""
+class BucketedTable:
+    """Table in ``buckets`` by the hash of a key; a batch rewrites only the buckets it has rows for.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Every commit is a version: the folders of the buckets it wrote, and a manifest that names the folder of each bucket
+    and the batch that was applied (query id and epoch). The manifest is written last and counts once it is complete, so readers see the version before or the whole
+    new one. Versions go on from the last manifest whatever the checkpoint says, so a reset checkpoint never
+    starts below what readers have seen.
+    """
+
+    MANIFEST = "bucket int, folder string, query string, epoch long"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
 
     def versions(self) -> list[int]:
-        """Complete versions (those with a success marker), oldest first."""
+        """Complete versions, oldest first."""
         jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={known[-1]}") if known else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-def upsert_articles(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into the versioned table."""
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")))
+
+    def manifest(self) -> tuple[int, dict[int, str], set[tuple[str, int]]]:
+        """(version, folder of each bucket, batches of the last version's query that were applied); version 0 is the empty table."""
+        known = self.versions()
+        if not known:
+            return 0, {}, set()
+        # one row for each bucket and one for each applied batch of the query
+        rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest/v={known[-1]}").collect()
+        return known[-1], {r["bucket"]: r["folder"] for r in rows if r["folder"]}, {(r["query"], r["epoch"]) for r in rows if r["query"]}
+
+    def bucket_of(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+
+    def read(self, schema=None, only: Sequence[int] | None = None) -> DataFrame | None:
+        """Rows of the last version, of the buckets ``only`` if they are named; None if there are none."""
+        folders = [f for b, f in self.manifest()[1].items() if only is None or b in only]
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(*folders) if folders else None
+
+    def upsert(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], query: str, epoch: int) -> list[int]:
+        """Apply a batch once: ``merge`` its rows into the buckets they fall to. Returns those buckets, none for a batch applied before."""
+        version, folders, applied = self.manifest()
+        if any(q == query and e >= epoch for q, e in applied):
+            return []
+        rows = rows.persist()
+        try:
+            touched = sorted(r["bucket"] for r in self.bucket_of(rows).select("bucket").distinct().collect())  # at most ``buckets`` rows
+            current = self.read(rows.schema, touched)
+            merged = self.bucket_of(merge(current if current is not None else rows.limit(0), rows))
+            data = f"{self.path}/data/v={version + 1}"
+            # one file a bucket; what a failed attempt of this version left is overwritten
+            merged.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        finally:
+            rows.unpersist()
+        folders = folders | {b: f"{data}/bucket={b}" for b in touched}
+        # a query's epochs come in order, so its last one stands for all before it
+        batches = {q: e for q, e in applied} | {query: epoch}
+        lines = [(b, f, None, None) for b, f in folders.items()] + [(None, None, q, e) for q, e in batches.items()]
+        self.spark.createDataFrame(lines, self.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version + 1}")
+        return touched
+
+
+def upsert_articles(stream: DataFrame, table: BucketedTable, checkpoint: str) -> StreamingQuery:
+    """Merge every micro-batch into the table; the query id in the checkpoint tells its batches from those of others."""
     def apply(batch: DataFrame, epoch: int) -> None:
-        current = table.read(before=epoch)
-        base = current if current is not None else batch.limit(0)
-        table.write(merge_articles_discovery(base, batch), epoch)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        table.upsert(batch, merge_articles_discovery, query, epoch)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -70,3 +70,33 @@ def test_a_key_that_comes_twice_is_written_once(spark):
     assert [(r["title"], r["change"]) for r in merge_articles_import(old, new).collect()] == [("later", "update")]
     panel = spark.createDataFrame([("a", "x"), ("a", "y")], "source_id string, source_name string")
     assert merge_sources(panel.limit(0), panel).count() == 1
+
+
+def test_upserts_touch_their_buckets_once_and_survive_a_lost_checkpoint(spark, tmp_path):
+    from pressgrain.operators.scans import merge_articles_discovery
+    from pressgrain.streaming.streams import BucketedTable, upsert_articles
+
+    kind = "canonical_url string, title string, section string, published_at timestamp, collected_at timestamp"
+    import datetime as dt
+
+    row = lambda u, t, s=None: (f"u{u}", t, s, None, dt.datetime(2024, 1, 1))
+    batches = [[row(1, "a"), row(2, "bb"), row(3, "c")], [row(1, "aaa", "x"), row(4, "d")], [row(2, "b"), row(4, "dd", "y")]]
+    incoming, out = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = [r for b in batches for r in b]
+    want = {r["canonical_url"]: (r["title"], r["section"]) for r in merge_articles_discovery(spark.createDataFrame([], kind), spark.createDataFrame(rows, kind)).collect()}
+    for b in batches:
+        spark.createDataFrame(b, kind).coalesce(1).write.mode("append").parquet(incoming)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(incoming)
+    table = BucketedTable(spark, out, "canonical_url", 16)
+    state = lambda: {r["canonical_url"]: (r["title"], r["section"]) for r in table.read().collect()}
+    upsert_articles(stream, table, str(tmp_path / "check1")).awaitTermination()
+    assert table.versions() == [1, 2, 3] and state() == want
+    upsert_articles(stream, table, str(tmp_path / "check1")).awaitTermination()  # a restart finds nothing new
+    assert table.versions() == [1, 2, 3]
+    upsert_articles(stream, table, str(tmp_path / "check2")).awaitTermination()  # a lost checkpoint reads all again
+    assert table.versions() == [1, 2, 3, 4, 5, 6] and state() == want
+    before = table.manifest()[1]
+    one = spark.createDataFrame([row(1, "a longer title")], kind)
+    assert len(table.upsert(one, merge_articles_discovery, "q", 0)) == 1 and table.upsert(one, merge_articles_discovery, "q", 0) == []
+    after = table.manifest()[1]
+    assert sum(before[b] != after[b] for b in before) == 1 and state() == want | {"u1": ("a longer title", "x")}
