@@ -97,6 +97,13 @@ def _(t):
     return good.select("line_no", F.lit("ok").alias("outcome")).unionByName(bad.select("line_no", F.col("reason").alias("outcome")))
 
 
+@query("read_export_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, sha256(text) AS text_sha, lang FROM documents")
+def _(t):
+    path = fresh(t, "export")
+    t.raw("documents").select("doc_id", "source", "text", "lang").write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_export_csv(t.spark, path).select("doc_id", "source", F.sha2("text", 256).alias("text_sha"), "lang")
+
+
 @query("write_run_results", "SELECT issue_id, run_id, category, agenda_score, strftime(DATE '2024-01-01' + CAST(run_id % 5 AS INTEGER), '%Y-%m-%d') AS issue_date FROM fx_issues")
 def _(t):
     path = fresh(t, "runs")
@@ -113,8 +120,8 @@ def payloads(t):
 @query("publish_snapshot", "SELECT doc_id AS issue_id, sha256('{\"title\":' || to_json(split_part(text, chr(10), 1)) || ',\"section\":\"' || lang || '\"}') AS payload_sha256 FROM documents")
 def _(t):
     root = fresh(t, "publish")
-    snapshot = sinks.publish_snapshot(payloads(t), root, 1)
-    return t.spark.read.parquet(f"{root}/snapshot_id={snapshot}/manifest")
+    sinks.publish_snapshot(payloads(t), root, 1)
+    return t.spark.read.parquet(t.spark.read.parquet(f"{root}/pointer").first()["folder"] + "/manifest")
 
 
 @query("read_snapshot", "SELECT doc_id AS issue_id, lang AS section FROM documents")

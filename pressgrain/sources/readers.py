@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from pressgrain.session import cut_lineage
 
 
 def read_jsonl(lines: DataFrame, schema: T.StructType | str, required: tuple[str, ...], text: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -30,7 +34,41 @@ def read_jsonl_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def read_export_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Delimited provider export with every column as text."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=False, quote='"', escape='"')
+def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """(file, record_no, record) of quoted CSV files whose fields may hold line feeds, read in byte ranges like any text.
+
+    Whether a line begins inside a quoted field is the parity of all quotes before it in its file. The quotes of each byte range are
+    counted first; the counts of the ranges before, one row each, tell how a range begins, and inside a range the parity runs from line to line. Lines that begin
+    outside begin a record. Records of one line are complete; only the lines of longer ones are gathered.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.withColumn("odd", F.pmod(F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))), F.lit(2)))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    opens = lines.groupBy("file", "block").agg(F.sum("odd").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), none).alias("before"))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    running = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), none)
+    marked = lines.join(opens, ["file", "block"]).withColumn("begins", (F.col("before") + running) % 2 == 0)
+    counted = marked.withColumns({"own": F.count_if("begins").over(inside), "alone": F.col("begins") & F.lead("begins").over(inside)}).drop("odd", "before")
+    counted = cut_lineage(counted)
+    bases = counted.groupBy("file", "block").agg(F.max("own").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), none).alias("base"))
+    numbered = counted.join(bases, ["file", "block"]).withColumn("record_no", F.col("base") + F.col("own"))
+    alone = F.coalesce("alone", F.lit(False))
+    single = numbered.filter(alone).select("file", "record_no", F.col("value").alias("record"))
+    longer = numbered.filter(~alone).groupBy("file", "record_no").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("x"))
+    whole = single.unionByName(longer.select("file", "record_no", F.array_join("x.value", "\n").alias("record")))
+    return whole.withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
+def read_export_csv(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """Delimited provider export with every column as text, named by the header that each file begins with; blank lines are no rows."""
+    records = csv_records(spark, path, quote)
+    options = {"quote": quote, "escape": quote, "multiLine": "true", "maxCharsPerColumn": "-1"}
+    head = records.filter("record_no = 1").orderBy("file").first()
+    if head is None:
+        return spark.createDataFrame([], T.StructType())
+    names = next(csv.reader([head["record"]], quotechar=quote))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = records.filter((F.col("record_no") > 1) & (F.col("record") != "")).select(F.from_csv("record", schema, options).alias("r"))
+    return rows.select("r.*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgrain.operators.common import set_digest
+from pressgrain.session import cut_lineage
 
 
 def write_run_results(results: DataFrame, path: str, date_col: str = "issue_date") -> None:
@@ -21,16 +24,17 @@ def snapshot_digest(payloads: DataFrame, key: str = "issue_id", text: str = "pay
 def publish_snapshot(payloads: DataFrame, root: str, sequence: int) -> str:
     """Write the payloads under a content-derived prefix, then their manifest, and the pointer row last.
 
-    The pointer is an append-only log read by its highest sequence, so readers see either the old
-    snapshot or the whole new one.
+    The input is computed once. Each write has a folder of its own, so one that is published is never touched again. The
+    pointer is an append-only log read by its highest sequence, so readers see either the old snapshot or the whole new one.
     """
     spark = payloads.sparkSession
+    payloads = cut_lineage(payloads)
     digest = snapshot_digest(payloads).first()
     snapshot = digest["digest"][:32]
-    base = f"{root}/snapshot_id={snapshot}"
-    payloads.write.mode("overwrite").parquet(f"{base}/payloads")
-    payloads.select("issue_id", F.sha2("payload", 256).alias("payload_sha256")).write.mode("overwrite").parquet(f"{base}/manifest")
-    pointer = spark.createDataFrame([(sequence, snapshot, digest["digest"], digest["issue_count"])], "sequence bigint, snapshot_id string, digest string, issue_count bigint")
+    base = f"{root}/snapshot_id={snapshot}/write={uuid.uuid4().hex}"
+    payloads.write.parquet(f"{base}/payloads")
+    payloads.select("issue_id", F.sha2("payload", 256).alias("payload_sha256")).write.parquet(f"{base}/manifest")
+    pointer = spark.createDataFrame([(sequence, snapshot, digest["digest"], digest["issue_count"], base)], "sequence bigint, snapshot_id string, digest string, issue_count bigint, folder string")
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return snapshot
 
@@ -38,7 +42,7 @@ def publish_snapshot(payloads: DataFrame, root: str, sequence: int) -> str:
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Payloads of the current snapshot, after checking digest, issue count and manifest both ways."""
     p = spark.read.parquet(f"{root}/pointer").orderBy(F.col("sequence").desc()).first()
-    base = f"{root}/snapshot_id={p['snapshot_id']}"
+    base = p["folder"]
     payloads = spark.read.parquet(f"{base}/payloads")
     manifest = spark.read.parquet(f"{base}/manifest")
     hashed = payloads.select("issue_id", F.sha2("payload", 256).alias("payload_sha256"))

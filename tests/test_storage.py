@@ -14,7 +14,11 @@ def test_snapshot_round_trip_and_tamper(spark, tmp_path):
     sinks.publish_snapshot(rows.filter("issue_id = 1"), root, 1)
     second = sinks.publish_snapshot(rows, root, 2)
     assert sinks.read_snapshot(spark, root).count() == 2
-    rows.withColumn("payload", F.lit("x")).write.mode("overwrite").parquet(f"{root}/snapshot_id={second}/payloads")
+    folder = spark.read.parquet(f"{root}/pointer").filter(F.col("snapshot_id") == second).first()["folder"]
+    sinks.publish_snapshot(rows, root, 3)  # the same content again leaves the published folder alone
+    assert sinks.read_snapshot(spark, root).count() == 2 and spark.read.parquet(f"{folder}/payloads").count() == 2
+    newest = spark.read.parquet(f"{root}/pointer").filter("sequence = 3").first()["folder"]
+    rows.withColumn("payload", F.lit("x")).write.mode("overwrite").parquet(f"{newest}/payloads")
     with pytest.raises(ValueError):
         sinks.read_snapshot(spark, root)
 
@@ -100,3 +104,28 @@ def test_upserts_touch_their_buckets_once_and_survive_a_lost_checkpoint(spark, t
     assert len(table.upsert(one, merge_articles_discovery, "q", 0)) == 1 and table.upsert(one, merge_articles_discovery, "q", 0) == []
     after = table.manifest()[1]
     assert sum(before[b] != after[b] for b in before) == 1 and state() == want | {"u1": ("a longer title", "x")}
+
+
+def test_quoted_csv_is_read_in_byte_ranges(spark, tmp_path):
+    import csv
+    import random
+
+    rnd = random.Random(5)
+    bits = ["word", " ", "\n", '"', ",", "\n\n", "é", "\t", "x" * 50, '""', "\n\"\n"]
+    rows = [(str(i), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))), rnd.choice(["", "a", "b,c"])) for i in range(800)]
+    for name, part in (("a.csv", rows[:500]), ("b.csv", rows[500:])):
+        with open(tmp_path / name, "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if name == "b.csv" else "\n")
+            writer.writerow(["id", "text", "more, or less"])
+            writer.writerows(part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = readers.read_export_csv(spark, str(tmp_path))
+        assert readers.csv_records(spark, str(tmp_path)).count() == 802
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 10
+        assert sorted((r["id"], r["text"] or "", r["more, or less"] or "") for r in got.collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
