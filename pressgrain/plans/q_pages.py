@@ -99,3 +99,30 @@ def _(t):
     SELECT page_id, position, {DECODE.format(r"regexp_extract(b, '(?is)>(.*)</a>', 1)")} AS title, regexp_extract(b, 'href="([^"]*)"', 1) AS url, CAST(NULL AS VARCHAR) AS published FROM b""")
 def _(t):
     return P.feed_entries(t.raw("pages"), "links")
+
+
+ENTRY = ("concat('{open}<{title}>', case when article_id % 3 = 0 then concat('<![CDATA[', title, ']]>') else replace(replace(title, '&', '&amp;'), '<', '&lt;') end, '</{title}>', "
+         "'<{link}> https://x.test/a?b=1&amp;c=', article_id, ' </{link}>', case when article_id % 4 = 0 then '' else concat('<{date}>2024-01-', lpad(cast(article_id % 28 + 1 as string), 2, '0'), '</{date}>') end, '{close}')")
+
+
+def documents_of(t, entry, head, foot):
+    """One XML document for twenty articles each."""
+    rows = t.articles.select(F.expr("article_id div 20").alias("page_id"), "article_id", F.expr(entry).alias("entry")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("article_id", "entry"))).alias("x"))
+    return rows.select("page_id", F.concat(F.lit(head), F.array_join("x.entry", "\n"), F.lit(foot)).alias("html"))
+
+
+ENTRIES = """SELECT article_id // 20 AS page_id, row_number() OVER (PARTITION BY article_id // 20 ORDER BY article_id) - 1 AS position, CASE WHEN trim(title, E' \\t\\r\\n') <> '' THEN trim(title, E' \\t\\r\\n') END AS title, 'https://x.test/a?b=1&c=' || article_id AS url,
+    CASE WHEN article_id % 4 <> 0 THEN '2024-01-' || lpad(CAST(article_id % 28 + 1 AS VARCHAR), 2, '0') END AS published FROM fx_articles"""
+
+
+@query("feed_entries_feed", ENTRIES)
+def _(t):
+    entry = ENTRY.format(open="<item><media:title>no</media:title>", close="</item>", title="title", link="link", date="dc:date")
+    return P.feed_entries(documents_of(t, entry, '<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>feed</title>', "</channel></rss>"), "feed")
+
+
+@query("feed_entries_sitemap", ENTRIES)
+def _(t):
+    # the news namespace goes by another prefix than usual
+    entry = ENTRY.format(open="<url><n:news>", close="</n:news></url>", title="n:title", link="loc", date="n:publication_date")
+    return P.feed_entries(documents_of(t, entry, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://www.google.com/schemas/sitemap-news/0.9">', "</urlset>"), "sitemap")

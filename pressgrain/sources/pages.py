@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pressgrain.functions import columns as C, rules as R, text as X
 from pressgrain.operators.common import top_per_key
 from pressgrain.session import cut_lineage
+from pressgrain.sources.feeds import feed_rows
 
 # fixed values: markup classes of the extractor
 BLOCK_TAGS = frozenset("address article aside blockquote div figcaption figure h1 h2 h3 h4 h5 h6 li main p section table td tr".split())
@@ -316,27 +317,11 @@ def title_lineage(pages: DataFrame, feed_title: Column | None = None) -> DataFra
 
 
 def feed_entries(docs: DataFrame, kind: str, text: str = "html") -> DataFrame:
-    """Entries (title, url, published_at text) of feeds, sitemaps or pages of links."""
-    def tag(block: Column, *names: str) -> Column:
-        found = [F.nullif(F.regexp_extract(block, rf"(?is)<{n}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1), F.lit("")) for n in names]
-        return F.coalesce(*found)
-
-    def exploded(pattern: str) -> DataFrame:
-        return docs.select("page_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("position", "_b"))
-
-    if kind == "links":
-        rows = exploded(r"(?is)<a\b[^>]*>.*?</a>")
-        href = F.regexp_extract("_b", r"""(?is)^<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1)
-        title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_b", r"(?is)^<a\b[^>]*>|</a>$", ""), "<[^>]+>", " "), r"\s+", " "))
-        out = rows.select("page_id", F.col("position").cast("bigint").alias("position"), X.decode_entities(title).alias("title"), href.alias("url"), F.lit(None).cast("string").alias("published"))
-        return out.filter((F.col("title") != "") & (F.col("url") != ""))
-    if kind == "sitemap":
-        rows = exploded(r"(?is)<url\b.*?</url>")
-        b = F.col("_b")
-        return rows.select("page_id", F.col("position").cast("bigint").alias("position"), tag(b, "news:title").alias("title"), tag(b, "loc").alias("url"),
-                           tag(b, "news:publication_date", "lastmod").alias("published"))
-    rows = exploded(r"(?is)<(?:item|entry)\b.*?</(?:item|entry)>")
-    b = F.col("_b")
-    link = F.coalesce(tag(b, "link"), F.nullif(F.regexp_extract(b, r"""(?is)<link\b[^>]*href\s*=\s*["']([^"']*)["']""", 1), F.lit("")))
-    return rows.select("page_id", F.col("position").cast("bigint").alias("position"), tag(b, "title").alias("title"), link.alias("url"),
-                       tag(b, "pubDate", "published", "updated", "dc:date").alias("published"))
+    """Entries (title, url, published_at text) of feeds, sitemaps, sitemap indexes or pages of links."""
+    if kind != "links":
+        return feed_rows(docs, kind, "page_id", text)
+    rows = docs.select("page_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))).alias("position", "_b"))
+    href = F.regexp_extract("_b", r"""(?is)^<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1)
+    title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_b", r"(?is)^<a\b[^>]*>|</a>$", ""), "<[^>]+>", " "), r"\s+", " "))
+    out = rows.select("page_id", F.col("position").cast("bigint").alias("position"), X.decode_entities(title).alias("title"), href.alias("url"), F.lit(None).cast("string").alias("published"))
+    return out.filter((F.col("title") != "") & (F.col("url") != ""))
