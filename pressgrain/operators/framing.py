@@ -33,16 +33,17 @@ def _clean_name(raw: Column) -> Column:
 
 
 def speaker_extract(text: Column, before_quote: Sequence[str] = R.SPEAKER_BEFORE_QUOTE, according: str = R.SPEAKER_ACCORDING,
-                    reporting: str = R.REPORTING, after_reporting: Sequence[str] = R.SPEAKER_REPORTING, clean: bool = True) -> Column:
+                    reporting: str = R.REPORTING, after_reporting: Sequence[str] = R.SPEAKER_REPORTING, clean: bool = True,
+                    anonymous: tuple[str, str] = R.SPEAKER_ANONYMOUS) -> Column:
     """Speaker of a sentence: the clause before the quote, an according-to phrase, or the clause before
-    the reporting verb; the first pattern that applies decides."""
+    the reporting verb; the first pattern that applies decides. ``anonymous`` is a pattern before the quote and how such a speaker's
+    name ends, whatever white space the text has there."""
     head = F.trim(F.regexp_extract(text, "(?s)^([^\"“‘]*)", 1))
-    tries = [(head, p) for p in before_quote] + [(text, according)]
-    out = None
-    for where, pattern in tries:
-        hit, name = where.rlike(pattern), F.regexp_extract(where, pattern, 1)
-        name = _clean_name(name) if clean else name
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+    unnamed = F.concat(F.regexp_extract(head, anonymous[0], 1), F.lit(anonymous[1]))
+    out = F.when(head.rlike(anonymous[0]), _clean_name(unnamed) if clean else unnamed)
+    for where, pattern in [(head, p) for p in before_quote] + [(text, according)]:
+        name = F.regexp_extract(where, pattern, 1)
+        out = out.when(where.rlike(pattern), _clean_name(name) if clean else name)
     verb_at = F.regexp_instr(text, F.lit(reporting))
     prefix = F.left(text, verb_at - 1)
     for pattern in after_reporting:

@@ -44,3 +44,9 @@ def test_quote_aware_sentences(spark):
     assert got[7] == [(2, 1, "가."), (2, 2, "나.")]
     by_id = dict(texts)
     assert all(by_id[r["article_id"]][r["start"]:r["end"]] == r["text"] for r in rows)
+
+
+def test_an_unnamed_speaker_is_one_however_it_is_spaced(spark):
+    texts = ['검찰관계자는 "수사 중이다"라고 말했다.', '검찰 관계자가 "수사 중이다"라고 말했다.', '검찰  관계자는 "수사 중이다"라고 밝혔다.', '박영희 장관은 "그렇다"고 말했다.']
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(P.speaker_extract(F.col("text"))).collect()] == ["검찰 관계자"] * 3 + ["박영희 장관"]
