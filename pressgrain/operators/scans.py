@@ -179,9 +179,10 @@ def placement_url_link(observations: DataFrame, articles: DataFrame) -> DataFram
     })
 
 
-def merge_contents(current: DataFrame, incoming: DataFrame, min_chars: int = 300, max_chars: int = 200_000) -> DataFrame:
-    """Upsert of content versions by (article, body hash): reactivate and refresh expiry on a repeat."""
-    fresh = incoming.filter(F.col("body_chars").between(min_chars, max_chars)).groupBy("article_id", "body_sha256").agg(
+def merge_contents(current: DataFrame, incoming: DataFrame, min_chars: int = 300, max_chars: int | None = None) -> DataFrame:
+    """Upsert of content versions by (article, body hash): reactivate and refresh expiry on a repeat. Bodies of fewer than ``min_chars``, or more than ``max_chars`` if given, are not taken."""
+    long_enough = F.col("body_chars") >= min_chars
+    fresh = incoming.filter(long_enough if max_chars is None else long_enough & (F.col("body_chars") <= max_chars)).groupBy("article_id", "body_sha256").agg(
         F.max("expires_at").alias("n_expires"), F.min("acquired_at").alias("n_acquired"), F.max("body_chars").alias("n_chars"))
     old = current.groupBy("article_id", "body_sha256").agg(
         F.max("expires_at").alias("o_expires"), F.min("acquired_at").alias("o_acquired"),

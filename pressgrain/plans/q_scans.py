@@ -180,7 +180,7 @@ def _(t):
 
 @query("merge_contents", """
     WITH n AS (SELECT article_id, body_sha256, max(expires_at) AS e, min(acquired_at) AS a, max(body_chars) AS c FROM fx_contents
-               WHERE content_id % 2 = 0 AND body_chars BETWEEN 300 AND 200000 GROUP BY ALL),
+               WHERE content_id % 2 = 0 AND body_chars >= 300 GROUP BY ALL),
          o AS (SELECT article_id, body_sha256, max(expires_at) AS e, min(acquired_at) AS a, max(body_chars) AS c, max_by(status, content_id) AS s FROM fx_contents
                WHERE content_id % 5 < 3 GROUP BY ALL)
     SELECT coalesce(o.article_id, n.article_id) AS article_id, coalesce(o.body_sha256, n.body_sha256) AS body_sha256,
