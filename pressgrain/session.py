@@ -44,6 +44,13 @@ def stage_dir(spark: SparkSession) -> str:
     return current
 
 
+def new_stage(spark: SparkSession, kind: str = "stages") -> str:
+    """A new path below the shared folder, which ``drop_stages`` will delete."""
+    path = f"{stage_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a stage as a Parquet table in the shared folder and continue from it.
 
@@ -51,14 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     read, and gives the planner real sizes to choose joins by. ``drop_stages`` deletes what was written.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/stages/{uuid.uuid4().hex}"
-    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_stage(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> int:
-    """Delete the stages this application has written; call it once the results that read them are stored."""
+    """Delete the stages and files this application has written; call it once the results that read them are stored."""
     paths = _STAGES.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
