@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pressgrain.session import stage_dir
+from pressgrain.session import new_stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below the one that all executors share."""
-    return f"{stage_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; ``pressgrain.session.drop_stages`` deletes it."""
+    return new_stage(spark, kind)
 
 
 def open_store(folder: str) -> tuple[fs.FileSystem, str]:
