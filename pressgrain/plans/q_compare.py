@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pressgrain.functions import columns as C
@@ -344,13 +346,30 @@ def _(t):
     return BIG(M.narratives(M.with_issue(raw_items(t), m), m), "narrative_no")
 
 
-@query("reader_questions")
+def of_hundreds(name):
+    """Name of the view that is ``name`` with a hundred neighbouring articles as an issue, in it and in all views below it."""
+    def depends(view):
+        return view == "fx_members" or any(depends(v) for v in set(re.findall(r"\bfx_\w+", VIEWS[view])))
+
+    VIEWS["fx_members_h"] = "SELECT * REPLACE (article_id // 100 AS issue_id) FROM fx_members"
+    if name != "fx_members" and f"{name}_h" not in VIEWS:
+        VIEWS[f"{name}_h"] = re.sub(r"\bfx_\w+", lambda m: of_hundreds(m[0]) if depends(m[0]) else m[0], VIEWS[name])
+    return f"{name}_h"
+
+
+@query("reader_questions", f"""
+    WITH n AS (SELECT a.issue_id FROM fx_narratives a JOIN fx_narratives b ON b.issue_id = a.issue_id AND a.narrative_no = 1 AND b.narrative_no = 2 WHERE {' + '.join(f"CASE WHEN a.{d} <> b.{d} THEN 1 ELSE 0 END" for d in DIMENSIONS)} >= 2),
+      g AS (SELECT issue_id, role FROM {of_hundreds('fx_lens')} WHERE presence_gap >= 0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY CAST(role = 'affected_person' AS INTEGER) DESC, presence_gap DESC, article_count DESC, role) = 1),
+      c AS (SELECT issue_id, dimension FROM {of_hundreds('fx_is')} GROUP BY ALL HAVING count(DISTINCT source_id) FILTER (status <> 'not_observed') >= 2 AND count(DISTINCT source_id) FILTER (status = 'not_observed') >= 1 AND count(*) FILTER (status = 'observed') >= 1),
+      q AS (SELECT issue_id, 0 AS priority, 'narrative-contrast' AS question_id FROM n UNION ALL SELECT issue_id, 1, 'problem-definition-contrast' FROM {of_hundreds('fx_axis')}
+            UNION ALL SELECT issue_id, CASE WHEN role = 'affected_person' THEN 2 ELSE 3 END, 'source-gap-' || role FROM g UNION ALL SELECT issue_id, 3 + {DORDER}, 'context-gap-' || dimension FROM c)
+    SELECT issue_id, CAST(priority AS BIGINT) AS priority, question_id, row_number() OVER (PARTITION BY issue_id ORDER BY priority, question_id) AS position FROM q QUALIFY position <= 3""")
 def _(t):
     raw = raw_items(t)
     m = t.members.withColumn("issue_id", F.expr("article_id div 100"))
     i, s = M.with_issue(raw, m), M.with_issue(P.dimension_status(t.articles, raw), m)
     axis = M.issue_map_pair(M.axis_patterns(i), i, m)
-    return M.reader_questions(M.narratives(i, m), axis, M.source_role_lens(M.with_issue(Q.mentions(t), m), m), s)
+    return BIG(M.reader_questions(M.narratives(i, m), axis, M.source_role_lens(M.with_issue(Q.mentions(t), m), m), s), "priority", "position")
 
 
 @query("camps", """
