@@ -108,7 +108,7 @@ def fit_tree(training: DataFrame, depth: int, least_root: float) -> SuffixAutoma
     return SuffixAutomaton(codes, counts, depth, {i: np.unique(f["key"].to_numpy(np.int64) >> 8) for i, f in enumerate(found) if i})
 
 
-def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", depth: int = 5, least_root: float = 0.01, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", depth: int = 5, least_root: float = 0.03, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Score of every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words and one end. ``base_score`` is the smoothed unigram score with the counts of the texts that

@@ -61,7 +61,7 @@ class GramCounter:
 class SuffixAutomaton:
     """States of the tree with their next-symbol distributions and moves."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, contexts: dict[int, np.ndarray]):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, contexts: dict[int, np.ndarray], block: int = 4096):
         """``codes`` and ``counts``: next symbols (lowest byte) of all candidate contexts, as many bytes above as the
         context is long. ``contexts``: by length, the contexts that passed the divergence test."""
         # prefixes of a context are needed to walk to it; they predict as their longest retained suffix does
@@ -78,45 +78,49 @@ class SuffixAutomaton:
         #: symbols that never occurred share column 0
         self.column = np.where(used, np.cumsum(used), 0).astype(np.uint8 if used.sum() < 256 else np.uint16)
         width = int(used.sum()) + 1
-        rare = A - int(used.sum())
         self.move = np.zeros((total, width), np.int32)
-        prob = np.zeros((total, width), np.float64)
+        # probabilities, turned into logarithms in place at the end
+        self.log = np.empty((total, width), np.float32)
         alphabet = np.concatenate([[0], np.flatnonzero(used)])
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
         retained = {n: np.isin(states[n], contexts.get(n, np.empty(0, np.int64))) for n in range(1, depth + 1)}
         for length in range(depth + 1):
+            # some thousand states at a time, so that the tables above are all that grows with their number
+            for at in range(0, len(states[length]), block):
+                self._predict(states, codes, counts, retained, length, at, block)
             here = states[length]
             rows = self.base[length] + np.arange(len(here))
-            if length == 0:
-                parent_prob = np.full((1, width), 1.0 / A)
-                parent_prob[0, 0] = 1.0 / A
-                parents = None
-            else:
-                up = here & ((1 << (8 * (length - 1))) - 1)
-                parents = self._longest(states, up, length - 1)
-                parent_prob = prob[parents]
-            # next-symbol counts of the contexts here; each length has its own range of codes
-            lo, hi = np.searchsorted(codes, here << 8), np.searchsorted(codes, (here << 8) + 256)
-            n_rows = np.repeat(np.arange(len(here)), hi - lo)
-            at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if len(here) else np.empty(0, np.int64)
-            seen = np.zeros((len(here), width))
-            if len(at):
-                seen[n_rows, self.column[codes[at] & 0xFF]] = counts[at]
-            if length:
-                seen[~retained[length]] = 0
-            n, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            # Witten-Bell: as much goes to the shorter context as there were kinds of next symbols
-            prob[rows] = np.where(n > 0, (seen + kinds * parent_prob) / np.maximum(n + kinds, 1), parent_prob)
             for k in range(1, width):
-                extended = (here << 8) | alphabet[k]
-                self.move[rows, k] = self._longest(states, extended, min(length + 1, depth), length + 1)
-        self.log = np.log10(prob).astype(np.float32)
-        assert rare >= 0
+                self.move[rows, k] = self._longest(states, (here << 8) | alphabet[k], min(length + 1, depth))
+        for at in range(0, total, block):
+            np.log10(self.log[at : at + block], out=self.log[at : at + block])
         self.start = int(self.base[1] + np.searchsorted(states[1], END))
         self.depth = depth
 
-    def _longest(self, states: dict[int, np.ndarray], wanted: np.ndarray, longest: int, have: int | None = None) -> np.ndarray:
+    def _predict(self, states: dict[int, np.ndarray], codes: np.ndarray, counts: np.ndarray, retained: dict[int, np.ndarray], length: int, start: int, block: int) -> None:
+        """Next-symbol probabilities of some states, from their counts and the states of the next shorter contexts."""
+        here = states[length][start : start + block]
+        rows = slice(int(self.base[length]) + start, int(self.base[length]) + start + len(here))
+        width = self.log.shape[1]
+        if length:
+            parents = self._longest(states, here & ((1 << (8 * (length - 1))) - 1), length - 1)
+            parent_prob = self.log[parents].astype(np.float64)
+        else:
+            parent_prob = np.full((1, width), 1.0 / A)
+        # next-symbol counts of the contexts here; each length has its own range of codes
+        lo, hi = np.searchsorted(codes, here << 8), np.searchsorted(codes, (here << 8) + 256)
+        row = np.repeat(np.arange(len(here)), hi - lo)
+        at = np.arange(len(row)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+        seen = np.zeros((len(here), width))
+        seen[row, self.column[codes[at] & 0xFF]] = counts[at]
+        if length:
+            seen[~retained[length][start : start + block]] = 0
+        n, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
+        # Witten-Bell: as much goes to the shorter context as there were kinds of next symbols
+        self.log[rows] = np.where(n > 0, (seen + kinds * parent_prob) / np.maximum(n + kinds, 1), parent_prob)
+
+    def _longest(self, states: dict[int, np.ndarray], wanted: np.ndarray, longest: int) -> np.ndarray:
         """Row of the longest state that is a suffix of each wanted context."""
         found = np.zeros(len(wanted), np.int64)
         todo = np.ones(len(wanted), bool)
