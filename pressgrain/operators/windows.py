@@ -120,7 +120,8 @@ def previous_success(runs: DataFrame) -> DataFrame:
 
 def consecutive_line_dedupe(text: Column) -> Column:
     """Lines of a text without immediate repeats; each document is one row, so no window is needed."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    # a lambda of one argument: F.trim itself takes two, and transform would give it the index as characters to trim
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     # compare each line with the one before it; dropping repeats of the previous kept line is the same test
     prev = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
     pairs = F.arrays_zip(lines.alias("cur"), prev.alias("prev"))

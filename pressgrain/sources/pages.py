@@ -219,7 +219,7 @@ def text_statistics(df: DataFrame) -> DataFrame:
     body = F.col("body_text")
     compact = F.length(F.regexp_replace(body, r"\s", ""))
     lines = F.filter(F.split(body, "\n"), lambda x: x != "")
-    long_lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: F.length(x) >= 20)
+    long_lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 20)
     n = F.greatest(F.size(lines), F.lit(1))
     out = df.withColumns({"_c": compact.cast("bigint"), "_lines": lines, "_long": long_lines})
     return out.withColumns({
