@@ -19,9 +19,9 @@ def fresh(t, name):
 
 
 def stream_of(t, name):
-    """The given file of a table as a stream."""
+    """The given table, one file or a folder of them, as a stream. A stream can't be given the path of a file, but a pattern may match one."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 def drain(t, stream, name, mode="append"):
