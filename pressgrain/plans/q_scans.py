@@ -41,7 +41,7 @@ EXPORT_TS = """CASE WHEN regexp_extract(news_id, '\\.([0-9]{14})', 1) <> ''
     WHERE published_at >= TIMESTAMP '2024-01-09 15:00:00' AND published_at < TIMESTAMP '2024-01-10 15:00:00'
     ORDER BY fx_articles.published_at DESC, article_id DESC LIMIT 5000""")
 def _(t):
-    return S.scan_articles(t.articles, t.panel, "2024-01-10").select(
+    return S.scan_articles(t.articles, t.panel, "2024-01-10", 5000).select(
         "article_id", "source_id", "source_name", "title", C.stamp(F.col("published_at")).alias("published_at"))
 
 
