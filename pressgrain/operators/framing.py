@@ -20,7 +20,8 @@ def rule_matches(sentences: DataFrame, rules: Sequence = R.FRAME_RULES) -> DataF
         F.struct(F.lit(i).alias("rule_no"), F.lit(d).alias("dimension"), F.lit(c).alias("code"), (F.regexp_instr("text", F.lit(p)) - 1).alias("match_at"))
         for i, (d, c, p) in enumerate(rules)])
     hits = sentences.withColumn("_m", F.filter(tried, lambda m: m["match_at"] >= 0))
-    return hits.select(*sentences.columns, F.explode("_m").alias("_h")).select(*sentences.columns, "_h.*")
+    # an outer explode, for else Spark asks first which arrays are empty and tries every pattern twice
+    return hits.select(*sentences.columns, F.explode_outer("_m").alias("_h")).filter("_h is not null").select(*sentences.columns, "_h.*")
 
 
 def _clean_name(raw: Column) -> Column:
@@ -37,10 +38,10 @@ def speaker_extract(text: Column, before_quote: Sequence[str] = R.SPEAKER_BEFORE
                     anonymous: tuple[str, str] = R.SPEAKER_ANONYMOUS) -> Column:
     """Speaker of a sentence: the clause before the quote, an according-to phrase, or the clause before
     the reporting verb; the first pattern that applies decides. ``anonymous`` is a pattern before the quote and how such a speaker's
-    name ends, whatever white space the text has there."""
+    name ends, whatever white space the text has there; only texts that hold this ending are searched for it."""
     head = F.trim(F.regexp_extract(text, "(?s)^([^\"“‘]*)", 1))
     unnamed = F.concat(F.regexp_extract(head, anonymous[0], 1), F.lit(anonymous[1]))
-    out = F.when(head.rlike(anonymous[0]), _clean_name(unnamed) if clean else unnamed)
+    out = F.when(F.contains(text, F.lit(anonymous[1].strip())) & head.rlike(anonymous[0]), _clean_name(unnamed) if clean else unnamed)
     for where, pattern in [(head, p) for p in before_quote] + [(text, according)]:
         name = F.regexp_extract(where, pattern, 1)
         out = out.when(where.rlike(pattern), _clean_name(name) if clean else name)
@@ -105,14 +106,14 @@ def dimension_status(articles: DataFrame, items: DataFrame, dimensions: Sequence
 def source_mentions(sentences: DataFrame, speaker: Callable[[Column], Column] = speaker_extract, reporting: str = R.REPORTING,
                     attribution: str = R.ATTRIBUTION, roles=R.SOURCE_ROLES, keep: int = 5) -> DataFrame:
     """Per article, speaker and role: direct and indirect mentions with the first locators."""
-    s = sentences.withColumn("name", speaker(F.col("text"))).filter(
-        F.col("name").isNotNull() & (F.col("text").rlike(reporting) | F.col("text").rlike(attribution)))
-    s = s.withColumns({"role": source_role(F.col("name"), roles), "_q": F.col("text").rlike(R.QUOTE)})
-    counts = s.groupBy("article_id", "name", "role").agg(
-        F.count_if("_q").alias("direct_quote_count"), F.count_if(~F.col("_q")).alias("indirect_attribution_count"))
-    first = top_per_key(s, ["article_id", "name", "role"], [F.col("paragraph"), F.col("sentence")], keep).groupBy("article_id", "name", "role").agg(
-        F.array_sort(F.collect_list(F.struct("paragraph", "sentence"))).alias("locators"))
-    return counts.join(first, ["article_id", "name", "role"])
+    text = F.col("text")
+    told = F.when(text.rlike(reporting) | text.rlike(attribution), F.struct(speaker(text).alias("name"), text.rlike(R.QUOTE).alias("_q")))
+    s = sentences.select("article_id", "paragraph", "sentence", F.explode_outer(F.array(told)).alias("_m")).filter("_m.name is not null").select(
+        "article_id", "_m.*", F.struct("paragraph", "sentence").alias("_at"))
+    # the places of a speaker in one article are fewer than its sentences, which came as one text
+    per = s.groupBy("article_id", "name").agg(
+        F.count_if("_q").alias("direct_quote_count"), F.count_if(~F.col("_q")).alias("indirect_attribution_count"), F.slice(F.array_sort(F.collect_list("_at")), 1, keep).alias("locators"))
+    return per.select("article_id", "name", source_role(F.col("name"), roles).alias("role"), "direct_quote_count", "indirect_attribution_count", "locators")
 
 
 def descriptor_signals(sentences: DataFrame, generic: Sequence = R.GENERIC_FRAMES, policy: Sequence = R.POLICY_DESCRIPTORS, minimum_terms: int = 2) -> DataFrame:
@@ -125,7 +126,7 @@ def descriptor_signals(sentences: DataFrame, generic: Sequence = R.GENERIC_FRAME
         if terms:
             hit = hit | (F.size(F.array_intersect("lemmas", F.array(*[F.lit(t) for t in terms]))) >= minimum_terms)
         tests.append(F.when(hit, F.struct(F.lit("policy").alias("kind"), F.lit(code).alias("code"))))
-    found = s.select("article_id", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("article_id", "x.*")
+    found = s.select("article_id", F.explode_outer(F.array_compact(F.array(*tests))).alias("x")).filter("x is not null").select("article_id", "x.*")
     totals = sentences.groupBy("article_id").agg(F.count(F.lit(1)).alias("_t"))
     per = found.groupBy("article_id", "kind", "code").agg(F.count(F.lit(1)).alias("sentence_count"))
     return per.join(totals, "article_id").select("article_id", "kind", "code", "sentence_count", C.half_up(C.ratio(F.col("sentence_count"), F.col("_t")), 3).alias("share_of_sentences"))
@@ -171,7 +172,7 @@ def framing_devices(articles: DataFrame, sentences: DataFrame, devices: Sequence
     # an article has few sentences: its order is worked out in its own group, over locators only
     heads = top_per_key(sentences.select("article_id", "paragraph", "sentence"), ["article_id"], [F.col("paragraph"), F.col("sentence")], lead).withColumn("_lead", F.lit(True))
     text = F.col("text")
-    found = sentences.select("article_id", "paragraph", "sentence", F.explode(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(c)) for c, p in devices]))).alias("device"))
+    found = sentences.select("article_id", "paragraph", "sentence", F.explode_outer(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(c)) for c, p in devices]))).alias("device")).filter("device is not null")
     rows = found.join(heads, ["article_id", "paragraph", "sentence"], "left").groupBy("article_id", "device").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_lead"), F.lit(False)).alias("appears_in_lead"))
     titled = articles.filter(X.normalize_text(F.col("title")).rlike(headline)).select("article_id").join(sentences.select("article_id").distinct(), "article_id", "left_semi")
@@ -184,7 +185,7 @@ def association_pairs(sentences: DataFrame, concepts: Sequence = R.CONTROLLED_CO
     codes = sorted(concepts)
     tests = [(a, b, F.col("text").rlike(pa) & F.col("text").rlike(pb)) for i, (a, pa) in enumerate(codes) for b, pb in codes[i + 1:]]
     pairs = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))) for a, b, hit in tests]))
-    counts = sentences.select("article_id", F.explode(pairs).alias("p")).groupBy("article_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("sentence_count"))
+    counts = sentences.select("article_id", F.explode_outer(pairs).alias("p")).filter("p is not null").groupBy("article_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("sentence_count"))
     return top_per_key(counts, ["article_id"], [F.col("sentence_count").desc(), F.concat_ws(":", "a", "b")], k, "position")
 
 
