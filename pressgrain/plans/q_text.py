@@ -154,7 +154,7 @@ VIEWS["fx_terms"] = f"SELECT article_id, pos, lemma AS term, count(*) AS n FROM
 def _(t):
     from pressgrain.operators.paging import top_terms
 
-    return top_terms(T.morph_terms(T.morph_tokens(sentences(t)))).select("article_id", "term", "n", F.col("position").cast("bigint").alias("position"))
+    return top_terms(T.article_terms(sentences(t))).select("article_id", "term", "n", F.col("position").cast("bigint").alias("position"))
 
 
 @query("top_body_tokens", "SELECT article_id, token, n, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, length(token) DESC, token) AS position FROM fx_body_counts QUALIFY position <= 20")
