@@ -32,17 +32,17 @@ VIEWS["fx_sizes"] = "SELECT issue_id, count(DISTINCT article_id) AS n FROM fx_me
 DORDER = "CASE dimension " + " ".join(f"WHEN '{d}' THEN {i + 1}" for i, d in enumerate(DIMENSIONS)) + " END"
 
 
-def raw_items(t):
+def raw_items(t, s=None):
     """Items are read several times by a comparison, so they are written out once."""
-    return cut_lineage(Q.items(t))
+    return cut_lineage(Q.items(t, s))
 
 
-def items(t):
-    return M.with_issue(raw_items(t), t.members)
+def items(t, s=None):
+    return M.with_issue(raw_items(t, s), t.members)
 
 
-def both(t):
-    raw = raw_items(t)
+def both(t, s=None):
+    raw = raw_items(t, s)
     return M.with_issue(raw, t.members), M.with_issue(P.dimension_status(t.articles, raw), t.members)
 
 
@@ -89,7 +89,7 @@ VIEWS["fx_lens"] = f"""
 
 @query("source_role_lens", "SELECT * FROM fx_lens")
 def _(t):
-    return M.source_role_lens(mentions(t), t.members)
+    return M.source_role_lens(M.with_issue(cut_lineage(Q.mentions(t)), t.members), t.members)
 
 
 @query("source_lens_by_outlet", f"""
@@ -126,10 +126,10 @@ def _(t):
     SELECT n.issue_id, n.source_id, term, n, {rnd('n::DOUBLE / t::DOUBLE * 1000.0::DOUBLE', 3)} AS per_thousand, row_number() OVER (PARTITION BY n.issue_id, n.source_id ORDER BY {rnd('n::DOUBLE / t::DOUBLE * 1000.0::DOUBLE', 3)} DESC, n DESC, term) AS position
     FROM n JOIN d ON d.issue_id = n.issue_id AND d.source_id = n.source_id QUALIFY position <= 15""")
 def _(t):
-    toks = cut_lineage(T.morph_tokens(T.segment_sentences(t.articles)))
-    terms = M.with_issue(T.morph_terms(toks), t.members)
-    content = M.with_issue(T.morph_summary(toks).select("article_id", "content_token_count"), t.members)
-    return BIG(M.morphology_lens(terms, content), "position")
+    # terms, not tokens, are written out; the content tokens of an article are the sum of its terms
+    raw = cut_lineage(T.article_terms(T.segment_sentences(t.articles)))
+    content = raw.groupBy("article_id").agg(F.sum("n").alias("content_token_count"))
+    return BIG(M.morphology_lens(M.with_issue(raw, t.members), M.with_issue(content, t.members)), "position")
 
 
 @query("dominant_secondary", "SELECT issue_id, code, count(DISTINCT article_id) AS article_count, row_number() OVER (PARTITION BY issue_id ORDER BY count(DISTINCT article_id) DESC, code) AS position FROM fx_id WHERE kind = 'policy' GROUP BY issue_id, code QUALIFY position <= 5")
@@ -145,7 +145,8 @@ VIEWS["fx_dominance"] = f"""
 
 @query("source_dominance", "SELECT * FROM fx_dominance")
 def _(t):
-    return M.source_dominance(items(t), Q.genres(t), t.members)
+    s = Q.written(t)
+    return M.source_dominance(items(t, s), Q.genres(t, s), t.members)
 
 
 @query("genre_scope_context_counts", """
@@ -280,9 +281,10 @@ def _(t):
     SELECT issue_id, source_id, article_count, left_articles, mixed_articles, right_articles, withheld, CASE WHEN withheld IS NULL THEN CASE WHEN n < 2 THEN 'insufficient' WHEN sc <= -1.0::DOUBLE / 3 THEN 'left' WHEN sc >= 1.0::DOUBLE / 3 THEN 'right' ELSE 'mixed' END END AS classification,
       CASE WHEN withheld IS NULL THEN sc END AS score, CASE WHEN withheld IS NULL THEN {rnd('50.0::DOUBLE + 40.0::DOUBLE * sc', 1)} END AS display_position FROM s""")
 def _(t):
-    i = items(t)
+    s = Q.written(t)
+    i = items(t, s)
     axis = M.issue_map_pair(M.axis_patterns(i), i, t.members)
-    return M.issue_map_outlets(axis, i, t.members, M.source_dominance(i, Q.genres(t), t.members))
+    return M.issue_map_outlets(axis, i, t.members, M.source_dominance(i, Q.genres(t, s), t.members))
 
 
 @query("spectrum", f"""
@@ -365,11 +367,12 @@ def of_hundreds(name):
             UNION ALL SELECT issue_id, CASE WHEN role = 'affected_person' THEN 2 ELSE 3 END, 'source-gap-' || role FROM g UNION ALL SELECT issue_id, 3 + {DORDER}, 'context-gap-' || dimension FROM c)
     SELECT issue_id, CAST(priority AS BIGINT) AS priority, question_id, row_number() OVER (PARTITION BY issue_id ORDER BY priority, question_id) AS position FROM q QUALIFY position <= 3""")
 def _(t):
-    raw = raw_items(t)
+    sentences = Q.written(t)
+    raw = raw_items(t, sentences)
     m = t.members.withColumn("issue_id", F.expr("article_id div 100"))
     i, s = M.with_issue(raw, m), M.with_issue(P.dimension_status(t.articles, raw), m)
     axis = M.issue_map_pair(M.axis_patterns(i), i, m)
-    return BIG(M.reader_questions(M.narratives(i, m), axis, M.source_role_lens(M.with_issue(Q.mentions(t), m), m), s), "priority", "position")
+    return BIG(M.reader_questions(M.narratives(i, m), axis, M.source_role_lens(M.with_issue(cut_lineage(Q.mentions(t, sentences)), m), m), s), "priority", "position")
 
 
 @query("camps", """
@@ -424,6 +427,7 @@ def _(t):
     SELECT b.*, d.dimension AS divergence_dimension, c.variant_key AS common_variant, s.attributed_share, s.detected AS source_dominated, x.axis_strength FROM b LEFT JOIN fx_divergence d ON d.issue_id = b.issue_id LEFT JOIN fx_common c ON c.issue_id = b.issue_id
       LEFT JOIN fx_dominance s ON s.issue_id = b.issue_id LEFT JOIN fx_axis x ON x.issue_id = b.issue_id""")
 def _(t):
-    i, s = both(t)
+    sentences = Q.written(t)
+    i, s = both(t, sentences)
     p = M.axis_patterns(i)
-    return M.comparison_summary(t.members, M.divergence_pair(p, M.axis_observation_counts(s)), M.common_ground(p, t.members), M.source_dominance(i, Q.genres(t), t.members), M.issue_map_pair(p, i, t.members))
+    return M.comparison_summary(t.members, M.divergence_pair(p, M.axis_observation_counts(s)), M.common_ground(p, t.members), M.source_dominance(i, Q.genres(t, sentences), t.members), M.issue_map_pair(p, i, t.members))

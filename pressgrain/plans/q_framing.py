@@ -9,6 +9,7 @@ from pressgrain.lexicons.frames import DIMENSIONS
 from pressgrain.operators import framing as P, textops as T
 from pressgrain.plans.fixtures import VIEWS
 from pressgrain.plans.registry import query
+from pressgrain.session import cut_lineage
 
 RULES = (
     ("problem_definition", "p_the", "the and.{0,10}(?:in|on)"),
@@ -73,28 +74,37 @@ VIEWS["fx_descriptors"] = "WITH m AS (" + " UNION ALL ".join(
     FROM m JOIN (SELECT article_id, count(*) AS n FROM fx_fsent GROUP BY 1) t ON t.article_id = m.article_id GROUP BY m.article_id, kind, code"""
 
 
+def marked(plain):
+    return plain.withColumn("text", F.replace("text", F.lit(" the "), F.lit(" “the and” ")))
+
+
 def sentences(t):
-    return T.segment_sentences(t.articles).withColumn("text", F.replace("text", F.lit(" the "), F.lit(" “the and” ")))
+    return marked(T.segment_sentences(t.articles))
+
+
+def written(t):
+    """Sentences that are read several times."""
+    return cut_lineage(sentences(t))
 
 
 def speaker(text):
     return P.speaker_extract(text, (), SPEAKER, "zzzzzzz", (), clean=False)
 
 
-def voiced(t):
-    return P.voiced_matches(sentences(t), RULES, speaker, REPORTING, ATTRIBUTION, ROLES)
+def voiced(t, s=None):
+    return P.voiced_matches(s or sentences(t), RULES, speaker, REPORTING, ATTRIBUTION, ROLES)
 
 
-def items(t):
-    return P.frame_items(voiced(t))
+def items(t, s=None):
+    return P.frame_items(voiced(t, s))
 
 
-def mentions(t):
-    return P.source_mentions(sentences(t), speaker, REPORTING, ATTRIBUTION, ROLES)
+def mentions(t, s=None):
+    return P.source_mentions(s or sentences(t), speaker, REPORTING, ATTRIBUTION, ROLES)
 
 
-def descriptors(t):
-    return P.descriptor_signals(sentences(t), GENERIC, POLICY)
+def descriptors(t, s=None):
+    return P.descriptor_signals(s or sentences(t), GENERIC, POLICY)
 
 
 BIG = lambda df, *cols: df.withColumns({c: F.col(c).cast("bigint") for c in cols})
@@ -172,8 +182,8 @@ VIEWS["fx_genre"] = rf"""
       WHEN regexp_matches(h, '^To ') THEN 'fact_check' WHEN regexp_matches(h, 'tion$|[0-9]') THEN 'analysis_explainer' ELSE 'straight_news' END AS genre FROM h LEFT JOIN l ON l.article_id = h.article_id"""
 
 
-def genres(t):
-    return P.genre(t.articles, sentences(t), GENRES, LEAD)
+def genres(t, s=None):
+    return P.genre(t.articles, s or sentences(t), GENRES, LEAD)
 
 
 @query("genre", "SELECT * FROM fx_genre")
@@ -204,7 +214,7 @@ def _(t):
     UNION ALL SELECT article_id, 'bad_family' FROM i WHERE f = 'Bad Family'
     UNION ALL SELECT s.article_id, 'bad_status' FROM fx_status s LEFT JOIN n ON n.article_id = s.article_id AND n.dimension = s.dimension WHERE s.status <> CASE WHEN n.n IS NULL THEN 'not_observed' WHEN n.n > 0 THEN 'observed' ELSE 'source_attributed' END""")
 def _(t):
-    good = items(t)
+    good = cut_lineage(items(t))
     broken = good.withColumns({
         "sentence_sha256": F.expr("case when article_id % 40 = 0 then 'short' else sentence_sha256 end"), "paragraph": F.expr("case when article_id % 41 = 0 then 0 else paragraph end"),
         "voice_kind": F.expr("case when article_id % 43 = 0 then 'robot' else voice_kind end"), "frame_family": F.expr("case when article_id % 47 = 0 then 'Bad Family' else code end")})
@@ -214,8 +224,9 @@ def _(t):
 @query("public_evidence", """
     SELECT DISTINCT article_id, paragraph, sentence, sentence_sha256 FROM fx_items UNION SELECT DISTINCT article_id, paragraph, sentence, sha256('evidence:v1:' || article_id || ':' || text) FROM fx_fsent WHERE regexp_matches(text, 'thor|ther')""")
 def _(t):
-    other = T.with_fingerprint(sentences(t).filter(F.col("text").rlike("thor|ther")))
-    return P.public_evidence(items(t), other)
+    s = written(t)
+    other = T.with_fingerprint(s.filter(F.col("text").rlike("thor|ther")))
+    return P.public_evidence(items(t, s), other)
 
 
 @query("evidence_bind", """
@@ -225,8 +236,9 @@ def _(t):
     from pressgrain.operators.joins import evidence_bind
 
     # every third citation names another text than the one at its place
-    cited = items(t).select("article_id", "paragraph", "sentence", F.when(F.col("sentence") % 3 == 0, F.sha2("sentence_sha256", 256)).otherwise(F.col("sentence_sha256")).alias("sentence_sha256"))
-    return evidence_bind(cited, T.with_fingerprint(sentences(t)), t.articles)
+    s = written(t)
+    cited = items(t, s).select("article_id", "paragraph", "sentence", F.when(F.col("sentence") % 3 == 0, F.sha2("sentence_sha256", 256)).otherwise(F.col("sentence_sha256")).alias("sentence_sha256"))
+    return evidence_bind(cited, T.with_fingerprint(s), t.articles)
 
 
 @query("actor_paraphrase_join", "SELECT DISTINCT v.article_id, v.paragraph, v.sentence, v.speaker, i.code FROM (SELECT DISTINCT article_id, paragraph, sentence, speaker FROM fx_voiced WHERE speaker IS NOT NULL) v JOIN fx_items i ON i.article_id = v.article_id AND i.paragraph = v.paragraph AND i.sentence = v.sentence")
@@ -252,6 +264,8 @@ def _(t):
     SELECT count(DISTINCT article_id) AS profiles, count(*) FILTER (status = 'observed') AS observed_dimensions, (SELECT count(*) FROM fx_items) AS items, (SELECT count(DISTINCT article_id) FROM fx_mentions) AS profiles_with_sources,
       (SELECT count(DISTINCT article_id) FROM fx_descriptors) AS profiles_with_descriptors, (SELECT count(DISTINCT article_id) FROM fx_terms) AS profiles_with_terms, CAST(0 AS BIGINT) AS invalid_evidence FROM fx_status""")
 def _(t):
-    i = items(t)
-    terms = T.morph_terms(T.morph_tokens(T.segment_sentences(t.articles)))
-    return P.profile_audit(P.dimension_status(t.articles, i), i, mentions(t), descriptors(t), terms)
+    plain = cut_lineage(T.segment_sentences(t.articles))
+    s = marked(plain)
+    i = cut_lineage(items(t, s))
+    # articles with terms are those with content tokens; nothing is counted by term
+    return P.profile_audit(P.dimension_status(t.articles, i), i, mentions(t, s), descriptors(t, s), T.content_tokens(T.morph_tokens(plain)))
