@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressgrain.functions import columns as C, text as X
 from pressgrain.lexicons import frames as R
 from pressgrain.operators.common import top_per_key
-from pressgrain.operators.textops import content_lemma_set
+from pressgrain.operators.textops import content_lemmas_among
 
 Analyzer = Callable[[DataFrame], DataFrame]
 
@@ -118,7 +118,9 @@ def source_mentions(sentences: DataFrame, speaker: Callable[[Column], Column] =
 
 def descriptor_signals(sentences: DataFrame, generic: Sequence = R.GENERIC_FRAMES, policy: Sequence = R.POLICY_DESCRIPTORS, minimum_terms: int = 2) -> DataFrame:
     """Sentences carrying each descriptor: enough distinct lemmas or a strong pattern; with its share of sentences."""
-    s = content_lemma_set(sentences, ())
+    # of the lemmas of a sentence only those that a rule names are kept
+    named = sorted({t for _, terms, _ in policy for t in terms})
+    s = sentences.withColumn("lemmas", content_lemmas_among(F.col("text"), named)) if named else sentences
     text = F.col("text")
     tests = [F.when(text.rlike(p), F.struct(F.lit("generic").alias("kind"), F.lit(c).alias("code"))) for c, p in generic]
     for code, terms, strong in policy:

@@ -267,5 +267,5 @@ def _(t):
     plain = cut_lineage(T.segment_sentences(t.articles))
     s = marked(plain)
     i = cut_lineage(items(t, s))
-    # articles with terms are those with content tokens; nothing is counted by term
-    return P.profile_audit(P.dimension_status(t.articles, i), i, mentions(t, s), descriptors(t, s), T.content_tokens(T.morph_tokens(plain)))
+    # articles with terms are those with a content token; nothing is counted by term
+    return P.profile_audit(P.dimension_status(t.articles, i), i, mentions(t, s), descriptors(t, s), T.with_content(plain))

@@ -64,3 +64,12 @@ def test_cheaper_steps_give_the_same_texts(spark):
     units = F.regexp_extract_all(clean, F.lit(r"[가-힣]+|[a-z]+(?:[.-][a-z]+)*|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
     same = df.select("t", X.normalize_text(t).eqNullSafe(out).alias("n"), X.sentences_of(t).eqNullSafe(cut).alias("s"), X.units_of(t).eqNullSafe(units).alias("u"))
     assert same.filter("not (n and s and u)").collect() == []
+
+
+def test_content_is_looked_for_no_further_than_needed(spark):
+    s = T.segment_sentences(spark.createDataFrame([(1, "12 3. a b. 7 word more"), (2, "1 2 3."), (3, None), (4, "a, b"), (5, "정부는 갔다")], "article_id bigint, body_text string"))
+    want = {r[0] for r in T.content_tokens(T.morph_tokens(s)).select("article_id").distinct().collect()}
+    got = T.with_content(s)
+    assert {r["article_id"] for r in got.collect()} == want and "Generate posexplode(transform" not in plan(got)
+    lemmas = T.content_lemma_set(s, ()).select("text", F.array_sort(F.array_intersect("lemmas", F.array(F.lit("word"), F.lit("more")))).alias("x"))
+    assert lemmas.filter(F.col("x") != F.array_sort(T.content_lemmas_among(F.col("text"), ("word", "more")))).collect() == []
