@@ -7,7 +7,8 @@ Model. Order 2 (the last two ids, hashed) and order 1 (the last id) each predict
 last, with a confidence of 0 to 3 from how often the prediction held. Order 0 predicts every id by its adaptive
 frequency. The three are mixed with weights learned as coding goes on, one set of weights for each pair of confidences
 and for whether the predictions agree. A coded id narrows the range to the share of the first order that predicts it,
-and within order 0 to the share of its frequency.
+and within order 0 to the share of its frequency. Predictions are learned at every step, weights and frequencies at the steps
+of ``_counted``. All shares are parts of a power of two, and order 0 has a table of which id a part belongs to.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"PGT1"
+MAGIC = b"PGT2"
 HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, alphabet, bytes after the head, crc32 of those bytes
-LANES, TABLE_BITS, FLAG_BITS = 4096, 18, 12
+LANES, TABLE_BITS, FLAG_BITS, TOTAL_BITS = 8192, 18, 12, 20
 FLAGS = 1 << FLAG_BITS
 GAIN, LIMIT = 24, 1 << 22
 U = np.uint64
@@ -28,111 +29,125 @@ LEAST = U(1 << 40)
 TOP = U(48)
 
 
+def _counted(step: int) -> bool:
+    return step % 32 == 0 or step in (1, 2, 4, 8, 16)
+
+
 class _Model:
-    def __init__(self, alphabet: int, lanes: int):
-        self.alphabet = alphabet
-        self.guess1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int8)
-        self.guess2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int8)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    def __init__(self, alphabet: int, lanes: int, finds: bool):
+        """``finds``: whether ids will be sought by their parts, which only the decoder does."""
+        self.alphabet, self.finds = alphabet, finds
+        self.bits = max(TOTAL_BITS, alphabet.bit_length() + 1)
+        # guesses of order 2, then those of order 1, as id and confidence in one number
+        self.kind = np.uint32 if alphabet < 1 << 30 else np.uint64
+        self.guess = np.zeros((1 << TABLE_BITS) + alphabet, self.kind)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.place = np.empty((2, lanes), np.int64)
         self.hits = np.ones((32, 3), np.float64)
         self.hits[:, 2] = 4
         self.counts = np.ones(alphabet, np.int64)
-        self.waiting: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.outcomes: list[np.ndarray] = []
         self.step = 0
-        self._frequencies()
-
-    def _frequencies(self) -> None:
-        self.cumulative = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.uint64)
-        self.total = self.cumulative[-1]
+        self._shares()
+
+    def _shares(self) -> None:
+        """Parts of FLAGS for each context and flag (order 2, order 1, order 0), and parts of 2**bits for each id."""
+        size = np.empty((32, 3), np.uint64)
+        size[:, :2] = (self.hits[:, :2] * ((FLAGS - 3) / self.hits.sum(axis=1))[:, None]).astype(np.uint64) + U(1)
+        size[:, 2] = U(FLAGS) - size[:, 0] - size[:, 1]
+        first = np.cumsum(size, axis=1) - size
+        self.size, self.first = size.ravel(), first.ravel()
+        self.until2, self.until1 = size[:, 0].copy(), first[:, 2].copy()
+        total, whole = self.counts.sum(), 1 << self.bits
+        # one part at least for each id; what is left or missing then is the most frequent id's
+        parts = np.maximum(self.counts * (whole - np.count_nonzero(self.counts * whole < total)) // total, 1)
+        if parts.sum() - whole > parts.max() // 2:
+            parts = 1 + self.counts * (whole - self.alphabet) // total
+        parts[parts.argmax()] += whole - parts.sum()
+        self.start, self.parts = (np.cumsum(parts) - parts).astype(np.uint32), parts.astype(np.uint32)
+        if self.finds:
+            self.owner = np.repeat(np.arange(self.alphabet, dtype=np.uint16 if self.alphabet <= 1 << 16 else self.kind), parts)
 
     def predict(self) -> None:
-        """Guesses of both orders, and how many of FLAGS parts go to order 2 and to order 1."""
-        self.slot = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA6B) >> 7) & ((1 << TABLE_BITS) - 1)
-        self.p2, self.p1 = self.guess2[self.slot], self.guess1[self.last]
-        self.c2, self.c1 = self.sure2[self.slot], self.sure1[self.last]
-        self.context = self.c2.astype(np.int64) * 8 + self.c1 * 2 + (self.p2 == self.p1)
-        share = (self.hits[:, :2] * ((FLAGS - 3) / self.hits.sum(axis=1))[:, None]).astype(np.uint64) + U(1)
-        self.parts2, self.parts1 = share[self.context, 0], share[self.context, 1]
-
-    def learn(self, ids: np.ndarray, flag: np.ndarray) -> None:
-        self.hits += np.bincount(self.context * 3 + flag, minlength=96).reshape(32, 3)
-        if self.hits.sum() > 1 << 17:
-            self.hits = self.hits / 2 + 0.5
-        for guess, sure, slot, p, c in ((self.guess2, self.sure2, self.slot, self.p2, self.c2), (self.guess1, self.sure1, self.last, self.p1, self.c1)):
-            right = p == ids
-            guess[slot] = np.where(right | (c > 1), p, ids)
-            sure[slot] = np.where(right, np.minimum(c + 1, 3), np.where(c > 1, c - 2, 0))
-        self.before, self.last = self.last, ids
-        self.waiting.append(ids)
+        """Guesses of both orders, and the context of their weights."""
+        self.place[0] = (self.before * np.uint32(0x9E3779B1) + self.last * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
+        np.add(self.last, 1 << TABLE_BITS, out=self.place[1], casting="unsafe", dtype=np.int64)
+        self.held = self.guess.take(self.place, mode="clip")
+        self.sure = self.held & self.kind(3)
+        self.p = self.held >> self.kind(2)
+        self.context = (self.sure[0] * self.kind(8) + self.sure[1] * self.kind(2) + (self.p[0] == self.p[1])).astype(np.int64)
+
+    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+        """``outcome`` is the context times 3 and the flag."""
+        sure = self.sure
+        other = np.where(sure > 1, self.held - self.kind(2), ids << self.kind(2))
+        self.guess[self.place] = np.where(self.p == ids, self.held + (sure < 3), other)
+        self.before, self.last = self.last, ids.astype(np.uint32, copy=False)
+        self.ids.append(ids)
+        self.outcomes.append(outcome)
         self.step += 1
-        if self.step in (1, 2, 4) or self.step % 8 == 0:
-            self.counts += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.alphabet)
-            self.waiting = []
+        if _counted(self.step):
+            self.hits += np.bincount(np.concatenate(self.outcomes), minlength=96).reshape(32, 3)
+            if self.hits.sum() > 1 << 17:
+                self.hits = self.hits / 2 + 0.5
+            self.counts += GAIN * np.bincount(np.concatenate(self.ids), minlength=self.alphabet)
+            self.ids, self.outcomes = [], []
             if self.counts.sum() > LIMIT:
                 self.counts = (self.counts + 1) >> 1
-            self._frequencies()
-
-
-def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that can put out their upper 16 bits, or must since the range is small."""
-    return np.flatnonzero(((low ^ (low + span - U(1))) >> TOP == 0) | (span < LEAST))
-
-
-def _narrow(low: np.ndarray, span: np.ndarray) -> None:
-    """Keep the range within one run of equal upper bits where it has become small without settling."""
-    small = ((low ^ (low + span - U(1))) >> TOP != 0) & (span < LEAST)
-    span[small] = (~low[small] + U(1)) & (LEAST - U(1))
-
-
-def _shifted(span: np.ndarray) -> np.ndarray:
-    """The range after 16 bits were put out; a whole range of 2**64 counts as one less, since 64 bits can't hold it."""
-    return np.where(span == U(1 << 48), U(0xFFFFFFFFFFFFFFFF), span << U(16))
+            self._shares()
 
 
 def _settle(low: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Put out 16 bits of every lane that can or must, until none is left: (lanes, their bits), a few rounds at most."""
-    while len(go := _unsettled(low, span)):
+    """Put out 16 bits of every lane whose range has become small, until none is left: (lanes, their bits), a few rounds at most.
+
+    A small range is kept within one run of equal upper bits first.
+    """
+    go = np.flatnonzero(span < LEAST)
+    while len(go):
         a, b = low[go], span[go]
-        _narrow(a, b)
-        low[go], span[go] = a << U(16), _shifted(b)
-        yield go, a >> TOP
+        across = np.flatnonzero((a ^ (a + b - U(1))) >> TOP)
+        if len(across):
+            b[across] = (~a[across] + U(1)) & (LEAST - U(1))
+        bits, b = a >> TOP, b << U(16)
+        low[go], span[go] = a << U(16), b
+        yield go, bits
+        go = go[b < LEAST]
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     """One self-contained block for ``ids`` (any unsigned integers below 2**31)."""
     n = len(ids)
-    lanes = min(LANES, max(1, -(-n // 64)))
+    lanes = min(LANES, max(1, -(-n // 128)))
     steps = -(-n // lanes)
     alphabet = int(ids.max()) + 1 if n else 1
-    grid = np.zeros(lanes * steps, np.int64)
+    model = _Model(alphabet, lanes, False)
+    grid = np.zeros(lanes * steps, model.kind)
     grid[:n] = ids
     columns = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(alphabet, lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out_lane, out_word = [], []
     with np.errstate(over="ignore"):
         for t in range(steps):
             now = columns[t]
             model.predict()
-            flag = np.where(now == model.p2, 0, np.where(now == model.p1, 1, 2))
+            flag = np.where(now == model.p[0], 0, np.where(now == model.p[1], 1, 2))
+            outcome = model.context * 3 + flag
             unit = span >> U(FLAG_BITS)
-            first = np.where(flag == 0, U(0), np.where(flag == 1, model.parts2, model.parts2 + model.parts1))
-            size = np.where(flag == 0, model.parts2, np.where(flag == 1, model.parts1, U(FLAGS) - model.parts2 - model.parts1))
-            low += unit * first
-            span = unit * size
+            low += unit * model.first.take(outcome)
+            span = unit * model.size.take(outcome)
             miss = np.flatnonzero(flag == 2)
             if len(miss):
                 sought = now[miss]
-                unit = span[miss] // model.total
-                start = model.cumulative[sought]
-                low[miss] += unit * start
-                span[miss] = unit * (model.cumulative[sought + 1] - start)
+                unit = span[miss] >> U(model.bits)
+                low[miss] += unit * model.start.take(sought)
+                span[miss] = unit * model.parts.take(sought)
             for go, bits in _settle(low, span):
-                out_lane.append(go)
+                out_lane.append(go.astype(np.uint16))
                 out_word.append(bits.astype("<u2"))
-            model.learn(now, flag)
+            model.learn(now, outcome)
         last = (low + (LEAST - U(1))) & ~(LEAST - U(1))
-        every = np.arange(lanes)
+        every = np.arange(lanes, dtype=np.uint16)
         for shift in (48, 32):
             out_lane.append(every)
             out_word.append(((last >> U(shift)) & U(0xFFFF)).astype("<u2"))
@@ -154,39 +169,34 @@ def decode_block(block: bytes) -> np.ndarray:
     at = ends - lengths
 
     def take(which: np.ndarray) -> np.ndarray:
-        got = np.where(at[which] < ends[which], words[np.minimum(at[which], len(words) - 1)], U(0))
-        at[which] += 1
-        return got
+        here = at[which]
+        at[which] = here + 1
+        return np.where(here < ends[which], words.take(here, mode="clip"), U(0))
 
-    model = _Model(alphabet, lanes)
+    model = _Model(alphabet, lanes, True)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code, every = np.zeros(lanes, np.uint64), np.arange(lanes)
-    columns = np.empty((steps, lanes), np.int64)
+    columns = np.empty((steps, lanes), model.kind)
     with np.errstate(over="ignore"):
         for _ in range(4):
             code = (code << U(16)) | take(every)
         for t in range(steps):
             model.predict()
-            unit = span >> U(FLAG_BITS)
-            part = np.minimum((code - low) // unit, U(FLAGS - 1))
-            both = model.parts2 + model.parts1
-            flag = (part >= model.parts2).astype(np.int64) + (part >= both)
-            first = np.where(flag == 0, U(0), np.where(flag == 1, model.parts2, both))
-            size = np.where(flag == 0, model.parts2, np.where(flag == 1, model.parts1, U(FLAGS) - both))
-            low += unit * first
-            span = unit * size
-            now = np.where(flag == 0, model.p2, model.p1)
+            unit, above = span >> U(FLAG_BITS), code - low
+            flag = (above >= unit * model.until2.take(model.context)).astype(np.int64) + (above >= unit * model.until1.take(model.context))
+            outcome = model.context * 3 + flag
+            low += unit * model.first.take(outcome)
+            span = unit * model.size.take(outcome)
+            now = np.where(flag == 0, model.p[0], model.p[1])
             miss = np.flatnonzero(flag == 2)
             if len(miss):
-                unit = span[miss] // model.total
-                where = np.minimum((code[miss] - low[miss]) // unit, model.total - U(1))
-                found = np.searchsorted(model.cumulative, where, side="right") - 1
-                start = model.cumulative[found]
-                low[miss] += unit * start
-                span[miss] = unit * (model.cumulative[found + 1] - start)
+                unit, under = span[miss] >> U(model.bits), low[miss]
+                found = model.owner.take(((code[miss] - under) // unit).astype(np.int64), mode="clip")
+                low[miss] = under + unit * model.start.take(found)
+                span[miss] = unit * model.parts.take(found)
                 now[miss] = found
             for go, _ in _settle(low, span):
                 code[go] = (code[go] << U(16)) | take(go)
-            model.learn(now, flag)
+            model.learn(now, outcome)
             columns[t] = now
     return columns.T.reshape(-1)[:n].astype(np.uint32)

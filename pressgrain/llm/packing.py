@@ -46,7 +46,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text", kept_pieces: int = 800_000) -> DataFrame:
     """Pieces of at most ``capacity`` ids, with checksum and rank.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, task, rank. ``rank`` counts the pieces of the same length
@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in text_slices(batches, 1):
-            ids, counts = closed(*encoder(tokenizer, kind).encode(batch.column(1)), end_id)
+            ids, counts = closed(*encoder(tokenizer, kind, kept_pieces).encode(batch.column(1)), end_id)
             pieces = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), pieces)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -79,7 +79,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "lead", end_id: int = 1, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "lead", end_id: int = 1, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", kept_pieces: int = 800_000) -> DataFrame:
     """Sequence and offset of every piece of every document.
 
     A document is its ids and ``end_id``; it is cut every ``capacity`` ids. Pieces are counted by length, packed by
@@ -88,9 +88,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "lead", end_id: int = 1, c
     histogram (at most ``capacity`` rows) comes to the driver and only the places made from it go to the tasks.
 
     Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows; further
-    columns are ignored. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    columns are ignored. ``kept_pieces`` bounds what a Python worker remembers of the texts. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
-    pieces = cut_lineage(pieces_of(docs, tokenizer, kind, end_id, capacity, doc_id, text))
+    pieces = cut_lineage(pieces_of(docs, tokenizer, kind, end_id, capacity, doc_id, text, kept_pieces))
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

@@ -17,7 +17,9 @@ from pressgrain.llm.tokens import closed, encoder, text_slices
 from pressgrain.session import cut_lineage
 
 #: A block is closed once it holds this many ids; it always holds whole documents.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
+#: Pieces of texts that a worker remembers, with their ids; 1,200,000 of them take some 200 MB.
+KEPT_PIECES = 1_600_000
 _INDEX = "<II"  # documents, crc32 of the index
 
 
@@ -72,7 +74,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, f
             pending, entries, size = [], [], 0
 
         for batch in text_slices(batches, 1):
-            ids, counts = closed(*encoder(tokenizer, kind).encode(batch.column(1)), end_id)
+            ids, counts = closed(*encoder(tokenizer, kind, KEPT_PIECES).encode(batch.column(1)), end_id)
             at = 0
             for key, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 pending.append(ids[at : at + n])
