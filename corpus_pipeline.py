@@ -40,7 +40,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the Python workers serve all stages: half of the usual pieces are kept, so that the later ones find room
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_pieces=400_000)
 
 
 STAGES = [

@@ -43,3 +43,13 @@ def test_pieces_of_letters_are_encoded_without_separators(monkeypatch):
     ids, counts = own.encode(pa.array(["Wonderful unheardofword, x9 don't zzqxkj"]))
     assert any("unheardofword" in t and tokens._BETWEEN not in t for t in seen)
     assert ids.tolist() == plain(["Wonderful unheardofword, x9 don't zzqxkj"])[0].tolist() and counts.tolist() == [len(ids)]
+
+
+def test_pipeline_bounds_the_pieces_its_workers_keep(monkeypatch):
+    """The Python workers stay for the later stages, so the packing of the pipeline may not fill them."""
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **more: asked.update(more))
+    corpus_pipeline.sequences(None, None, "")
+    assert asked["kept_pieces"] <= 400_000
