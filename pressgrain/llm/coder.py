@@ -7,7 +7,7 @@ Model. Order 2 (the last two ids, hashed) and order 1 (the last id) each predict
 last, with a confidence of 0 to 3 from how often the prediction held. Order 0 predicts every id by its adaptive
 frequency. The three are mixed with weights learned as coding goes on, one set of weights for each pair of confidences
 and for whether the predictions agree. A coded id narrows the range to the share of the first order that predicts it,
-and within order 0 to the share of its frequency. Predictions are learned at every step, weights and frequencies at the steps
+and then to its share within that order, which is its frequency in order 0 and the whole in the others. Predictions are learned at every step, weights and frequencies at the steps
 of ``_counted``. All shares are parts of a power of two, and order 0 has a table of which id a part belongs to.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"PGT2"
+MAGIC = b"PGT3"
 HEAD = "<4sIIIIII"  # magic, ids, lanes, steps, alphabet, bytes after the head, crc32 of those bytes
 LANES, TABLE_BITS, FLAG_BITS, TOTAL_BITS = 8192, 18, 12, 20
 FLAGS = 1 << FLAG_BITS
@@ -65,7 +65,10 @@ class _Model:
         if parts.sum() - whole > parts.max() // 2:
             parts = 1 + self.counts * (whole - self.alphabet) // total
         parts[parts.argmax()] += whole - parts.sum()
-        self.start, self.parts = (np.cumsum(parts) - parts).astype(np.uint32), parts.astype(np.uint32)
+        # behind the ids stands what an order that predicts one id gives it
+        self.starts, self.widths = np.zeros(self.alphabet + 1, np.uint64), np.full(self.alphabet + 1, whole, np.uint64)
+        self.start, self.parts = self.starts[:-1], self.widths[:-1]
+        self.start[:], self.parts[:] = np.cumsum(parts) - parts, parts
         if self.finds:
             self.owner = np.repeat(np.arange(self.alphabet, dtype=np.uint16 if self.alphabet <= 1 << 16 else self.kind), parts)
 
@@ -131,17 +134,18 @@ def encode_block(ids: np.ndarray) -> bytes:
         for t in range(steps):
             now = columns[t]
             model.predict()
-            flag = np.where(now == model.p[0], 0, np.where(now == model.p[1], 1, 2))
-            outcome = model.context * 3 + flag
+            miss2, miss1 = now != model.p
+            miss = miss2 & miss1
+            outcome = model.context * 3
+            outcome += miss2
+            outcome += miss
             unit = span >> U(FLAG_BITS)
             low += unit * model.first.take(outcome)
-            span = unit * model.size.take(outcome)
-            miss = np.flatnonzero(flag == 2)
-            if len(miss):
-                sought = now[miss]
-                unit = span[miss] >> U(model.bits)
-                low[miss] += unit * model.start.take(sought)
-                span[miss] = unit * model.parts.take(sought)
+            unit *= model.size.take(outcome)
+            unit >>= U(model.bits)
+            sought = np.where(miss, now, model.alphabet)
+            low += unit * model.starts.take(sought)
+            span = unit * model.widths.take(sought)
             for go, bits in _settle(low, span):
                 out_lane.append(go.astype(np.uint16))
                 out_word.append(bits.astype("<u2"))
@@ -183,18 +187,20 @@ def decode_block(block: bytes) -> np.ndarray:
         for t in range(steps):
             model.predict()
             unit, above = span >> U(FLAG_BITS), code - low
-            flag = (above >= unit * model.until2.take(model.context)).astype(np.int64) + (above >= unit * model.until1.take(model.context))
-            outcome = model.context * 3 + flag
-            low += unit * model.first.take(outcome)
-            span = unit * model.size.take(outcome)
-            now = np.where(flag == 0, model.p[0], model.p[1])
-            miss = np.flatnonzero(flag == 2)
-            if len(miss):
-                unit, under = span[miss] >> U(model.bits), low[miss]
-                found = model.owner.take(((code[miss] - under) // unit).astype(np.int64), mode="clip")
-                low[miss] = under + unit * model.start.take(found)
-                span[miss] = unit * model.parts.take(found)
-                now[miss] = found
+            miss2, miss = above >= unit * model.until2.take(model.context), above >= unit * model.until1.take(model.context)
+            outcome = model.context * 3
+            outcome += miss2
+            outcome += miss
+            skip = unit * model.first.take(outcome)
+            unit *= model.size.take(outcome)
+            unit >>= U(model.bits)
+            above -= skip
+            found = model.owner.take((above // unit).view(np.int64), mode="clip")
+            now = np.where(miss, found, np.where(miss2, model.p[1], model.p[0]))
+            sought = np.where(miss, found, model.alphabet)
+            skip += unit * model.starts.take(sought)
+            low += skip
+            span = unit * model.widths.take(sought)
             for go, _ in _settle(low, span):
                 code[go] = (code[go] << U(16)) | take(go)
             model.learn(now, outcome)

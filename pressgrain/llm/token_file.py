@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str, end_id: int, f
             position, first = position + len(raw), first + size
             pending, entries, size = [], [], 0
 
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, 1 << 23):
             ids, counts = closed(*encoder(tokenizer, kind, KEPT_PIECES).encode(batch.column(1)), end_id)
             at = 0
             for key, n in zip(batch.column(0).to_pylist(), counts.tolist()):

@@ -53,3 +53,27 @@ def test_pipeline_bounds_the_pieces_its_workers_keep(monkeypatch):
     monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **more: asked.update(more))
     corpus_pipeline.sequences(None, None, "")
     assert asked["kept_pieces"] <= 400_000
+
+
+def test_words_of_two_cases_are_one_piece_and_bypass_the_normalizer(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = tokens.PieceEncoder(path, "drop"), Tokenizer.from_file(path)
+    texts = ["Étrange étrange ÉTRANGE$$$ unheardof UnheardOf%%%", None, ".b", "H\u0331 I\u0307x \u0130i <|STARTOFTEXT|> \u1e9e", "\u0250. \u024f. \u00d7! \u00aa?", "", " a  b\n"]
+    ids, counts = own.encode(pa.array(texts))
+    wanted = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted]
+    assert {"étrange", "unheardof", "$$$"} <= set(own.known) and not {"Étrange", "UnheardOf", "ÉTRANGE$$$"} & set(own.known)
+    monkeypatch.setattr(own, "tokenizer", None)
+    assert own.encode(pa.array(["Quiteunseen ÇAUSSI"]))[1].tolist() == [len(whole.encode("quiteunseen çaussi", add_special_tokens=False).ids)]
+
+
+def test_letters_and_marks_are_the_same_as_in_the_patterns():
+    import re
+
+    letter = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), tokens._LETTER))
+    assert [i for i in range(len(tokens._LETTERS)) if bool(letter.match(chr(i))) != tokens._LETTERS[i]] == []
+    marks = re.compile(tokens._LATIN[tokens._LATIN.rindex("(") :])
+    assert [i for i in range(128) if bool(marks.match(chr(i))) != tokens._MARKS[i]] == []
