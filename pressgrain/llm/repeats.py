@@ -59,15 +59,14 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """``best`` of every run of ``width`` values: of each pair of neighbouring blocks, the end of one and the start of the next."""
-    n = len(x) - width + 1
-    padded = np.concatenate([x, np.full(-len(x) % width, x[-1], x.dtype)]).reshape(-1, width)
-    heads = best.accumulate(padded, axis=1).reshape(-1)
-    tails = best.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return best(tails[:n], heads[width - 1 : width - 1 + n])
+    """``best`` of every run of ``width`` values: runs of doubled width, the last two of which overlap."""
+    have = 1
+    while 2 * have <= width:
+        x, have = best(x[:-have], x[have:]), 2 * have
+    return best(x[: len(x) - width + have], x[width - have :]) if have < width else x
 
 
-def sampled_grams(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
+def sampled_grams(data: np.ndarray, bounds: np.ndarray, length: int, gram: int, block: int = 1 << 18) -> tuple[np.ndarray, ...]:
     """(places, hashes, first starts, last starts) of the grams that are least in some string of ``length`` bytes within one text.
 
     A string's least gram is the one of smallest hash, of equals the first. Strings with the same one start side by side,
@@ -140,11 +139,17 @@ class ShardTransform:
         text[ends] = np.arange(n)  # end marks differ, so that no comparison passes them
         before = np.zeros(len(text), np.uint16)
         before[1:] = np.where(inner[:-1], text[:-1] - n + 1, 0)
+        # the first ranks are of as many symbols as a word holds
+        bits = (n + 255).bit_length()
         rank, step = text, 1
+        while step < 63 // bits:
+            rank = rank << bits | np.concatenate([text[step:], np.zeros(step, np.int64)])[: len(text)]
+            step += 1
         while True:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
+            held = rank[order]
             fresh = np.empty_like(rank)
-            fresh[order] = np.cumsum(np.concatenate([[0], rank[order][1:] != rank[order][:-1]]))
+            fresh[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
             if fresh[order[-1]] == len(text) - 1:
                 return cls(before[order], n)
             ahead = np.concatenate([fresh[step:], np.zeros(step, np.int64)])[: len(text)]
@@ -163,23 +168,24 @@ def merged_blocks(shards: list[ShardTransform], length: int) -> tuple[np.ndarray
     bases = np.cumsum([0, *(len(s.symbols) for s in shards)])
     symbols = np.concatenate([s.symbols for s in shards])
     step = np.empty(len(symbols), np.int32)
-    marks = np.concatenate([base + np.arange(s.strings) for base, s in zip(bases, shards)]).astype(np.int32)
+    marks = np.concatenate([base + np.arange(s.strings) for base, s in zip(bases, shards)])
     for base, s in zip(bases, shards):
         by_symbol = np.argsort(s.symbols, kind="stable")
         step[base + by_symbol] = base + np.arange(len(by_symbol))
-    order, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    order, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
     # the first row of each symbol is the same in every round
     heads = np.cumsum(np.bincount(symbols, minlength=258))[:-1]
     heads = heads[heads < len(symbols)]
     if symbols.max(initial=0) < 256:
         symbols = symbols.astype(np.uint8)  # sorts in one pass
+    parted = np.ones(len(symbols), bool)
     for _ in range(length):
-        dealt = np.argsort(symbols[order], kind="stable")[len(marks) :]
-        came = block[dealt]
-        parted = np.ones(len(symbols), bool)
-        parted[len(marks) + 1 :] = came[1:] != came[:-1]
+        dealt = np.argsort(symbols.take(order, mode="clip"), kind="stable")[len(marks) :]
+        came = block.take(dealt, mode="clip")
+        np.not_equal(came[1:], came[:-1], out=parted[len(marks) + 1 :])
         parted[heads] = True
-        order = np.concatenate([marks, step[order[dealt]]])
+        order[len(marks) :] = step.take(order.take(dealt, mode="clip"), mode="clip")
+        order[: len(marks)] = marks
         block = np.cumsum(parted, dtype=np.int32)
         if block[-1] == len(block):
             break

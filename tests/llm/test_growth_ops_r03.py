@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pressgrain.llm import coder, tokens
+from pressgrain.llm import coder, repeats, tokens
 
 
 @pytest.mark.parametrize("counts", ["even", "one", "steep"])
@@ -77,3 +77,21 @@ def test_letters_and_marks_are_the_same_as_in_the_patterns():
     assert [i for i in range(len(tokens._LETTERS)) if bool(letter.match(chr(i))) != tokens._LETTERS[i]] == []
     marks = re.compile(tokens._LATIN[tokens._LATIN.rindex("(") :])
     assert [i for i in range(128) if bool(marks.match(chr(i))) != tokens._MARKS[i]] == []
+
+
+def test_transforms_sort_first_by_as_many_symbols_as_a_word_holds(monkeypatch):
+    """op11_repeats: segments share long runs, so every doubling counts."""
+    strings = [b"abc" * 40 + bytes([65 + i]) + b"xyz" * 10 for i in range(20)]
+    ends = [(s[i:], k, s[i - 1] + 1 if i else 0) for k, s in enumerate(strings) for i in range(len(s) + 1)]
+    # end marks are smaller than bytes, and those of earlier strings smaller than later ones
+    wanted = [before for _, _, before in sorted(ends, key=lambda e: ([c + len(strings) for c in e[0]] + [e[1]]))]
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    assert repeats.ShardTransform.build(strings).symbols.tolist() == wanted
+    assert len(sorts) <= 7
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 64, 69, 100])
+def test_least_of_sliding_runs(width):
+    x = np.random.default_rng(1).integers(0, 1000, 300).astype(np.uint64)
+    assert repeats._sliding(x, width, np.minimum).tolist() == [x[i : i + width].min() for i in range(len(x) - width + 1)]
