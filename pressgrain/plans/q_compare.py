@@ -405,7 +405,7 @@ def _(t):
     SELECT DISTINCT x.claim_id, coalesce(n, 0) AS evidence, CASE WHEN contains(t, 'ther') THEN 'review_needed' WHEN n IS NULL THEN 'insufficient_evidence' ELSE 'observed' END AS status, CASE WHEN NOT contains(t, 'ther') AND n IS NOT NULL THEN left(t, 280) END AS text FROM x LEFT JOIN e ON e.claim_id = x.claim_id""")
 def _(t):
     i = raw_items(t)
-    cited = i.select("claim_id", "article_id", "paragraph", "sentence", "sentence_sha256").distinct()
+    cited = i.select("claim_id", "article_id", "paragraph", "sentence", "sentence_sha256")  # binding drops repeats
     claims = i.select("claim_id", "article_id").distinct().join(t.articles.select("article_id", F.col("title").alias("text")), "article_id").select("claim_id", "text")
     return M.bound_claims(claims, cited, cited.filter("sentence % 2 = 1"), ("ther",))
 
