@@ -7,11 +7,12 @@ list decides whether two units may be the same event, and complete-link clusters
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgrain.functions import columns as C, text as X
@@ -229,10 +230,39 @@ def compatible_edges(units: DataFrame) -> DataFrame:
     return marked.select("run", "src", "dst", "similarity", indexed.alias("indexed"))
 
 
+def _forests(edges: DataFrame) -> DataFrame:
+    """(run, src, dst): of the edges of each task, those to the smallest node of what they tie together; a node has one edge a task at most."""
+    kind, run_kind = dict(edges.dtypes)["src"], dict(edges.dtypes)["run"]
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        types: list = []
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            for run, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                a, b = (run, a), (run, b)
+                a, b = top(up.setdefault(a, a)), top(up.setdefault(b, b))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        tied = [(*x, top(x)[1]) for x in up if up[x] != x]
+        for i in range(0, len(tied), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*tied[i : i + (1 << 16)]), types, strict=True)], ["run", "src", "dst"])
+
+    return edges.select("run", "src", "dst").mapInArrow(tie, f"run {run_kind}, src {kind}, dst {kind}")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(run, node, component): component is the smallest node id. Minimum labels spread along edges and
-    each round also jumps to the label's own label, so long chains shorten quickly. Every round is a
+    """(run, node, component): component is the smallest node id. What the edges of a task tie together is found there first, so no more edges are left than
+    nodes a task. Minimum labels spread along these and each round also jumps to the label's own label, so long chains shorten quickly. Every round is a
     reliable checkpoint."""
+    edges = cut_lineage(_forests(edges))
     both = edges.select("run", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("run", F.col("dst").alias("a"), F.col("src").alias("b")))
     both = cut_lineage(both.distinct())
     labels = cut_lineage(both.groupBy("run", F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
@@ -248,37 +278,120 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def grow_clusters(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
-    """Complete-link growth in id order over one small component; returns {unit: cluster}."""
-    near: dict = {}
-    for s, d, sim, idx in zip(edges["src"], edges["dst"], edges["similarity"], edges["indexed"], strict=True):
-        near.setdefault(s, {})[d] = (sim, idx)
-        near.setdefault(d, {})[s] = (sim, idx)
-    info = {u: (w, n, frozenset(d)) for u, w, n, d in zip(nodes["unit_id"], nodes["weight"], nodes["title_chars"], nodes["idx"], strict=True)}
-    members: dict = {}
-    tokens: dict = {}
-    home: dict = {}
-
-    def representative(c):
-        total = sum(info[m][0] for m in members[c])
-        mean = lambda m: (info[m][0] - 1 + sum(info[o][0] * near[m][o][0] for o in members[c] if o != m)) / max(1, total - 1)
-        return min(members[c], key=lambda m: (-max(mean(m) - max(0, info[m][1] - 70) / 500, -1.0), m))
-
-    for u in sorted(info):
-        mine = near.get(u, {})
-        options = []
-        for c in {home[v] for v in mine if v in home}:
-            if all(m in mine for m in members[c]) and any(mine[m][1] for m in members[c]):
-                options.append((mine[representative(c)][0], len(info[u][2] & tokens[c]), c))
-        if options:
-            c = min(options, key=lambda o: (-o[0], -o[1], o[2]))[2]
-        else:
-            c = u
-            members[c], tokens[c] = [], set()
-        members[c].append(u)
-        tokens[c] |= info[u][2]
-        home[u] = c
-    return home
+class Growth:
+    """Complete-link clusters of one component, grown unit by unit in id order.
+
+    A unit comes with its links to earlier units only, and what the choice of later units needs is summed up as it enters. So nothing is kept
+    of a link but that sum, and what is held grows with the units of the component, not with its links.
+    """
+
+    def __init__(self, by_size: bool = False):
+        self.by_size = by_size
+        self.units: list = []
+        self.place: dict = {}
+        self.home: list[int] = []
+        self.weight: list[int] = []
+        self.penalty: list[float] = []
+        self.tokens: list = []
+        # similarity to the other articles of the cluster: a sum and what rounding took from it
+        self.near: list[tuple[float, float]] = []
+        self.members: dict[int, list[int]] = {}
+        self.total: dict[int, int] = {}
+        self._stands: dict[int, int] = {}
+        self._words: dict[int, set] = {}
+
+    def _representative(self, c: int) -> int:
+        if c not in self._stands:
+            least = max(1, self.total[c] - 1)
+            fitness = lambda m: max((self.weight[m] - 1 + sum(self.near[m])) / least - self.penalty[m], -1.0)
+            self._stands[c] = min(self.members[c], key=lambda m: (-fitness(m), m))
+        return self._stands[c]
+
+    def _own(self, u: int) -> set:
+        lists, row = self.tokens[u]
+        return set(lists[row].as_py() or ())
+
+    def _shared(self, own: set, c: int) -> int:
+        if c not in self._words:
+            self._words[c] = set().union(*[self._own(m) for m in self.members[c]])
+        return len(own & self._words[c])
+
+    def _chosen(self, fits: list[int], near: dict[int, float], own: Callable[[], set]) -> int:
+        if len(fits) == 1:
+            return fits[0]
+        if self.by_size:
+            return min(fits, key=lambda c: (-self.total[c], c))
+        alike = {c: near[self._representative(c)] for c in fits}
+        most = max(alike.values())
+        tied = [c for c in fits if alike[c] == most]
+        if len(tied) == 1:
+            return tied[0]
+        words = own()
+        return min(tied, key=lambda c: (-self._shared(words, c), c))
+
+    def enter(self, unit, weight: int, title_chars: int, tokens: tuple, earlier: list, similarity: list, indexed: list):
+        """The unit that names the cluster ``unit`` enters; ``tokens`` are a list column and a row of it."""
+        u = len(self.units)
+        places = [self.place[v] for v in earlier]
+        met = Counter(map(self.home.__getitem__, places))
+        fits = [c for c, n in met.items() if n == len(self.members[c])]
+        if fits and not self.by_size:
+            named = {self.home[p] for p, i in zip(places, indexed, strict=True) if i}
+            fits = [c for c in fits if c in named]
+        self.units.append(unit)
+        self.place[unit] = u
+        self.weight.append(weight)
+        self.penalty.append(max(0, title_chars - 70) / 500)
+        self.tokens.append(tokens)
+        near = dict(zip(places, similarity, strict=True)) if fits else {}
+        c = self._chosen(fits, near, lambda: self._own(u)) if fits else u
+        fellows = self.members.setdefault(c, [])
+        own = (0.0, 0.0)
+        if not self.by_size:
+            for m in fellows:
+                self.near[m] = _add(self.near[m], near[m] * weight)
+                own = _add(own, near[m] * self.weight[m])
+        self.near.append(own)
+        self.home.append(c)
+        fellows.append(u)
+        self.total[c] = self.total.get(c, 0) + weight
+        self._stands.pop(c, None)
+        if c in self._words:
+            self._words[c] |= self._own(u)
+        return self.units[c]
+
+
+def _add(total: tuple[float, float], x: float) -> tuple[float, float]:
+    """A compensated sum and one more: (sum, what rounding took from it)."""
+    high, low = total
+    t = high + x
+    return t, low + ((high - t) + x if abs(high) >= abs(x) else (x - t) + high)
+
+
+def _grown(rows: DataFrame, by_size: bool) -> DataFrame:
+    """(run, unit_id, cluster_id) of units with run, component, weight, title_chars, idx and ``near``, their links (v, sim, indexed) to earlier ones.
+
+    The units of a component follow one another in id order through one task.
+    """
+    kind, run_kind = dict(rows.dtypes)["unit_id"], dict(rows.dtypes)["run"]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, growth = None, Growth(by_size)
+        for batch in batches:
+            near, idx = batch.column("near"), batch.column("idx")
+            v, sim, indexed = near.values.flatten()
+            ends = near.offsets.to_pylist()
+            homes = []
+            for i, row in enumerate(zip(*[batch.column(n).to_pylist() for n in ("run", "component", "unit_id", "weight", "title_chars")], strict=True)):
+                if row[:2] != key:
+                    key, growth = row[:2], Growth(by_size)
+                part = slice(ends[i], ends[i + 1])
+                homes.append(growth.enter(*row[2:], (idx, i), v[part].to_pylist(), sim[part].to_pylist(), indexed[part].to_pylist()))
+            ids = batch.column("unit_id")
+            yield pa.RecordBatch.from_arrays([batch.column("run"), ids, pa.array(homes, ids.type)], ["run", "unit_id", "cluster_id"])
+
+    placed = rows.repartition("run", "component").sortWithinPartitions("run", "component", "unit_id")
+    return placed.mapInArrow(grow, f"run {run_kind}, unit_id {kind}, cluster_id {kind}")
 
 
 def _fitness() -> Column:
@@ -288,49 +401,29 @@ def _fitness() -> Column:
     return F.greatest(mean - F.greatest(F.col("title_chars") - 70, F.lit(0)) / 500, F.lit(-1.0))
 
 
-def grow_by_size(nodes: pd.DataFrame, edges: pd.DataFrame) -> dict:
-    """The same growth, but a unit enters the cluster of most weight, of equals the first."""
-    near: dict = {}
-    for s, d in zip(edges["src"], edges["dst"], strict=True):
-        near.setdefault(s, set()).add(d)
-        near.setdefault(d, set()).add(s)
-    weight = dict(zip(nodes["unit_id"], nodes["weight"], strict=True))
-    members: dict = {}
-    home: dict = {}
-    for u in sorted(weight):
-        mine = near.get(u, set())
-        fits = [c for c in {home[v] for v in mine if v in home} if members[c] <= mine]
-        home[u] = min(fits, key=lambda c: (-sum(weight[m] for m in members[c]), c)) if fits else u
-        members.setdefault(home[u], set()).add(u)
-    return home
-
-
-def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 200_000, by_size: bool = False) -> DataFrame:
+def complete_link_clusters(units: DataFrame, edges: DataFrame, task_limit: int = 50_000_000, by_size: bool = False) -> DataFrame:
     """(run, unit_id, cluster_id); a cluster is named by its first unit.
 
     A unit joins a cluster only if it is compatible with every member, so clusters never cross
-    components: the one whose representative is most similar, or with ``by_size`` the one of most weight. Components up to ``task_limit`` edges, which is what a task holds,
-    are grown inside one task each; larger ones go through ``grow_in_rounds``, which reaches the same result with joins only.
+    components: the one whose representative is most similar, or with ``by_size`` the one of most weight. A unit's choice rests on those before
+    it, so a component of up to ``task_limit`` edges goes through one task, which holds its units and streams its edges; larger ones go
+    through ``grow_in_rounds``, which reaches the same result with joins only, but needs a round for each step of their longest chain of choices.
     """
     edges = cut_lineage(edges)
-    kind, run_kind = dict(units.dtypes)["unit_id"], dict(units.dtypes)["run"]
-    parts = connected_components(edges)
-    sizes = edges.join(parts.withColumnRenamed("node", "src"), ["run", "src"]).groupBy("run", "component").agg(F.count(F.lit(1)).alias("_size"))
-    placed = cut_lineage(parts.join(sizes, ["run", "component"]))
-    small, large = placed.filter(F.col("_size") <= task_limit), placed.filter(F.col("_size") > task_limit)
-    alone = units.select("run", "unit_id").join(placed.select("run", F.col("node").alias("unit_id")), ["run", "unit_id"], "left_anti").withColumn("cluster_id", F.col("unit_id"))
-    grow = grow_by_size if by_size else grow_clusters
-
-    def run(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        home = grow(nodes, links)
-        return pd.DataFrame({"run": key[0], "unit_id": list(home), "cluster_id": list(home.values())})
-
-    n = units.select("run", F.col("unit_id").alias("node"), "weight", "title_chars", "idx").join(small.drop("_size"), ["run", "node"]).withColumnRenamed("node", "unit_id")
-    e = edges.join(small.select("run", F.col("node").alias("src"), F.col("component").alias("part")), ["run", "src"]).withColumnRenamed("run", "part_run")
-    grown = n.groupBy("run", "component").cogroup(e.groupBy("part_run", "part")).applyInPandas(run, f"run {run_kind}, unit_id {kind}, cluster_id {kind}")
-    out = alone.select("run", "unit_id", "cluster_id").unionByName(grown)
-    if large.limit(1).count():
-        ids = large.select("run", F.col("node").alias("unit_id"))
+    parts = cut_lineage(connected_components(edges))
+    later = edges.select("run", F.greatest("src", "dst").alias("unit_id"), F.least("src", "dst").alias("v"), F.col("similarity").cast("double").alias("sim"), "indexed")
+    node = parts.withColumnRenamed("node", "unit_id")
+    sizes = later.groupBy("run", "unit_id").agg(F.count(F.lit(1)).alias("_n")).join(node, ["run", "unit_id"]).groupBy("run", "component").agg(F.sum("_n").alias("_size"))
+    large = sizes.filter(F.col("_size") > task_limit).select("run", "component")
+    many = large.limit(1).count() > 0
+    small = node.join(large, ["run", "component"], "left_anti") if many else node
+    alone = units.select("run", "unit_id").join(node.select("run", "unit_id"), ["run", "unit_id"], "left_anti").withColumn("cluster_id", F.col("unit_id"))
+    near = later.groupBy("run", "unit_id").agg(F.collect_list(F.struct("v", "sim", "indexed")).alias("near"))
+    none = F.array().cast(dict(near.dtypes)["near"])
+    rows = units.select("run", "unit_id", F.col("weight").cast("bigint").alias("weight"), "title_chars", "idx").join(small, ["run", "unit_id"]).join(near, ["run", "unit_id"], "left")
+    out = alone.select("run", "unit_id", "cluster_id").unionByName(_grown(rows.withColumn("near", F.coalesce("near", none)), by_size))
+    if many:
+        ids = node.join(large, ["run", "component"], "left_semi").select("run", "unit_id")
         big_edges = edges.join(ids.withColumnRenamed("unit_id", "src"), ["run", "src"], "left_semi")
         out = out.unionByName(grow_in_rounds(units.join(ids, ["run", "unit_id"], "left_semi"), big_edges, by_size))
     return out
@@ -412,7 +505,7 @@ def grow_in_rounds(units: DataFrame, edges: DataFrame, by_size: bool = False) ->
     return done
 
 
-def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 200_000,
+def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 50_000_000,
                      grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(run, issue_id, article_id, unit_id) of every agenda article. ``grouping`` replaces the default
     complete-link step and must return (run, unit_id, cluster_id)."""
@@ -422,7 +515,7 @@ def cluster_articles(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit:
     return membership.join(clusters, ["run", "unit_id"]).select("run", F.col("cluster_id").alias("issue_id"), "article_id", "unit_id")
 
 
-def cluster_members(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 200_000,
+def cluster_members(articles: DataFrame, lex: Lexicon = Lexicon(), task_limit: int = 50_000_000,
                     grouping: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Membership with each article's similarity to its issue's representative:
     (run, issue_id, article_id, unit_id, similarity, is_representative)."""
