@@ -133,13 +133,19 @@ def reporting_style_lens(items: DataFrame, scopes: DataFrame, members: DataFrame
 
 
 def morphology_lens(terms: DataFrame, content_tokens: DataFrame, min_articles: int = 2, min_groups: int = 2, k: int = 15) -> DataFrame:
-    """Terms of several articles and media groups; per outlet its rate per thousand content tokens."""
-    ok = terms.groupBy("issue_id", "term").agg(F.count_distinct("article_id").alias("_a"), F.count_distinct("media_group_id").alias("_g")).filter(
-        (F.col("_a") >= min_articles) & (F.col("_g") >= min_groups)).select("issue_id", "term")
+    """Terms of several articles and media groups; per outlet its rate per thousand content tokens.
+
+    Terms are brought together once, by issue and term, where their articles, groups and counts are seen at once. An outlet's rates are in the order of its
+    counts, so its first ``k`` terms are chosen before its total is joined.
+    """
+    met = terms.groupBy("issue_id", "term").agg(
+        F.size(F.collect_set("article_id")).alias("_a"), F.size(F.collect_set("media_group_id")).alias("_g"), F.collect_list(F.struct("source_id", "n")).alias("_x"))
+    ok = met.filter((F.col("_a") >= min_articles) & (F.col("_g") >= min_groups)).select("issue_id", "term", F.explode("_x").alias("_x"))
+    n = ok.select("issue_id", "_x.source_id", "term", "_x.n").groupBy("issue_id", "source_id", "term").agg(F.sum("n").alias("n"))
     total = content_tokens.groupBy("issue_id", "source_id").agg(F.sum("content_token_count").alias("_t"))
-    n = terms.join(ok, ["issue_id", "term"], "left_semi").groupBy("issue_id", "source_id", "term").agg(F.sum("n").alias("n"))
-    rated = n.join(total, ["issue_id", "source_id"]).withColumn("per_thousand", C.half_up(C.ratio(F.col("n"), F.col("_t")) * 1000.0, 3)).drop("_t")
-    return top_per_key(rated, ["issue_id", "source_id"], [F.col("per_thousand").desc(), F.col("n").desc(), F.col("term")], k, "position")
+    first = top_per_key(n, ["issue_id", "source_id"], [F.col("n").desc(), F.col("term")], k, "position")
+    return first.join(total, ["issue_id", "source_id"]).select(
+        "issue_id", "source_id", "term", "n", C.half_up(C.ratio(F.col("n"), F.col("_t")) * 1000.0, 3).alias("per_thousand"), "position")
 
 
 def dominant_secondary(descriptors: DataFrame, k: int = 5) -> DataFrame:

@@ -126,10 +126,9 @@ def _(t):
     SELECT n.issue_id, n.source_id, term, n, {rnd('n::DOUBLE / t::DOUBLE * 1000.0::DOUBLE', 3)} AS per_thousand, row_number() OVER (PARTITION BY n.issue_id, n.source_id ORDER BY {rnd('n::DOUBLE / t::DOUBLE * 1000.0::DOUBLE', 3)} DESC, n DESC, term) AS position
     FROM n JOIN d ON d.issue_id = n.issue_id AND d.source_id = n.source_id QUALIFY position <= 15""")
 def _(t):
-    # terms, not tokens, are written out; the content tokens of an article are the sum of its terms
-    raw = cut_lineage(T.article_terms(T.segment_sentences(t.articles)))
-    content = raw.groupBy("article_id").agg(F.sum("n").alias("content_token_count"))
-    return BIG(M.morphology_lens(M.with_issue(raw, t.members), M.with_issue(content, t.members)), "position")
+    # terms, not tokens, are written out, with their issue while they lie by article; the content tokens are the sum of the terms
+    terms = cut_lineage(M.with_issue(T.article_terms(T.segment_sentences(t.articles)), t.members))
+    return BIG(M.morphology_lens(terms, terms.withColumnRenamed("n", "content_token_count")), "position")
 
 
 @query("dominant_secondary", "SELECT issue_id, code, count(DISTINCT article_id) AS article_count, row_number() OVER (PARTITION BY issue_id ORDER BY count(DISTINCT article_id) DESC, code) AS position FROM fx_id WHERE kind = 'policy' GROUP BY issue_id, code QUALIFY position <= 5")
